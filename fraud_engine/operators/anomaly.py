@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
-from ..session import materialize
+from ..session import local_table, materialize, spread
 from .ranking import exact_percentiles
 
 EULER_GAMMA = 0.5772156649015329
@@ -77,6 +77,7 @@ def sample_per_tree(df: DataFrame, features: str, key: str, trees: int, sample:
         pool = pool.where(_unit_hash(F.lit(seed), F.col("key")) < pool_rows / rows)
         pool = materialize(pool, "isolation_pool")
         rows = pool.count()
+    pool = spread(pool, rows)
     share = min(1.0, (sample + 6 * math.sqrt(sample)) / max(rows, 1))
     members = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -152,7 +153,7 @@ class IsolationForest:
     def importances(self, names: list[str], top: int | None = None) -> DataFrame:
         """Share of all splits per feature, highest first."""
         spark = self.nodes.sparkSession
-        named = spark.createDataFrame(list(enumerate(names)), "feature_no int, feature string")
+        named = local_table(spark, list(enumerate(names)), "feature_no int, feature string")
         splits = (
             self.nodes.where("feature >= 0").groupBy(F.col("feature").alias("feature_no"))
             .agg(F.count("*").alias("n"))

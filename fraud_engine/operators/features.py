@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
+from ..session import local_table
 from .behavior import CardMetrics
 from .encode import fit_vocabulary, one_hot
 from .lookup import JobLookup, matrix_to_pairs
@@ -32,6 +33,7 @@ def row_features(txn: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     extra = [c for c in keep if c not in label]
     if S.ROW_KEY in txn.columns and S.ROW_KEY not in extra:
         extra.append(S.ROW_KEY)
+    year = F.year("dob") if dict(txn.dtypes)["dob"] == "date" else fn.birth_year("dob")
     return txn.select(
         *label,
         fn.hour_of_day("trans_date_trans_time").alias("txn_time"),
@@ -39,7 +41,7 @@ def row_features(txn: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         fn.comma_to_dash("category").alias("category"),
         "state",
         fn.comma_to_dash("job").alias("job"),
-        fn.birth_year("dob").alias("birth_year"),
+        year.alias("birth_year"),
         fn.haversine_km("lat", "long", "merch_lat", "merch_long").alias("distance"),
         S.CARD,
         *extra,
@@ -135,7 +137,7 @@ class FeatureModel:
                                  ("job_category", self.job_categories))
             for i, value in enumerate(values)
         ]
-        (spark.createDataFrame(rows, "column string, position int, value string")
+        (local_table(spark, rows, "column string, position int, value string")
          .write.mode("overwrite").parquet(f"{path}/vocabulary"))
         self.lookup.pairs.write.mode("overwrite").parquet(f"{path}/job_lookup")
 

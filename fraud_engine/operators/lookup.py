@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import local_table
 from .joins import left_lookup
 
 # The wide matrix is a document for people. It is not built from more pairs than this.
@@ -50,7 +51,7 @@ class JobLookup:
     @classmethod
     def from_dict(cls, spark: SparkSession, jobs: dict[str, list[str]]) -> "JobLookup":
         rows = [(job, category) for category, names in jobs.items() for job in names]
-        return cls.fit(spark.createDataFrame(rows, "job string, job_category string"))
+        return cls.fit(local_table(spark, rows, "job string, job_category string"))
 
     def attach(self, txn: DataFrame) -> DataFrame:
         """`txn` with `job_category`, null for a job that is not listed."""

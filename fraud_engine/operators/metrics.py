@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import local_table
 from .ranking import exact_percentiles, running_totals, store_counts
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -74,27 +75,42 @@ def class_report(df: DataFrame, label: str = S.LABEL, prediction: str = "predict
 
 
 def _sweep(df: DataFrame, thresholds: list[float], label: str, score: str) -> DataFrame:
-    """One row with the array `rows`, an entry per threshold; all are counted in one pass."""
-    cells = df.agg(*[
-        c for i, t in enumerate(thresholds)
-        for c in _cells(F.col(label), (F.col(score) > t).cast("int"), f"_{i}")
-    ])
-    rows = []
-    for i, t in enumerate(thresholds):
-        tn, fp, fn, tp = (F.col(f"{c}_{i}") for c in ("tn", "fp", "fn", "tp"))
-        p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-        rows.append(F.struct(
-            F.lit(float(t)).alias("threshold"), p.alias("precision"), r.alias("recall"),
-            _f1(p, r).alias("f1"), fp.alias("false_positives"),
-            _ratio(fp, fp + tn).alias("false_positive_rate"),
-            tp.alias("frauds_caught"), fn.alias("frauds_missed")))
-    return cells.select(F.array(*rows).alias("rows"))
+    """One row per threshold, with its place `i` in the list.
+
+    A row's level is the number of thresholds below its score, so one grouping by label and
+    level counts for all thresholds; the rest works on a few groups.
+    """
+    level = sum(((F.col(score) > t).cast("int") for t in sorted(thresholds)), F.lit(0))
+    groups = df.where(F.col(score).isNotNull()).groupBy(
+        F.col(label).alias("label"), level.alias("level")).agg(F.count("*").alias("n"))
+    wanted = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"),
+                 F.lit(sum(u < t for u in thresholds)).alias("rank"))
+        for i, t in enumerate(thresholds)])
+    above = F.col("level") > F.col("rank")
+
+    def total(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
+
+    fraud, normal = F.col("label") == 1, F.col("label") == 0
+    cells = (
+        groups.withColumn("w", F.explode(wanted)).select("label", "level", "n", "w.*")
+        .groupBy("i", "threshold").agg(
+            total(fraud & above, "frauds_caught"), total(fraud & ~above, "frauds_missed"),
+            total(normal & above, "false_positives"), total(normal & ~above, "tn"))
+    )
+    tp, fn, fp = F.col("frauds_caught"), F.col("frauds_missed"), F.col("false_positives")
+    p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+    return cells.select(
+        "i", "threshold", p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"),
+        "false_positives", _ratio(fp, fp + F.col("tn")).alias("false_positive_rate"),
+        "frauds_caught", "frauds_missed")
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float] = THRESHOLDS,
                     label: str = S.LABEL, score: str = "score") -> DataFrame:
     """Precision, recall, F1, false positives and frauds caught and missed per threshold."""
-    return _sweep(df, thresholds, label, score).select(F.inline("rows"))
+    return _sweep(df, thresholds, label, score).drop("i")
 
 
 def recall_at(df: DataFrame, thresholds: list[float] = (0.3, 0.5, 0.7), **columns) -> DataFrame:
@@ -109,10 +125,9 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def compare_thresholds(df: DataFrame, chosen: float, default: float = 0.5,
                        label: str = S.LABEL, score: str = "score") -> DataFrame:
     """Frauds caught and missed and false positives, at the default and the chosen threshold."""
-    rows = _sweep(df, [default, chosen], label, score).select(F.posexplode("rows").alias("i", "r"))
-    return rows.select(
-        F.when(F.col("i") == 0, "default").otherwise("chosen").alias("setting"),
-        "r.threshold", "r.frauds_caught", "r.frauds_missed", "r.false_positives")
+    setting = F.when(F.col("i") == 0, "default").otherwise("chosen").alias("setting")
+    return _sweep(df, [default, chosen], label, score).select(
+        setting, "threshold", "frauds_caught", "frauds_missed", "false_positives")
 
 
 def _score_counts(df: DataFrame, label: str, score: str):
@@ -157,7 +172,7 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed, empty ones included."""
     lo, hi = df.agg(F.min(value), F.max(value)).first()
     if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
+        return local_table(df.sparkSession, [], "bin int, lower double, upper double, n long")
     width = (hi - lo) / bins or 1.0
     v = F.col(value)
     counts = (

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import local_table, materialize
 
 # One slice of a global ordering is one window partition of about this many rows.
 SLICE_ROWS = 200_000
@@ -65,54 +65,43 @@ def store_counts(df: DataFrame, by: str, counts: dict, name: str) -> tuple[DataF
 
 
 BINS = 4096
+# An interval with at most this many rows is listed value by value.
+LISTED_ROWS = 10_000
 
 
-def _order_statistics(df: DataFrame, value: str, group: str | None, ranks: dict) -> dict:
-    """Exact values at 0-based `ranks` {group: set of ranks}, by narrowing intervals.
+def _narrow(data: DataFrame, intervals: dict) -> tuple[dict, dict]:
+    """One pass of the search for order statistics.
 
-    Every pass splits each open interval into bins, counts rows per bin (partial counts
-    before the shuffle, BINS rows out per interval) and keeps the bins that hold a rank.
-    An interval is done when all its rows are equal.
+    `intervals` maps (group, lo, hi, rows below lo, rows inside) to the ranks looked for. A
+    large interval is cut into BINS bins, a small one into its values; rows are counted per
+    bin, partly before the shuffle. Returns what was found and the bins still to look into.
     """
-    g = F.col(group) if group else F.lit(0)
-    data = df.select(g.alias("g"), F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
-    ends = {r["g"]: r for r in data.groupBy("g").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    # (group, lo, hi, rows below lo) -> ranks looked for inside
-    open_intervals = {(k, ends[k]["lo"], ends[k]["hi"], 0): set(rs) for k, rs in ranks.items() if rs}
-    found: dict = {}
-    while open_intervals:
-        todo = {}
-        for (k, lo, hi, below), rs in open_intervals.items():
-            if lo == hi:
-                found.update({(k, r): lo for r in rs})
-            else:
-                todo[(k, lo, hi, below)] = rs
-        if not todo:
-            break
-        keys = list(todo)
-        interval, bin_no = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for i, (k, lo, hi, _) in enumerate(keys):
-            inside = (F.col("g") == F.lit(k)) & F.col("v").between(lo, hi)
-            position = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * BINS)
-            interval = F.when(inside, i).otherwise(interval)
-            bin_no = F.when(inside, F.least(position, F.lit(BINS - 1)).cast("int")).otherwise(bin_no)
-        bins = (
-            data.select(interval.alias("i"), bin_no.alias("b"), "v").where(F.col("i").isNotNull())
-            .groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("i", "b").collect()
-        )
-        open_intervals = {}
-        passed = {i: keys[i][3] for i in range(len(keys))}
-        for row in bins:
-            k = keys[row["i"]][0]
-            start = passed[row["i"]]
-            passed[row["i"]] = start + row["n"]
-            hit = {r for r in todo[keys[row["i"]]] if start <= r < start + row["n"]}
-            if hit:
-                open_intervals[(k, row["lo"], row["hi"], start)] = hit
-    return found
+    keys = list(intervals)
+    interval, bin_no = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for i, (k, lo, hi, _, n) in enumerate(keys):
+        inside = (F.col("g") == F.lit(k)) & F.col("v").between(lo, hi)
+        cut = F.col("v")
+        if n > LISTED_ROWS:
+            cut = F.least(F.floor((F.col("v") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("double")
+        interval = F.when(inside, i).otherwise(interval)
+        bin_no = F.when(inside, cut).otherwise(bin_no)
+    bins = (
+        data.select(interval.alias("i"), bin_no.alias("b"), "v").where(F.col("i").isNotNull())
+        .groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("i", "b").collect()
+    )
+    found, still_open = {}, {}
+    passed = {i: key[3] for i, key in enumerate(keys)}
+    for row in bins:
+        key = keys[row["i"]]
+        start = passed[row["i"]]
+        passed[row["i"]] = start + row["n"]
+        hit = {r for r in intervals[key] if start <= r < start + row["n"]}
+        if row["lo"] == row["hi"]:
+            found.update({(key[0], r): row["lo"] for r in hit})
+        elif hit:
+            still_open[(key[0], row["lo"], row["hi"], start, row["n"])] = hit
+    return found, still_open
 
 
 def exact_percentiles(
@@ -124,25 +113,35 @@ def exact_percentiles(
     """Percentiles with linear interpolation, per group of a column with few values.
 
     Columns: the group (if any), `probability`, `value`. Same numbers as the `percentile`
-    aggregate, which holds all distinct values of a group in one task; here no task sees
-    more than its input partition. `df` is read a few times, one or two columns wide.
+    aggregate, which holds all distinct values of a group in one task. Here the order
+    statistics are found by counting in ever narrower intervals: every pass reads a stored
+    column or two and brings a bounded number of bins to the driver.
     """
-    spark = df.sparkSession
     g = F.col(group) if group else F.lit(0)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    sizes = {r["g"]: r["n"] for r in clean.groupBy(g.alias("g")).agg(F.count("*").alias("n")).collect()}
-    ranks = {
-        k: {r for p in probabilities for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
-        for k, n in sizes.items()
-    }
-    at = _order_statistics(clean, value, group, ranks)
+    v = F.col(value).cast("double")
+    data = materialize(
+        df.select(g.alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")),
+        "percentile_values")
+    ends = {r["g"]: r for r in data.where(F.col("g").isNotNull()).groupBy("g").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    at, intervals = {}, {}
+    for k, e in ends.items():
+        ranks = {r for p in probabilities
+                 for r in (math.floor((e["n"] - 1) * p), math.ceil((e["n"] - 1) * p))}
+        if e["lo"] == e["hi"]:
+            at.update({(k, r): e["lo"] for r in ranks})
+        else:
+            intervals[(k, e["lo"], e["hi"], 0, e["n"])] = ranks
+    while intervals:
+        found, intervals = _narrow(data, intervals)
+        at.update(found)
     out = []
-    for k, n in sizes.items():
+    for k, e in ends.items():
         for p in probabilities:
-            place = (n - 1) * p
+            place = (e["n"] - 1) * p
             lo, hi = at[(k, math.floor(place))], at[(k, math.ceil(place))]
             out.append((k, float(p), lo + (hi - lo) * (place - math.floor(place))))
     if group is None:
-        return spark.createDataFrame([r[1:] for r in out], "probability double, value double")
+        return local_table(df.sparkSession, [r[1:] for r in out], "probability double, value double")
     group_type = df.schema[group].dataType.simpleString()
-    return spark.createDataFrame(out, f"`{group}` {group_type}, probability double, value double")
+    return local_table(df.sparkSession, out, f"`{group}` {group_type}, probability double, value double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
+from ..session import local_table
 
 
 class ModelNotFound(FileNotFoundError):
@@ -28,13 +29,14 @@ class FraudModel:
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         self.pipeline.write().overwrite().save(f"{path}/model")
-        (spark.createDataFrame([(float(self.threshold),)], "threshold double")
+        (local_table(spark, [(float(self.threshold),)], "threshold double")
          .write.mode("overwrite").parquet(f"{path}/threshold"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FraudModel":
         try:
             threshold = spark.read.parquet(f"{path}/threshold").first()["threshold"]
+            spark.read.text(f"{path}/model/metadata")
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 raise ModelNotFound(f"no stored model under {path}") from e

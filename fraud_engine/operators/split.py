@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import materialize
+from ..session import local_table, materialize
 
 HASH_DIGITS = 8
 PREFIX_DIGITS = 4
@@ -59,8 +59,8 @@ def exact_split(df: DataFrame, parts: dict[str, float] = THREE_WAY, rest: str =
         for name, share in parts.items():
             upto += share
             wanted.append((value, name, int(n * upto + 0.5)))
-    targets = df.sparkSession.createDataFrame(
-        wanted, f"label {df.schema[label].dataType.simpleString()}, part string, target long")
+    targets = local_table(
+        df.sparkSession, wanted, f"label {df.schema[label].dataType.simpleString()}, part string, target long")
     # At most 16^PREFIX_DIGITS rows per class.
     order = Window.partitionBy("label").orderBy("prefix")
     running = by_prefix.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, local_table, spread
 
 # Features that may be null: unreadable times, cards with one row. The mean stands in.
 NULLABLE = ["txn_time", "amt", *S.CARD_METRICS]
@@ -91,7 +91,7 @@ def fit_boosted_trees(
             maxDepth=depth, stepSize=step, subsamplingRate=row_share,
             featureSubsetStrategy=str(column_share), seed=seed)
 
-    data = vectors(train, negatives / positives).persist()
+    data = spread(vectors(train, negatives / positives), negatives + positives).persist()
     try:
         model = classifier(rounds).fit(data)
         losses: list[float] = []
@@ -109,7 +109,8 @@ def fit_boosted_trees(
 def feature_importances(model: TrainedModel, top: int | None = None) -> DataFrame:
     """(feature, importance), highest first."""
     values = model.trees.featureImportances.toArray()
-    table = SparkSession.active().createDataFrame(
-        [(n, float(v)) for n, v in zip(model.features, values)], "feature string, importance double"
+    rows = [(n, float(v)) for n, v in zip(model.features, values)]
+    table = local_table(
+        SparkSession.active(), rows, "feature string, importance double"
     ).orderBy(F.desc("importance"), "feature")
     return table if top is None else table.limit(top)

@@ -237,6 +237,8 @@ _FLAGGED_COLUMNS = ", ".join(
 _PAIRS = "pairs AS (SELECT DISTINCT p_type AS job_category, p_name AS job FROM part)"
 # The part types of the given tables.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_MATRIX = ", ".join(
+    f"coalesce(max(CASE WHEN job_category = '{t}' THEN job END), '') AS \"{t}\"" for t in PART_TYPES)
 
 
 ORACLE: dict[str, str] = {
@@ -262,6 +264,9 @@ ORACLE: dict[str, str] = {
     "lookup_unpivot": """SELECT DISTINCT 'p_name' AS job_category, p_name AS job FROM part
         UNION SELECT DISTINCT 'p_brand', p_brand FROM part
         UNION SELECT DISTINCT 'p_type', p_type FROM part""",
+    "lookup_pivot": _with(_PAIRS, """placed AS (
+        SELECT job_category, job, row_number() OVER (PARTITION BY job_category ORDER BY job) - 1 AS position
+        FROM pairs)""") + f"""SELECT CAST(position AS INT) AS position, {_MATRIX} FROM placed GROUP BY position""",
     "features_full": _with(_TXN, _ROWS, _METRICS, _JOBS)
         + f"""SELECT trans_num, is_fraud, txn_time, amt,
         {', '.join(_CATEGORY_FLAGS + _STATE_FLAGS + _JOB_FLAGS + _DECADE_FLAGS)},

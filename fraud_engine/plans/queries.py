@@ -15,7 +15,7 @@ from ..operators import (
     anomaly, behavior, encode, explain, features, lookup, metrics, ranking, report, score, split,
     train,
 )
-from ..session import materialize
+from ..session import materialize, spread
 from . import training, txn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +400,8 @@ def scaled_features(spark, sf_dir):
 
 
 def _stored_features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    stored = materialize(txn.features(spark, sf_dir, keep=(S.ROW_KEY,)), "features")
+    rows = txn.table(spark, sf_dir, "events").count()
+    stored = materialize(spread(txn.features(spark, sf_dir, keep=(S.ROW_KEY,)), rows), "features")
     return stored, [c for c in stored.columns if c not in (S.ROW_KEY, S.LABEL)]
 
 

@@ -26,18 +26,26 @@ JOB_CATEGORY = {
 CATEGORIES = ["gas_transport", "grocery_pos", "misc -net", "shopping_net", "travel"]
 
 
+# The columns that are used, so that reading needs no look at the files first.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_name string, p_brand string, p_type string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as transactions, customers as cards, nations as states, plus a stand-in `score`."""
     tune(spark)
-    e = table(spark, sf_dir, "events")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    e, c, n = (table(spark, sf_dir, t) for t in ("events", "customer", "nation"))
+    e = e.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int")).drop("props")
     joined = e.join(c, e.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    k = F.col("k")
     lat = F.lit(-40.0) + 3.0 * F.col("c_nationkey") + (F.col("c_custkey") % 17) / 10.0
     long = F.lit(-100.0) + 4.0 * F.col("c_nationkey") + (F.col("c_custkey") % 13) / 10.0
     category, job = F.lit(OTHER_CATEGORY), F.lit(None).cast("string")

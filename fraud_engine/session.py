@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +16,9 @@ _SESSION_CONF = {
     # A join on the card number is often followed by a grouping on it. Without this, AQE
     # leaves a skewed join partition whole rather than add a shuffle after the split.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Wide plans are built from many column calls; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 _local_scratch: dict[str, str] = {}
@@ -59,6 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows from the driver as part of the plan, so no job is needed to read them."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrow = pa.table(
+        [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)], names=schema.names)
+    return spark.createDataFrame(arrow, schema)
+
+
+# A table of at most this many rows may be shuffled just to use all cores.
+SPREAD_ROWS = 5_000_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """A small table over all cores; a large one as it is, it has enough partitions."""
+    if rows > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
