@@ -58,8 +58,18 @@ def amount_ratio(amount, average) -> Column:
     return F.when(_col(average) > 0, _col(amount) / _col(average)).otherwise(F.lit(1.0))
 
 
+def fixed_text(number, places: int) -> Column:
+    """A number with this many decimals.
+
+    Rounds the exact binary value, ties to even, as C and Python do; `format_string` rounds the
+    shortest decimal text half up, and so 54.65 to 54.7.
+    """
+    pattern = F.lit("0." + "0" * places)
+    return F.call_function("format_number", _col(number).cast("double"), pattern)
+
+
 def anomaly_text(ratio) -> Column:
-    return F.when(_col(ratio) > 1, F.format_string("%.1fx", _col(ratio))).otherwise("normal")
+    return F.when(_col(ratio) > 1, F.concat(fixed_text(ratio, 1), F.lit("x"))).otherwise("normal")
 
 
 def hour_gap_bucket(hour, usual) -> Column:

@@ -53,11 +53,11 @@ UNKNOWN_AGE = "unknown age group"
 
 # The texts that are filled in per row.
 PROMPT = """Transaction Details:
-- Amount: $%.2f (user's average: $%.2f)
+- Amount: $%s (user's average: $%s)
 - Time: %s (user's typical: %s)
 - Category: %s
 - User Profile: %s professional, %s
-- Fraud Confidence: %.1f%%
+- Fraud Confidence: %s%%
 
 Key Anomalies:
 - Amount is %s higher than user's typical spending
@@ -65,10 +65,10 @@ Key Anomalies:
 
 Explain why this transaction was flagged as fraudulent:"""
 FALLBACK = (
-    "This $%.2f transaction was flagged due to unusual patterns: amount is %s higher than "
+    "This $%s transaction was flagged due to unusual patterns: amount is %s higher than "
     "typical spending and occurred at an unusual time (%s vs user's normal %s)."
 )
-SUMMARY = "Amount: $%.2f | Time: %s | Category: %s | Confidence: %.1f%%"
+SUMMARY = "Amount: $%s | Time: %s | Category: %s | Confidence: %s%%"
 
 # One explanation document holds at most this many rows; the flat table has no limit.
 DOCUMENT_ROWS = 10_000
@@ -113,14 +113,15 @@ def explanation_context(flagged: DataFrame, keep: tuple[str, ...] = ()) -> DataF
         "time_text": fn.clock_text("time"),
         "usual_time_text": fn.clock_text("user_avg_time"),
     })
-    confidence = F.col("fraud_probability") * 100
+    amount, average = fn.fixed_text("amount", 2), fn.fixed_text("user_avg_amount", 2)
+    confidence = fn.fixed_text(F.col("fraud_probability") * 100, 1)
     return judged.withColumns({
         "prompt": F.format_string(
-            PROMPT, "amount", "user_avg_amount", "time_text", "usual_time_text", "category", "job",
+            PROMPT, amount, average, "time_text", "usual_time_text", "category", "job",
             "age_group", confidence, "amount_anomaly", "time_anomaly"),
         "fallback": F.format_string(
-            FALLBACK, "amount", "amount_anomaly", "time_text", "usual_time_text"),
-        "summary": F.format_string(SUMMARY, "amount", "time_text", "category", confidence),
+            FALLBACK, amount, "amount_anomaly", "time_text", "usual_time_text"),
+        "summary": F.format_string(SUMMARY, amount, "time_text", "category", confidence),
     })
 
 

@@ -174,7 +174,7 @@ _CONTEXT = f"""context AS (
   SELECT *, {_clock('time')} AS time_text, {_clock('user_avg_time')} AS usual_time_text,
     CASE WHEN abs(time - user_avg_time) > 6 THEN 'significant'
       WHEN abs(time - user_avg_time) > 3 THEN 'moderate' ELSE 'minor' END AS time_anomaly,
-    CASE WHEN amount_ratio > 1 THEN printf('%.1fx', round(amount_ratio, 1)) ELSE 'normal' END AS amount_anomaly
+    CASE WHEN amount_ratio > 1 THEN printf('%.1fx', amount_ratio) ELSE 'normal' END AS amount_anomaly
   FROM (
     SELECT trans_num, amt AS amount, txn_time AS time,
       {_case([("category = 'gas_transport'", 'Gas/Transport'),
@@ -199,7 +199,7 @@ _PROMPT = """concat(
     '- Time: ', time_text, ' (user''s typical: ', usual_time_text, ')', chr(10),
     '- Category: ', category, chr(10),
     '- User Profile: ', job, ' professional, ', age_group, chr(10),
-    '- Fraud Confidence: ', printf('%.1f', round(fraud_probability * 100, 1)), '%', chr(10), chr(10),
+    '- Fraud Confidence: ', printf('%.1f', fraud_probability * 100), '%', chr(10), chr(10),
     'Key Anomalies:', chr(10),
     '- Amount is ', amount_anomaly, ' higher than user''s typical spending', chr(10),
     '- Time difference shows ', time_anomaly, ' deviation from normal patterns', chr(10), chr(10),
@@ -209,7 +209,7 @@ _FALLBACK = """concat('This $', printf('%.2f', amount),
     ' higher than typical spending and occurred at an unusual time (', time_text,
     ' vs user''s normal ', usual_time_text, ').')"""
 _SUMMARY = """concat('Amount: $', printf('%.2f', amount), ' | Time: ', time_text, ' | Category: ', category,
-    ' | Confidence: ', printf('%.1f', round(fraud_probability * 100, 1)), '%')"""
+    ' | Confidence: ', printf('%.1f', fraud_probability * 100), '%')"""
 
 _REPORT_DOCUMENT = f"""means AS (
   SELECT avg(CASE WHEN is_fraud = 1 THEN amt END) AS fa, avg(CASE WHEN is_fraud = 0 THEN amt END) AS na,

@@ -63,6 +63,13 @@ def test_haversine_of_a_missing_point_is_null(spark):
     assert value(spark, fn.haversine_km(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))) is None
 
 
+@pytest.mark.parametrize("number, places", [
+    (54.65, 1), (0.25, 1), (0.35, 1), (1.15, 1), (1.005, 2), (0.125, 2), (12345.678, 2), (0.0, 2), (100.0, 1),
+])
+def test_fixed_text_rounds_as_python_does(spark, number, places):
+    assert value(spark, fn.fixed_text(F.lit(number), places)) == f"{number:.{places}f}"
+
+
 def test_all_commas_are_replaced(spark):
     assert value(spark, fn.comma_to_dash(F.lit("a, b, c"))) == "a - b - c"
 
