@@ -28,7 +28,7 @@ def process_transactions(spark: SparkSession, input_path: str, model: FeatureMod
                          out_dir: str, fmt: str = "parquet") -> str:
     """Raw log to stored feature table; the path of the table."""
     features = model.transform(read_transactions(spark, input_path))
-    return write_table(features, f"{out_dir}/{output_name(input_path)}", fmt)
+    return write_table(features, f"{out_dir}/{output_name(input_path, fmt)}", fmt)
 
 
 def detect(features: DataFrame, model: FraudModel, out_dir: str, fmt: str = "parquet") -> tuple[str, str]:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def output_name(input_path: str) -> str:
-    """`Processed_` plus the file name of the input."""
-    return "Processed_" + os.path.basename(input_path.rstrip("/"))
+def output_name(input_path: str, fmt: str = "csv") -> str:
+    """`Processed_` plus the file name of the input, with the ending of the output format."""
+    stem = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
+    return f"Processed_{stem}.{fmt}"
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -47,7 +47,7 @@ def test_full_run(spark, stored):
     paths = run(spark, path, str(root / "model"), str(root / "out"), explain_rows=7)
     features = read_features(spark, paths.features)
     assert features.count() == 300 and features.columns == S.feature_schema().names
-    assert paths.features.endswith("Processed_log.csv")
+    assert paths.features.endswith("Processed_log.parquet")
     flagged = spark.read.parquet(paths.flagged)
     n = flagged.count()
     assert n > 10 and flagged.columns[-5:] == S.FLAGGED_EXTRA.names

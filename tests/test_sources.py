@@ -80,3 +80,4 @@ def test_job_matrix(spark, tmp_path):
 
 def test_output_name():
     assert output_name("/data/raw/TransactionLogs-1.csv") == "Processed_TransactionLogs-1.csv"
+    assert output_name("/data/raw/log.csv/", "parquet") == "Processed_log.parquet"
