@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
+from ..errors import ModelNotFound
 from ..session import local_table
+from ..sources import read_or_none
 from .behavior import CardMetrics
 from .encode import fit_vocabulary, one_hot
 from .lookup import JobLookup, matrix_to_pairs
@@ -143,7 +145,10 @@ class FeatureModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FeatureModel":
-        stored = spark.read.parquet(f"{path}/vocabulary").orderBy("column", "position").collect()
+        vocabulary = read_or_none(spark.read.parquet, f"{path}/vocabulary")
+        if vocabulary is None:
+            raise ModelNotFound(f"no stored feature model under {path}")
+        stored = vocabulary.orderBy("column", "position").collect()
         values = {c: [r["value"] for r in stored if r["column"] == c]
                   for c in ("category", "state", "job_category")}
         return cls(values["category"], values["state"], values["job_category"],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
+from ..errors import ModelNotFound
 from ..session import local_table
-
-
-class ModelNotFound(FileNotFoundError):
-    """The model folder is missing or incomplete."""
+from ..sources import read_or_none
 
 
 @dataclass(frozen=True)
@@ -34,14 +31,10 @@ class FraudModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FraudModel":
-        try:
-            threshold = spark.read.parquet(f"{path}/threshold").first()["threshold"]
-            spark.read.text(f"{path}/model/metadata")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                raise ModelNotFound(f"no stored model under {path}") from e
-            raise
-        return cls(PipelineModel.load(f"{path}/model"), threshold)
+        threshold = read_or_none(spark.read.parquet, f"{path}/threshold")
+        if threshold is None or read_or_none(spark.read.text, f"{path}/model/metadata") is None:
+            raise ModelNotFound(f"no stored classifier under {path}")
+        return cls(PipelineModel.load(f"{path}/model"), threshold.first()["threshold"])
 
     def score(self, features: DataFrame) -> DataFrame:
         return apply_threshold(with_probability(self.pipeline, features), self.threshold)

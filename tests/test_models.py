@@ -3,9 +3,10 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from fraud_engine.errors import ModelNotFound
 from fraud_engine.operators import anomaly, train
 from fraud_engine.operators.score import (
-    FraudModel, ModelNotFound, apply_threshold, flagged_transactions, score_summary, with_probability,
+    FraudModel, apply_threshold, flagged_transactions, score_summary, with_probability,
 )
 from fraud_engine.plans.training import train_and_tune, train_two_way
 

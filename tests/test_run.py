@@ -4,9 +4,9 @@ import pytest
 
 from conftest import raw_row, write_csv
 from fraud_engine import schema as S
+from fraud_engine.errors import ModelNotFound
 from fraud_engine.operators.features import FeatureModel
 from fraud_engine.operators.lookup import JobLookup
-from fraud_engine.operators.score import ModelNotFound
 from fraud_engine.plans.run import run
 from fraud_engine.plans.training import train_and_tune
 from fraud_engine.sources import read_explanations, read_features, read_report, read_transactions
