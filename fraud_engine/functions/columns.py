@@ -94,12 +94,13 @@ def decade_text(first_year: int) -> str:
     return f"born in the {first_year}s"
 
 
+# Fixed value: headings that generated text may start with.
+RESPONSE_HEADING = r"(?i)^(Explanation|Analysis|Flagged as fraud):?\s*"
+
+
 def clean_response(text) -> Column:
     """Generated text without outer blanks and without a leading heading."""
-    return F.regexp_replace(
-        F.trim(_col(text), F.lit(" \t\r\n")),
-        r"(?i)^(Explanation|Analysis|Flagged as fraud):?\s*", "",
-    )
+    return F.regexp_replace(F.trim(_col(text), F.lit(" \t\r\n")), RESPONSE_HEADING, "")
 
 
 def display_label(name, prefix: str, upper: bool = False) -> Column:

@@ -70,7 +70,8 @@ FALLBACK = (
 )
 SUMMARY = "Amount: $%s | Time: %s | Category: %s | Confidence: %s%%"
 
-# One explanation document holds at most this many rows; the flat table has no limit.
+# A ranked list of explanations, and the document made of it, hold at most this many rows.
+# `explanation_context` explains a table of any size.
 DOCUMENT_ROWS = 10_000
 
 
@@ -161,6 +162,8 @@ def explain(
     The text comes from `generator(prompt)`, a function of the caller, run in `tasks` tasks;
     without one, or where it fails, the templated text stands in.
     """
+    if n > DOCUMENT_ROWS:
+        raise ValueError(f"at most {DOCUMENT_ROWS} ranked rows; use explanation_context for more")
     top = top_flagged(flagged, n, order or [F.desc("fraud_probability")])
     context = explanation_context(top, keep=("transaction_id",))
     text = F.col("fallback")

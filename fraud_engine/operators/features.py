@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema as S
 from ..errors import ModelNotFound
-from ..session import local_table
+from ..session import local_table, materialize
 from ..sources import read_or_none
 from .behavior import CardMetrics
 from .encode import fit_vocabulary, one_hot
@@ -107,13 +107,18 @@ class FeatureModel:
         fit_on: DataFrame | None = None,
         keep: tuple[str, ...] = (),
         keep_distance: bool = False,
+        parse_once: bool = False,
     ) -> DataFrame:
         """The feature table: `keep` columns first, then label and features.
 
         Card metrics come from `txn` itself, or from `fit_on`, raw transactions to learn
-        them from (the training part, say).
+        them from (the training part, say). The input is read for the metrics and for the
+        rows; with `parse_once` the narrow rows are stored in between, which pays when the
+        input is text.
         """
         rows = row_features(txn, keep)
+        if parse_once:
+            rows = materialize(rows, "row_features")
         source = rows if fit_on is None else row_features(fit_on)
         rows = CardMetrics.fit(source).attach(self.lookup.attach(rows))
         label = [S.LABEL] if S.LABEL in rows.columns else []

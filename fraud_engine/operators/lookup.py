@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import local_table
+from ..sources import write_table
 from .joins import left_lookup
 
 # The wide matrix is a document for people. It is not built from more pairs than this.
@@ -32,6 +33,12 @@ def pairs_to_matrix(pairs: DataFrame, categories: list[str], order_by: str = "jo
     )
 
 
+def write_matrix(pairs: DataFrame, categories: list[str], path: str) -> str:
+    """The wide matrix as CSV with a header, rows in order."""
+    matrix = pairs_to_matrix(pairs, categories).orderBy("position").drop("position")
+    return write_table(matrix, path, "csv")
+
+
 @dataclass(frozen=True)
 class JobLookup:
     """Checked (job, job_category) pairs: every job has one category."""

@@ -67,6 +67,8 @@ def store_counts(df: DataFrame, by: str, counts: dict, name: str) -> tuple[DataF
 BINS = 4096
 # An interval with at most this many rows is listed value by value.
 LISTED_ROWS = 10_000
+# The search keeps a few numbers per group on the driver.
+MAX_GROUPS = 1_000
 
 
 def _narrow(data: DataFrame, intervals: dict) -> tuple[dict, dict]:
@@ -123,7 +125,10 @@ def exact_percentiles(
         df.select(g.alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")),
         "percentile_values")
     ends = {r["g"]: r for r in data.where(F.col("g").isNotNull()).groupBy("g").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+    ).limit(MAX_GROUPS + 1).collect()}
+    if len(ends) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values; group by a column with few values")
     at, intervals = {}, {}
     for k, e in ends.items():
         ranks = {r for p in probabilities

@@ -27,7 +27,7 @@ class RunPaths:
 def process_transactions(spark: SparkSession, input_path: str, model: FeatureModel,
                          out_dir: str, fmt: str = "parquet") -> str:
     """Raw log to stored feature table; the path of the table."""
-    features = model.transform(read_transactions(spark, input_path))
+    features = model.transform(read_transactions(spark, input_path), parse_once=True)
     return write_table(features, f"{out_dir}/{output_name(input_path, fmt)}", fmt)
 
 
@@ -39,8 +39,8 @@ def detect(features: DataFrame, model: FraudModel, out_dir: str, fmt: str = "par
     scored = materialize(model.score(features), "scored")
     tie = S.ROW_KEY if S.ROW_KEY in scored.columns else None
     flagged = write_flagged(
-        flagged_transactions(scored, ordered=False), f"{out_dir}/detected_fraud_transactions", fmt, tie)
-    report = write_report(pattern_report(scored), f"{out_dir}/app_visualization_data")
+        flagged_transactions(scored, ordered=False), f"{out_dir}/flagged", fmt, tie)
+    report = write_report(pattern_report(scored), f"{out_dir}/report")
     return flagged, report
 
 
@@ -55,5 +55,5 @@ def run(spark: SparkSession, input_path: str, model_dir: str, out_dir: str,
     found = spark.read.parquet(flagged)
     order = [F.desc("fraud_probability"), F.desc("amt"), "txn_time"]
     explanations = write_explanations(
-        explain(found, explain_rows, order, generator), f"{out_dir}/fraud_explanations")
+        explain(found, explain_rows, order, generator), f"{out_dir}/explanations")
     return RunPaths(path, flagged, report, explanations)

@@ -86,5 +86,7 @@ def test_document(spark, flagged, tmp_path):
 
 def test_document_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(explain, "DOCUMENT_ROWS", 2)
+    with pytest.raises(ValueError, match="at most 2"):
+        explain.explain(spark.range(3), n=3)
     with pytest.raises(ValueError, match="at most 2"):
         explain.explanation_document(spark.range(3).withColumn("explanation", F.lit("x")))

@@ -79,6 +79,11 @@ def test_metrics_can_come_from_another_table(raw, spark, model, tmp_path):
     assert sorted((r["avg_txn_amt"] for r in got), key=str) == [60.0, None]
 
 
+def test_parsing_once_changes_nothing(raw, model):
+    df = raw([raw_row(amt=10.0), raw_row(cc_num=9, state=None)])
+    assert sorted(model.transform(df, parse_once=True).collect()) == sorted(model.transform(df).collect())
+
+
 def test_distance_is_kept_on_request_only(raw, model):
     df = raw([raw_row()])
     assert "distance" not in model.transform(df).columns

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from fraud_engine.operators.encode import distinct_values, fit_vocabulary, one_hot
 from fraud_engine.operators.joins import hot_keys, left_lookup
-from fraud_engine.operators.lookup import JobLookup, matrix_to_pairs, pairs_to_matrix
+from fraud_engine.operators.lookup import JobLookup, matrix_to_pairs, pairs_to_matrix, write_matrix
+from fraud_engine.sources import read_job_matrix
 
 JOBS = {"Business_&_Management": ["Dealer", "Barista"], "Legal_&_Government": ["Lawyer"]}
 
@@ -26,6 +27,15 @@ def test_pairs_to_matrix_and_back(spark):
     assert sorted(back.collect()) == sorted(pairs.collect())
 
 
+def test_matrix_through_csv(spark, tmp_path):
+    pairs = JobLookup.from_dict(spark, JOBS).pairs
+    path = write_matrix(pairs, list(JOBS), str(tmp_path / "jobs"))
+    wide = read_job_matrix(spark, path)
+    assert wide.columns == list(JOBS)
+    back = matrix_to_pairs(wide).select("job", "job_category")
+    assert sorted(back.collect()) == sorted(pairs.collect())
+
+
 def test_a_job_in_two_categories_is_refused(spark):
     with pytest.raises(ValueError, match="two categories"):
         JobLookup.from_dict(spark, {"A": ["x"], "B": ["x"]})
