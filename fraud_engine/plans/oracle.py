@@ -37,10 +37,12 @@ _ROWS = """rows_ AS (
           + cos(radians(lat)) * cos(radians(merch_lat)) * sin(radians(merch_long - long) / 2) ** 2 AS a
         FROM txn))"""
 
-_METRICS = """metrics AS (
-  SELECT cc_num, round(avg(amt), 2) AS avg_txn_amt, round(stddev_samp(amt), 2) AS stddev_txn_amt,
-    round(avg(txn_time), 2) AS avg_txn_time, round(avg(distance), 2) AS avg_merchant_distance
-  FROM rows_ GROUP BY cc_num)"""
+_MEANS = ", ".join(
+    f"CAST(round(CAST({f} AS DECIMAL(18, 9)), 2) AS DOUBLE) AS {name}" for name, f in (
+        ("avg_txn_amt", "avg(amt)"), ("stddev_txn_amt", "stddev_samp(amt)"),
+        ("avg_txn_time", "avg(txn_time)"), ("avg_merchant_distance", "avg(distance)")))
+_METRICS = f"""metrics AS (
+  SELECT cc_num, {_MEANS} FROM rows_ GROUP BY cc_num)"""
 
 _JOBS = "jobs(job, job_category) AS (VALUES " + ", ".join(
     f"('{job}', '{category}')" for category, names in txn.JOB_CATEGORY.items() for job in names) + ")"
@@ -259,6 +261,11 @@ ORACLE: dict[str, str] = {
     "card_metrics": _RM + "SELECT * FROM metrics",
     "txn_with_metrics": _RM + """SELECT trans_num, cc_num, avg_txn_amt, stddev_txn_amt, avg_txn_time,
         avg_merchant_distance FROM rows_ LEFT JOIN metrics USING (cc_num)""",
+    "metrics_from_train": _R + f""", parts AS (SELECT *, CASE WHEN {_h('33333333')} THEN 'test'
+          WHEN {_h('66666666')} THEN 'validation' ELSE 'train' END AS split FROM rows_),
+        fitted AS (SELECT cc_num, {_MEANS} FROM parts WHERE split = 'train' GROUP BY cc_num)
+        SELECT trans_num, cc_num, split, avg_txn_amt, stddev_txn_amt, avg_txn_time, avg_merchant_distance
+        FROM parts LEFT JOIN fitted USING (cc_num)""",
     "job_category_join": _with(_TXN, _ROWS, _JOBS)
         + "SELECT trans_num, job, job_category FROM rows_ LEFT JOIN jobs USING (job)",
     "lookup_unpivot": """SELECT DISTINCT 'p_name' AS job_category, p_name AS job FROM part
@@ -369,6 +376,11 @@ ORACLE: dict[str, str] = {
         CASE WHEN {_h('4ccccccc')} THEN 'test' ELSE 'train' END AS split FROM txn""",
     "split_exact_counts": _with(_TXN, _EXACT)
         + "SELECT split, is_fraud, count(*) AS n FROM exact GROUP BY split, is_fraud",
+    "split_exact_two_way": _with(_TXN, """ranked AS (
+        SELECT is_fraud, count(*) OVER (PARTITION BY is_fraud) AS size, row_number() OVER (
+          PARTITION BY is_fraud ORDER BY md5(concat('42', CAST(trans_num AS VARCHAR)))) AS place FROM txn)""") + """
+        SELECT CASE WHEN place <= floor(size * 0.3e0 + 0.5e0) THEN 'test' ELSE 'train' END AS split,
+        count(*) AS n, round(avg(is_fraud), 6) AS fraud_rate FROM ranked GROUP BY 1""",
     "split_exact_rows": _with(_TXN, _EXACT) + "SELECT trans_num, split FROM exact",
     "scaled_features": _R + f""", fit AS (
         SELECT avg(txn_time) AS tm, stddev_samp(txn_time) AS ts, avg(amt) AS am, stddev_samp(amt) AS asd
@@ -382,6 +394,9 @@ ORACLE: dict[str, str] = {
     "explanation_texts": _with(_TXN, _ROWS, _METRICS, _CONTEXT) + f"""
         SELECT trans_num, amount_anomaly, {_PROMPT} AS prompt, {_FALLBACK} AS fallback, {_SUMMARY} AS summary
         FROM context""",
+    "explanation_sample": _with(_TXN, _ROWS, _METRICS, _CONTEXT) + f"""
+        SELECT CAST(row_number() OVER (ORDER BY fraud_probability DESC, trans_num) - 1 AS INT) AS transaction_id,
+        {_SUMMARY} AS summary FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 3""",
     "explanations": _with(_TXN, _ROWS, _METRICS, _CONTEXT) + f"""
         SELECT CAST(row_number() OVER (ORDER BY fraud_probability DESC, trans_num) - 1 AS INT) AS transaction_id,
         amount, time, category, round(fraud_probability, 6) AS fraud_probability, {_FALLBACK} AS explanation

@@ -120,6 +120,14 @@ def txn_with_metrics(spark, sf_dir):
     return behavior.CardMetrics.fit(rows).attach(rows).select(S.ROW_KEY, S.CARD, *S.CARD_METRICS)
 
 
+@query
+def metrics_from_train(spark, sf_dir):
+    """Card metrics of the training rows, joined to all rows."""
+    rows = split.hash_split(_rows(spark, sf_dir))
+    fitted = behavior.CardMetrics.fit(rows.where("split = 'train'"))
+    return fitted.attach(rows).select(S.ROW_KEY, S.CARD, "split", *S.CARD_METRICS)
+
+
 @query
 def job_category_join(spark, sf_dir):
     return txn.job_lookup(spark).attach(_rows(spark, sf_dir)).select(S.ROW_KEY, "job", "job_category")
@@ -382,6 +390,12 @@ def split_exact_counts(spark, sf_dir):
     return parts.groupBy("split", S.LABEL).agg(F.count("*").alias("n"))
 
 
+@query
+def split_exact_two_way(spark, sf_dir):
+    parts = split.exact_split(txn.transactions(spark, sf_dir), split.TWO_WAY)
+    return rounded(split.split_rates(parts))
+
+
 @query
 def split_exact_rows(spark, sf_dir):
     return split.exact_split(txn.transactions(spark, sf_dir)).select(S.ROW_KEY, "split")
@@ -489,6 +503,14 @@ def explanation_texts(spark, sf_dir):
         S.ROW_KEY, "amount_anomaly", "prompt", "fallback", "summary")
 
 
+@query
+def explanation_sample(spark, sf_dir):
+    """Summary lines of the first three flagged rows."""
+    order = [F.desc("fraud_probability"), S.ROW_KEY]
+    top = explain.top_flagged(_explainable(spark, sf_dir), 3, order)
+    return explain.explanation_context(top, keep=("transaction_id",)).select("transaction_id", "summary")
+
+
 @query
 def explanations(spark, sf_dir):
     return rounded(explain.explain(

@@ -58,6 +58,14 @@ def test_card_metrics(raw):
     assert got[5]["stddev_txn_amt"] is None
 
 
+def test_means_between_two_cents_do_not_depend_on_partitions(spark):
+    rows = spark.range(0, 402, 1, 1).select(
+        F.lit(1).alias("cc_num"), (45 + (F.col("id") % 2) / 100).alias("amt"),
+        F.lit(1).alias("txn_time"), F.lit(0.0).alias("distance"))
+    for n in (1, 3, 8):
+        assert card_metrics(rows.repartition(n)).first()["avg_txn_amt"] == 45.01
+
+
 def test_both_ways_of_joining_metrics_agree(spark):
     rows = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 == 1, None).otherwise(F.col("id") % 40).cast("long").alias("cc_num"),

@@ -36,7 +36,7 @@ def test_hour_does_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-@pytest.mark.parametrize("dob, year", [("1985-05-05", 1985), ("05/05/1985", None), (None, None)])
+@pytest.mark.parametrize("dob, year", [("1985-05-05", 1985), ("05/05/1985", None), ("1985-5-5", None), ("1985-02-30", None), (None, None)])
 def test_birth_year(spark, dob, year):
     assert value(spark, fn.birth_year(F.lit(dob).cast("string"))) == year
 
