@@ -31,6 +31,21 @@ def fit_vocabulary(df: DataFrame, columns: list[str], max_values: int = MAX_VALU
     return {c: sorted(v) for c, v in vocabulary.items()}
 
 
-def one_hot(column: str, values: list[str], names: list[str]) -> list[Column]:
-    """One 0/1 flag per known value; null and unknown values give 0 everywhere."""
-    return [F.when(F.col(column) == v, 1).otherwise(0).alias(n) for v, n in zip(values, names)]
+def value_place(column: str, values: list[str]) -> Column:
+    """1-based place of the value in the vocabulary; 0 for null and unknown values."""
+    return F.coalesce(F.array_position(F.lit(values), F.col(column)), F.lit(0)).cast("int")
+
+
+def place_flags(place: str, names: list[str], first: int = 1) -> list[Column]:
+    """One 0/1 flag per place.
+
+    The text is looked up once for all flags; a flag compares two small integers.
+    """
+    return [(F.col(place) == i).cast("int").alias(n) for i, n in enumerate(names, first)]
+
+
+def one_hot(df: DataFrame, column: str, values: list[str], names: list[str]) -> DataFrame:
+    """`df` with one 0/1 flag per known value; null and unknown values give 0 everywhere."""
+    place = f"_{column}_place"
+    placed = df.withColumn(place, value_place(column, values))
+    return placed.select(*df.columns, *place_flags(place, names))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema as S
 from ..errors import ModelNotFound
-from ..session import local_table, materialize
+from ..session import local_table, materialize, tune
 from ..sources import read_or_none
 from .behavior import CardMetrics
-from .encode import fit_vocabulary, one_hot
+from .encode import fit_vocabulary, place_flags, value_place
 from .lookup import JobLookup, matrix_to_pairs
 
 
@@ -54,6 +54,12 @@ def decade_flags(year: str = "birth_year") -> list[Column]:
     return [fn.decade_flag(year, start).alias(name) for name, start in S.DECADES.items()]
 
 
+def decade_place(year: str = "birth_year") -> Column:
+    """Place of the birth decade among the flags, from 0; another number outside of them."""
+    first = min(S.DECADES.values())
+    return F.coalesce(F.floor((F.col(year) - first) / 10), F.lit(-1)).cast("int")
+
+
 @dataclass(frozen=True)
 class FeatureModel:
     """Fitted vocabularies and job lookup. The output columns depend on nothing else."""
@@ -116,21 +122,28 @@ class FeatureModel:
         rows; with `parse_once` the narrow rows are stored in between, which pays when the
         input is text.
         """
+        tune(txn.sparkSession)
         rows = row_features(txn, keep)
         if parse_once:
             rows = materialize(rows, "row_features")
         source = rows if fit_on is None else row_features(fit_on)
         rows = CardMetrics.fit(source).attach(self.lookup.attach(rows))
         label = [S.LABEL] if S.LABEL in rows.columns else []
-        return rows.select(
+        placed = rows.withColumns({
+            "_category": value_place("category", self.categories),
+            "_state": value_place("state", self.states),
+            "_job": value_place("job_category", self.job_categories),
+            "_decade": decade_place(),
+        })
+        return placed.select(
             *[c for c in keep if c not in label],
             *label,
             "txn_time",
             "amt",
-            *one_hot("category", self.categories, S.category_columns(self.categories)),
-            *one_hot("state", self.states, S.state_columns(self.states)),
-            *one_hot("job_category", self.job_categories, S.job_columns(self.job_categories)),
-            *decade_flags(),
+            *place_flags("_category", S.category_columns(self.categories)),
+            *place_flags("_state", S.state_columns(self.states)),
+            *place_flags("_job", S.job_columns(self.job_categories)),
+            *place_flags("_decade", list(S.DECADES), 0),
             *(["distance"] if keep_distance else []),
             *S.CARD_METRICS,
         )

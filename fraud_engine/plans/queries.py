@@ -83,22 +83,24 @@ def txn_distance(spark, sf_dir):
 
 @query
 def onehot_category(spark, sf_dir):
-    return _rows(spark, sf_dir).select(S.ROW_KEY, *encode.one_hot(
-        "category", txn.CATEGORIES, S.category_columns(txn.CATEGORIES)))
+    rows = _rows(spark, sf_dir).select(S.ROW_KEY, "category")
+    return encode.one_hot(
+        rows, "category", txn.CATEGORIES, S.category_columns(txn.CATEGORIES)).drop("category")
 
 
 @query
 def onehot_state(spark, sf_dir):
     states = txn.feature_model(spark, sf_dir).states
-    return _rows(spark, sf_dir).select(S.ROW_KEY, *encode.one_hot(
-        "state", states, S.state_columns(states)))
+    rows = _rows(spark, sf_dir).select(S.ROW_KEY, "state")
+    return encode.one_hot(rows, "state", states, S.state_columns(states)).drop("state")
 
 
 @query
 def onehot_job(spark, sf_dir):
     joined = txn.job_lookup(spark).attach(_rows(spark, sf_dir))
-    return joined.select(S.ROW_KEY, *encode.one_hot(
-        "job_category", S.JOB_CATEGORIES, S.job_columns(S.JOB_CATEGORIES)))
+    return encode.one_hot(
+        joined.select(S.ROW_KEY, "job_category"), "job_category", S.JOB_CATEGORIES,
+        S.job_columns(S.JOB_CATEGORIES)).drop("job_category")
 
 
 @query
@@ -264,11 +266,12 @@ def class_ratio(spark, sf_dir):
 
 def _flags(spark, sf_dir):
     rows = txn.job_lookup(spark).attach(_rows(spark, sf_dir, "score"))
-    return rows.select(
-        S.LABEL, S.ROW_KEY, "txn_time", "amt", "score",
-        *encode.one_hot("category", txn.CATEGORIES, S.category_columns(txn.CATEGORIES)),
-        *encode.one_hot("job_category", S.JOB_CATEGORIES, S.job_columns(S.JOB_CATEGORIES)),
-        *features.decade_flags())
+    flagged = encode.one_hot(
+        rows, "category", txn.CATEGORIES, S.category_columns(txn.CATEGORIES))
+    flagged = encode.one_hot(
+        flagged, "job_category", S.JOB_CATEGORIES, S.job_columns(S.JOB_CATEGORIES))
+    return flagged.select("*", *features.decade_flags()).drop(
+        "category", "state", "job", "job_category", "birth_year", "distance", S.CARD)
 
 
 @query

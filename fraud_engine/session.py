@@ -10,12 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-_SESSION_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
+# Settings that the wide and skewed plans need, in any session.
+_PLAN_CONF = {
     # A join on the card number is often followed by a grouping on it. Without this, AQE
     # leaves a skewed join partition whole rather than add a shuffle after the split.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM compiles no method of more than 8000 bytes. A stage that ends in some ninety flags
+    # is longer in one piece, and ran ten times slower than with a method per operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+_SESSION_CONF = {
+    **_PLAN_CONF,
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
     # Wide plans are built from many column calls; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -37,8 +44,9 @@ def build_session(app_name: str = "fraud-engine", master: str | None = None, **c
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Let AQE split skewed joins in a session that somebody else has built."""
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    """Plan settings for a session that somebody else has built."""
+    for key, value in _PLAN_CONF.items():
+        spark.conf.set(key, value)
     return spark
 
 

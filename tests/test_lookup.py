@@ -82,5 +82,5 @@ def test_vocabulary(spark):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([("a",), ("z",), (None,)], "s string")
-    got = df.select("s", *one_hot("s", ["a", "b"], ["is_a", "is_b"])).collect()
+    got = one_hot(df, "s", ["a", "b"], ["is_a", "is_b"]).collect()
     assert [tuple(r) for r in got] == [("a", 1, 0), ("z", 0, 0), (None, 0, 0)]
