@@ -16,7 +16,7 @@ _PLAN_CONF = {
     # leaves a skewed join partition whole rather than add a shuffle after the split.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # The JVM compiles no method of more than 8000 bytes. A stage that ends in some ninety flags
-    # is longer in one piece, and ran ten times slower than with a method per operator.
+    # is longer in one piece, and ran six times slower than with a method per operator.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 _SESSION_CONF = {
