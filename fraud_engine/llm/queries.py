@@ -5,8 +5,12 @@ from __future__ import annotations
 from fraud_engine.llm.decontaminate import op10_decontaminate
 from fraud_engine.llm.line_dedup import op9_line_dedup
 from fraud_engine.llm.oracle import ORACLE  # noqa: F401
+from fraud_engine.llm.packing import op8_best_fit
+from fraud_engine.llm.tokens import op4_token_planes
 
 QUERIES = {
+    "op4_token_planes": op4_token_planes,
+    "op8_best_fit": op8_best_fit,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
