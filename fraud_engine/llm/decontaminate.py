@@ -134,7 +134,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_wind
         one = _scan(whole.select("doc_id", "text"), part, window, True)
         found = one if found is None else found.unionByName(one)
 
-    def unite(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unite(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit, items, text, words = None, set(), None, 0
         for batch in batches:
             for row in batch.to_pylist():
