@@ -10,10 +10,12 @@ from fraud_engine.llm.line_dedup import op9_line_dedup
 from fraud_engine.llm.oracle import ORACLE  # noqa: F401
 from fraud_engine.llm.packing import op8_best_fit
 from fraud_engine.llm.ppm import op7_ppm
+from fraud_engine.llm.suffix_dedup import op1_suffix_dedup
 from fraud_engine.llm.tokens import op4_token_planes
 from fraud_engine.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_fingerprint": op3_fingerprint,
     "op4_token_planes": op4_token_planes,
