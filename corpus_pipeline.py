@@ -1,41 +1,74 @@
-"""The corpus pipeline: toxicity, line dedup, near-copy removal, decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, near-copy removal, decontamination, packing.
+
+Rows are told apart by id and text, so rows that share an id are judged each by its own text; a null id
+is an id like any other, except that near-copy removal keeps all documents without id that equal no other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fraud_engine.llm import decontaminate, line_dedup
+from fraud_engine.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from fraud_engine.llm.common import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (doc_id, hash of the text) is not among the (_id, _key) of `gone`."""
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(gone.select("_id", "_key").distinct(), same, "left_anti")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model does not reject."""
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return _without(docs, materialize(rejected, "rejected"))
+
+
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that many documents share."""
-    kept = line_dedup.dedup_lines(docs).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "kept").dropDuplicates(["_id", "_text_key"])
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("_key", key).join(
-        kept, (F.col("_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return joined.select(*[
-        {"text": text.alias("text"), "n_chars": F.char_length(text).cast("long").alias("n_chars")}.get(c, F.col(c))
-        for c in docs.columns])
+    changed = line_dedup.dedup_lines(docs).where("n_dropped > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
+    changed = materialize(changed, "changed-lines").dropDuplicates(["_id", "_key"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    text = F.coalesce("kept", "text")
+    new = {"text": text.alias("text"), "n_chars": F.char_length(text).cast("long").alias("n_chars")}
+    return docs.join(changed, same, "left").select(*[new.get(c, F.col(c)) for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked as near copies, the one with the smallest id; of rows with one id, one."""
+    linked = jaccard_join.link_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    kept = materialize(linked.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
+    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    named = staying.where("doc_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return named.unionByName(staying.where("doc_id is null"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that share no window of words with the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where(F.col("n_hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    return _without(docs, materialize(hit, "contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
     ("line_dedup", without_repeated_lines),
+    ("jaccard_join", one_of_each_group),
     ("decontaminate", uncontaminated),
+    ("best_fit", packed),
 ]
 
 
@@ -49,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# Learned scores and best-fit packing have no SQL form.
+# Learned scores and best-fit packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -44,4 +44,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE = {"op9_line_dedup": _OP9, "op10_decontaminate": _OP10}
+_OP6 = """
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM dw WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_of AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM both_of JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT x, y FROM edges UNION SELECT a, y FROM reach JOIN edges ON b = x),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, least(dw.doc_id, coalesce(m, dw.doc_id)) AS component_id
+FROM dw LEFT JOIN sizes ON sizes.doc_id = dw.doc_id LEFT JOIN least_of ON a = dw.doc_id
+"""
+
+ORACLE = {"op6_jaccard": _OP6, "op9_line_dedup": _OP9, "op10_decontaminate": _OP10}

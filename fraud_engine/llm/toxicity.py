@@ -123,7 +123,7 @@ def _feature_rows(texts: pa.Array, weights: Weights) -> np.ndarray:
 
 
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and `features`, an array in the order of FEATURES; a null or empty text has zeros."""
+    """doc_id, text_key and `features`, an array in the order of FEATURES; a null or empty text has zeros."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +131,11 @@ def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         for batch in slices(batches):
             rows = _feature_rows(batch.column("text"), weights)
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"),
+                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"),
                 "features": pa.array(list(rows), pa.list_(pa.float64()))})
 
-    return docs.mapInArrow(run, "doc_id long, features array<double>")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, features array<double>")
 
 
 def term_counts(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -172,13 +173,14 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, score (0 to 1) of every row."""
+        """doc_id, text_key (hash of the text), score (0 to 1) of every row."""
         docs = id_text(docs)
         if self.trees is None:
-            return docs.select("doc_id", F.lit(self.constant).cast("double").alias("score"))
+            return docs.select(
+                "doc_id", F.xxhash64("text").alias("text_key"), F.lit(self.constant).cast("double").alias("score"))
         margin = _margins(self.trees, features(docs, self.lexicon))
         scored = self.calibration.transform(margin)
-        return scored.select("doc_id", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return scored.select("doc_id", "text_key", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _margins(trees, rows: DataFrame) -> DataFrame:
@@ -240,12 +242,12 @@ def learnable(doc_id) -> F.Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; a null id is not held out."""
+    """doc_id, held_out, score, predicted, text_key of every row; a null id is not held out."""
     model = fit(docs, labels.where(learnable(F.col("doc_id"))))
     return model.score(docs).select(
         "doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")

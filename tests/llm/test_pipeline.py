@@ -1,0 +1,88 @@
+"""The pipeline's stages against plain versions, and the registered queries."""
+
+import brute
+import corpus_pipeline
+import pytest
+
+from fraud_engine.llm import toxicity
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.fixture
+def folder(spark, make, doubled, tmp_path):
+    rows = doubled + [(9001, " ".join(f"b{i}" for i in range(4, 20)))]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(25)))], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path), rows
+
+
+def plain(rows):
+    """What is left of (doc_id, text) before packing, without toxic documents."""
+    cut = {(d, t): k for (d, t), (*_, k) in zip(rows, brute.deduped_lines(rows))}
+    rows = [(d, None if t is None else cut[d, t]) for d, t in rows]
+    named = sorted({(d, t) for d, t in rows if d is not None}, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    return rows, named
+
+
+def test_stages(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "decontaminate", "best_fit"]
+    kept = corpus_pipeline.not_toxic(spark, docs, path)
+    assert kept.columns == columns and kept.count() == len(rows)
+    lines = corpus_pipeline.without_repeated_lines(spark, kept, path)
+    expected, named = plain(rows)
+    assert lines.columns == columns
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in lines.collect()])) == sorted(map(repr, expected))
+    single = [r for r in named if sum(d == r[0] for d, _ in named) == 1]
+    group = corpus_pipeline.one_of_each_group(spark, lines, path)
+    assert group.columns == columns
+    ids = [r.doc_id for r in group.collect()]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    components = brute.link_components(single)
+    twice = {d for d, _ in named} - {d for d, _ in single}
+    for d, (_, component) in components.items():
+        if component == d and not twice:
+            assert d in ids
+    clean = corpus_pipeline.uncontaminated(spark, group, path)
+    assert clean.columns == columns
+    assert {r.doc_id for r in group.collect()} - {r.doc_id for r in clean.collect()} == {9001}
+    pieces = corpus_pipeline.packed(spark, clean, path)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_groups_keep_the_smallest_id(spark, make, rows):
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, make(rows), "").collect()}
+    assert got == {d for d, (_, c) in brute.link_components(rows).items() if c == d}
+
+
+def test_toxic_documents_go(spark, make, rows, monkeypatch):
+    docs = make(rows)
+    bad = {d for d, _ in rows[:7]}
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "score_documents", lambda docs, labels: docs.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").isin(list(bad)).cast("int").alias("predicted")))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: None)
+    # materialize reads what it wrote, so it is replaced as well
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: df)
+    kept = {r.doc_id for r in corpus_pipeline.not_toxic(spark, docs, "").collect()}
+    assert kept == {d for d, _ in rows} - bad
+
+
+def test_run(spark, folder):
+    path, _ = folder
+    got = corpus_pipeline.run(spark, path)
+    assert got.columns[:2] == ["doc_id", "piece"] and 9001 not in {r.doc_id for r in got.collect()}
+
+
+def test_all_queries_are_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert "pipeline" in names
