@@ -120,9 +120,9 @@ def pieces_of(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: str = V
         encoder = Encoder.of(vocabulary)
         for batch in slices(batches):
             rows = []
-            texts = batch.column("text").fill_null("").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                raw, n = ids.astype("<u4").tobytes(), len(ids)
+            all_ids, at = encoder.encode(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:]):
+                raw, n = all_ids[a:b].astype("<u4").tobytes(), int(b - a)
                 ends = list(range(n, 0, -max_tokens))[::-1]
                 for piece, end in enumerate(ends):
                     start = ends[piece - 1] if piece else 0

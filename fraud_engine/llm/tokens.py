@@ -1,8 +1,8 @@
 """Token ids of texts by a public byte-level BPE, and the file format that stores them.
 
-Encoding. The vocabulary's own pattern cuts a text into pieces, and merges never cross a piece. So each
-distinct piece is encoded once by the tokenizers library and remembered; a text that holds the string
-of a special token is encoded whole by the library instead.
+Encoding. The vocabulary's own pattern cuts a text into pieces, and merges never cross a piece. The pieces of
+a batch are found and hashed as arrays, each distinct one is encoded once by the tokenizers library and
+remembered. A text that holds the string of a special token is encoded whole by the library.
 
 File format ("planes"). Ids are cut into blocks of `BLOCK_IDS`. A block is transposed into its four
 byte planes (or 32 bit planes), each plane is compressed by zstandard, and an index at the end of the
@@ -30,34 +30,88 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.llm.common import documents, id_text, parts_for, scratch_dir
+from fraud_engine.llm.common import documents, id_text, materialize, parts_for, scratch_dir
 from fraud_engine.llm.ordered import in_order
-from fraud_engine.llm.textbatch import slices
+from fraud_engine.llm.textbatch import range_hashes, slices, text_bytes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK_IDS = 1 << 16
-#: Pieces that a task remembers; the others are encoded each time.
-KNOWN_PIECES = 400_000
+#: Pieces that a process remembers, about 40 bytes each; beyond it, it starts anew.
+KNOWN_PIECES = 3_000_000
 #: Bytes of text that go to one file.
 FILE_BYTES = 8 << 20
 MAGIC = b"IDPLANES"
 
 
+_SPACE_CLASS, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
+_classes: list[np.ndarray] = []
+
+
+def char_classes() -> np.ndarray:
+    """Class of every code point: white space, letter, number, other."""
+    if not _classes:
+        import regex
+
+        points = np.arange(0x110000, dtype=np.uint32)
+        text = points.tobytes().decode("utf-32-le", "surrogatepass")
+        found = np.full(0x110000, _OTHER, np.uint8)
+        for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE_CLASS)):
+            found[[m.start() for m in regex.finditer(pattern, text)]] = kind
+        _classes.append(found)
+    return _classes[0]
+
+
+def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of the vocabulary's pattern begin, in code points; rows begin at `first`.
+
+    A piece is a run of letters, of numbers or of other characters with one space before it, or a run of
+    white space without its last character if something follows; 's 't 're 've 'm 'll 'd are pieces
+    where they do not follow other characters or a space.
+    """
+    kind = char_classes()[points]
+    n = len(points)
+    begins = np.zeros(n + 1, bool)
+    begins[first] = True
+    row_end = begins.copy()  # at place i: a row begins at i, or the texts end
+    row_end[n] = True
+    change = np.ones(n, bool)
+    change[1:] = (kind[1:] != kind[:-1]) | row_end[1:n]
+    after_blank = np.zeros(n, bool)
+    after_blank[1:] = (points[:-1] == 32) & ~row_end[1:n]
+    word = kind != _SPACE_CLASS
+    starts = change & ~(word & after_blank)
+    # The last white space before something else.
+    last = np.zeros(n, bool)
+    last[:-1] = ~word[:-1] & word[1:] & ~row_end[1:n]
+    starts |= last
+    for i in np.flatnonzero((points == 39) & starts):
+        tail = points[i + 1:i + 3].tobytes().decode("utf-32-le", "replace")
+        size = 1 if tail[:1] and tail[0] in "stmd" else 2 if tail in ("re", "ve", "ll") else 0
+        if size and not row_end[i + 1:i + 1 + size].any():
+            starts[i + 1] = False
+            if i + 1 + size < n:
+                starts[i + 1 + size] = True
+    return np.flatnonzero(starts)
+
+
 class Encoder:
-    """Texts to arrays of ids, by the tokenizers library."""
+    """Texts to ids by the tokenizers library, which is asked once for each distinct piece."""
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # By sorted hash: where the ids of a piece begin and how many there are.
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,30 +120,62 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                found.append(None)
-            else:
-                found.append(self.pieces(text))
-        new = list(set(itertools.chain.from_iterable(p for p in found if p)).difference(self.known))
-        ids = [tuple(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        if len(self.known) + len(new) <= KNOWN_PIECES:
-            self.known.update(zip(new, ids))
-            look = self.known.__getitem__
-        else:
-            here = dict(zip(new, ids))
-            look = lambda piece: self.known.get(piece) or here[piece]
-        out = []
-        for text, pieces in zip(texts, found):
-            if pieces is None:
-                own = self.library.encode(text, add_special_tokens=False).ids
-            else:
-                own = list(itertools.chain.from_iterable(map(look, pieces)))
-            own.append(END_ID)
-            out.append(np.array(own, np.uint32))
-        return out
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        begin = size.cumsum() - size + len(self.ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.begin, begin), (self.size, size)))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text followed by the end id, and the n+1 places where the texts begin; null is empty."""
+        plain = texts.fill_null("")
+        whole = {}
+        data, offsets = text_bytes(plain)
+        if any(data.tobytes().find(s.encode()) >= 0 for s in self.special):
+            rows = plain.to_pylist()
+            whole = {r: t for r, t in enumerate(rows) if any(s in t for s in self.special)}
+            data, offsets = text_bytes(pa.array(["" if r in whole else t for r, t in enumerate(rows)], pa.large_string()))
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(lead, offsets)
+        starts = piece_starts(points, first[:-1])
+        begin = lead[starts]
+        end = np.append(begin[1:], len(data))
+        keys = range_hashes(data, begin, end)
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        distinct, sample = keys[order][new], order[new]
+        index = np.empty(len(keys), np.int64)
+        index[order] = np.cumsum(new) - 1
+        if len(self.keys) > KNOWN_PIECES:
+            self.forget()
+        at = np.searchsorted(self.keys, distinct)
+        unknown = np.ones(len(distinct), bool)
+        inner = at < len(self.keys)
+        unknown[inner] = self.keys[at[inner]] != distinct[inner]
+        if unknown.any():
+            self._learn(distinct[unknown], [data[begin[i]:end[i]].tobytes().decode() for i in sample[unknown]])
+            at = np.searchsorted(self.keys, distinct)
+        size, source = self.size[at][index], self.begin[at][index]
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, first)))
+        total = np.concatenate([[0], np.cumsum(size)])
+        n_rows = len(offsets) - 1
+        per_row = np.bincount(row, weights=size, minlength=n_rows).astype(np.int64)
+        flat = self.ids[np.arange(total[-1]) + np.repeat(source - total[:-1], size)]
+        places = np.concatenate([[0], np.cumsum(per_row + 1)])
+        out = np.full(places[-1], END_ID, np.uint32)
+        out[np.arange(total[-1]) + np.repeat(np.arange(n_rows), per_row)] = flat
+        if not whole:
+            return out, places
+        parts = [out[a:b] for a, b in zip(places[:-1], places[1:])]
+        for r, text in whole.items():
+            parts[r] = np.array([*self.library.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def byte_planes(ids: np.ndarray) -> list[bytes]:
@@ -212,8 +298,9 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, planes
             if writer is None:
                 sink = store.open_output_stream(f"{base}/{path}.part")
                 writer = Writer(sink, planes, block_ids)
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                writer.add(doc_id, own)
+            ids, at = encoder.encode(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:]):
+                writer.add(doc_id, ids[a:b])
         if writer:
             n_bytes = writer.close()
             sink.close()
@@ -222,7 +309,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, planes
                 "part": part, "path": path, "n_docs": len(writer.docs), "n_ids": writer.n_ids, "n_bytes": n_bytes}],
                 pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    files = sorted(map(tuple, ordered.mapInArrow(run, _MANIFEST).collect()))
+    files = sorted(map(tuple, materialize(ordered.mapInArrow(run, _MANIFEST), "id-files").collect()))
     rows, first = [], 0
     for part, path, n_docs, n_ids, n_bytes in files:
         rows.append((part, path, n_docs, n_ids, n_bytes, first))
