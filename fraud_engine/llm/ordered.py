@@ -15,8 +15,11 @@ _FIRST = np.iinfo(np.int64).min
 
 
 def in_order(df: DataFrame, order: list[str], n_parts: int) -> DataFrame:
-    """The rows by ranges of `order`: partition after partition they are in order, nulls first."""
-    return df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    """The rows by ranges of the first column of `order`: partition after partition in order, nulls first.
+
+    The cut points come from a sample of that column on the driver, so it must be a narrow one.
+    """
+    return df.repartitionByRange(n_parts, order[0]).sortWithinPartitions(*order)
 
 
 def cut_points(df: DataFrame, column: str, n_parts: int) -> list[int]:
