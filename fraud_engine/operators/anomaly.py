@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import schema as S
-from ..session import local_table, materialize, spread
+from ..session import local_table, materialize
 from .ranking import exact_percentiles
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, n int, depth int"
 )
-# Rows drawn from a large table before the trees sample from them, per sampled row.
-POOL_FACTOR = 4
 # Rows that walk all trees together, so that the working arrays stay in the processor's cache.
 BLOCK_ROWS = 512
 
@@ -68,24 +66,24 @@ def _grow(tree: int, x: np.ndarray, seed: int, max_depth: int) -> pd.DataFrame:
 def sample_per_tree(df: DataFrame, features: str, key: str, trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, order, features): a few more than `sample` rows for every tree.
 
-    Membership depends on the row key alone, so neither partitions nor retries change it.
-    A large table is first thinned to a pool; the trees sample from the pool, one
-    independently of the other.
+    Every tree takes every row with the same chance, independently of the other trees and by a hash of
+    the row key alone, so neither partitions nor retries change it. The first tree of a row comes from
+    one draw of the geometric distribution; most rows of a large table have none and go no further.
     """
     rows = df.count()
-    pool_rows = POOL_FACTOR * trees * sample
-    pool = df.select(F.col(key).alias("key"), F.col(features).alias("features"))
-    if rows > pool_rows:
-        pool = pool.where(_unit_hash(F.lit(seed), F.col("key")) < pool_rows / rows)
-        pool = materialize(pool, "isolation_pool")
-        rows = pool.count()
-    pool = spread(pool, rows)
     share = min(1.0, (sample + 6 * math.sqrt(sample)) / max(rows, 1))
-    members = F.filter(
+    first = F.lit(0)
+    if share < 1.0:
+        unit = F.greatest(_unit_hash(F.lit(seed), F.col("key")), F.lit(0.0))
+        first = F.floor(F.log1p(-unit) / F.lit(math.log1p(-share))).cast("int")
+    taken = df.select(F.col(key).alias("key"), F.col(features).alias("features")).withColumn(
+        "_first", first).where(F.col("_first") < trees)
+    later = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: _unit_hash(F.lit(seed + 1), t, F.col("key")) < share,
+        lambda t: (t == F.col("_first"))
+        | ((t > F.col("_first")) & (_unit_hash(F.lit(seed + 1), t, F.col("key")) < share)),
     )
-    return pool.select(F.explode(members).alias("tree"), "key", "features").select(
+    return taken.select(F.explode(later).alias("tree"), "key", "features").select(
         "tree", F.xxhash64(F.lit(seed + 2), "tree", "key").alias("order"), "features")
 
 
@@ -181,11 +179,17 @@ class IsolationForest:
         return cls(stored.drop("trees", "sample"), head["trees"], head["sample"])
 
 
+def _cut(scored: DataFrame, score: str, probability: float) -> Column:
+    """The percentile as a constant; null for a table without scores."""
+    found = exact_percentiles(scored, score, [probability]).first()
+    return F.lit(found["value"] if found else None).cast("double")
+
+
 def flag_lowest(scored: DataFrame, contamination: float = 0.02, score: str = "score") -> DataFrame:
     """1 for scores below the percentile of `contamination`. Give a stored table: it is re-read."""
-    cut = exact_percentiles(scored, score, [contamination]).first()["value"]
+    cut = _cut(scored, score, contamination)
     return scored.withColumns({
-        "decision": F.col(score) - F.lit(cut),
+        "decision": F.col(score) - cut,
         "is_anomaly": (F.col(score) < cut).cast("int"),
     })
 
@@ -194,7 +198,7 @@ def flag_highest(scored: DataFrame, probability: float = 0.99, score: str = "err
                  exact: bool = True) -> DataFrame:
     """1 for values strictly above the percentile. Give a stored table: it is re-read."""
     if exact:
-        cut = exact_percentiles(scored, score, [probability]).first()["value"]
+        cut = _cut(scored, score, probability)
     else:
         cut = scored.agg(F.percentile_approx(score, probability)).first()[0]
     return scored.withColumn("is_anomaly", fn.above_threshold(score, cut))

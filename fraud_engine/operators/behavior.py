@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import materialize
-from .joins import BROADCAST_ROWS, HOT_PARTS, left_lookup
+from .joins import HOT_PARTS, left_lookup
 
 
 def _two_places(value: Column) -> Column:
@@ -40,19 +40,14 @@ def card_metrics(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CardMetrics:
-    """Stored card metrics with what the join needs to know: rows, and rows per card."""
+    """Stored card metrics."""
 
     table: DataFrame
-    rows: int
 
     @classmethod
     def fit(cls, rows: DataFrame) -> "CardMetrics":
-        counted = rows.groupBy(S.CARD).agg(*_aggregates(), F.count("*").alias("n"))
-        table = materialize(counted, "card_metrics")
-        return cls(table, table.count())
-
-    def attach(self, txn: DataFrame, broadcast_rows: int = BROADCAST_ROWS, parts: int = HOT_PARTS) -> DataFrame:
-        return left_lookup(
-            txn, self.table.drop("n"), S.CARD, self.rows,
-            counts=self.table.select(S.CARD, "n"), broadcast_rows=broadcast_rows, parts=parts,
-        )
+        return cls(materialize(card_metrics(rows), "card_metrics"))
+
+    def attach(self, txn: DataFrame, slice_hot: bool = False, parts: int = HOT_PARTS) -> DataFrame:
+        """`txn` with the metrics of its card; see `left_lookup`."""
+        return left_lookup(txn, self.table, S.CARD, slice_hot, parts)

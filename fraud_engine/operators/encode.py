@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One value is one column of the table, so a longer vocabulary is a mistake in the input.
-MAX_VALUES = 5_000
-
-
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) of all non-null values, for all columns in one pass."""
     pairs = F.array(*[
@@ -20,20 +16,26 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def fit_vocabulary(df: DataFrame, columns: list[str], max_values: int = MAX_VALUES) -> dict[str, list[str]]:
-    """Sorted distinct values per column. More than `max_values` in all is an error."""
-    found = distinct_values(df, columns).limit(max_values + 1).collect()
-    if len(found) > max_values:
-        raise ValueError(f"columns {columns} have more than {max_values} distinct values")
+def fit_vocabulary(df: DataFrame, columns: list[str], max_values: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values per column, each of which becomes a column of the table.
+
+    With `max_values`, a column that has more is an error.
+    """
     vocabulary: dict[str, list[str]] = {c: [] for c in columns}
-    for row in found:
+    for row in distinct_values(df, columns).toLocalIterator():
         vocabulary[row["column"]].append(row["value"])
+        if max_values is not None and len(vocabulary[row["column"]]) > max_values:
+            raise ValueError(f"column {row['column']} has more than {max_values} distinct values")
     return {c: sorted(v) for c, v in vocabulary.items()}
 
 
 def value_place(column: str, values: list[str]) -> Column:
     """1-based place of the value in the vocabulary; 0 for null and unknown values."""
-    return F.coalesce(F.array_position(F.lit(values), F.col(column)), F.lit(0)).cast("int")
+    if not values:
+        return F.lit(0)
+    # A constant map is hashed once, so a look-up does not walk the vocabulary.
+    places = F.create_map(*[v for i, value in enumerate(values, 1) for v in (F.lit(value), F.lit(i))])
+    return F.coalesce(F.try_element_at(places, F.col(column)), F.lit(0))
 
 
 def place_flags(place: str, names: list[str], first: int = 1) -> list[Column]:

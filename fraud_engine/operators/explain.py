@@ -70,11 +70,6 @@ FALLBACK = (
 )
 SUMMARY = "Amount: $%s | Time: %s | Category: %s | Confidence: %s%%"
 
-# A ranked list of explanations, and the document made of it, hold at most this many rows.
-# `explanation_context` explains a table of any size.
-DOCUMENT_ROWS = 10_000
-
-
 def feature_name(column: str, prefix: str = "") -> str:
     """Readable name, or the column name without its prefix when there is none."""
     return FEATURE_NAMES.get(column, column.removeprefix(prefix))
@@ -134,20 +129,21 @@ def top_flagged(flagged: DataFrame, n: int, order: list[Column | str]) -> DataFr
 
 
 def _generate(context: DataFrame, generator: Callable[[str], str], tasks: int) -> DataFrame:
-    """`context` with `generated`, null where the generator failed."""
+    """`context` with `generated` and, where the generator failed, `error` instead."""
 
-    def call(prompt: str) -> str | None:
+    def call(prompt: str) -> tuple[str | None, str | None]:
         try:
-            return generator(prompt)
-        except Exception:
-            return None
+            return generator(prompt), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(generated=[call(p) for p in batch["prompt"]])
+            outcomes = [call(p) for p in batch["prompt"]]
+            yield batch.assign(generated=[o[0] for o in outcomes], error=[o[1] for o in outcomes])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in context.schema.fields)
-    return context.repartition(tasks).mapInPandas(run, f"{schema}, generated string")
+    return context.repartition(tasks).mapInPandas(run, f"{schema}, generated string, error string")
 
 
 def explain(
@@ -156,29 +152,36 @@ def explain(
     order: list[Column | str] | None = None,
     generator: Callable[[str], str] | None = None,
     tasks: int = 8,
+    keep: tuple[str, ...] = (),
+    outcome: bool = False,
 ) -> DataFrame:
-    """One explanation per row for the first `n` flagged rows.
+    """One explanation per row for the first `n` flagged rows, with the `keep` columns behind it.
 
     The text comes from `generator(prompt)`, a function of the caller, run in `tasks` tasks;
-    without one, or where it fails, the templated text stands in.
+    without one, or where it fails, the templated text stands in. With `outcome` there are two more
+    columns: `source` ("generator" or "template") and the generator's `error`. Rows of equal score are
+    in order of their key, or of a hash of all columns where the table has none.
     """
-    if n > DOCUMENT_ROWS:
-        raise ValueError(f"at most {DOCUMENT_ROWS} ranked rows; use explanation_context for more")
-    top = top_flagged(flagged, n, order or [F.desc("fraud_probability")])
-    context = explanation_context(top, keep=("transaction_id",))
-    text = F.col("fallback")
+    tie = F.col(S.ROW_KEY) if S.ROW_KEY in flagged.columns else F.xxhash64(*[F.col(f"`{c}`") for c in flagged.columns])
+    top = top_flagged(flagged, n, order or [F.desc("fraud_probability"), tie])
+    context = explanation_context(top, keep=("transaction_id", *keep))
+    text, source, error = F.col("fallback"), F.lit("template"), F.lit(None).cast("string")
     if generator is not None:
         context = _generate(context, generator, tasks)
-        text = F.coalesce(fn.clean_response("generated"), text)
+        cleaned = fn.clean_response("generated")
+        source, error = F.when(cleaned.isNotNull(), "generator").otherwise("template"), F.col("error")
+        text = F.coalesce(cleaned, text)
     return context.select(
         "transaction_id", "amount", "time", "category", "fraud_probability",
-        text.alias("explanation"))
+        text.alias("explanation"), *keep,
+        *([source.alias("source"), error.alias("error")] if outcome else []))
 
 
 def explanation_document(explanations: DataFrame) -> DataFrame:
-    """The explanations in one row: time of writing, number, and rows in order."""
-    if explanations.limit(DOCUMENT_ROWS + 1).count() > DOCUMENT_ROWS:
-        raise ValueError(f"a document holds at most {DOCUMENT_ROWS} explanations; write the rows flat")
+    """The explanations in one row: time of writing, number, and rows in order.
+
+    It holds the rows that the caller asked `explain` for; a longer table is written flat.
+    """
     return explanations.agg(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at"),
         F.count("*").alias("total_transactions"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup of at most this many rows goes to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 # A key is hot when it holds more than 1/HOT_PARTS of all rows, so fewer than HOT_PARTS keys
 # can be hot and their slices add up to less than 2 * HOT_PARTS.
 HOT_PARTS = 2000
@@ -21,26 +19,17 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", parts: int = HOT_PARTS)
     )
 
 
-def left_lookup(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    dim_rows: int,
-    counts: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-    parts: int = HOT_PARTS,
-) -> DataFrame:
-    """`fact` LEFT JOIN `dim` on `key`.
-
-    `dim_rows` is the measured size of `dim`, which decides the way: a broadcast up to
-    `broadcast_rows`, else a shuffle in which rows of hot keys are spread over slices and
-    `dim` holds one copy per slice. `counts` (key, n) saves counting the keys of `fact`.
-    Give `fact` with its row identifier: slices come from a hash of the row.
+def left_lookup(fact: DataFrame, dim: DataFrame, key: str, slice_hot: bool = False, parts: int = HOT_PARTS) -> DataFrame:
+    """`fact` LEFT JOIN `dim` on `key`; `dim` is a small or a stored table, so its size is known.
+
+    Spark chooses the way from that size, and splits skewed partitions. With `slice_hot`, for sessions
+    that cannot split them, rows of hot keys are spread over slices first and `dim` holds one copy of
+    theirs per slice; the hot keys are those of `fact`, the rows that are moved. Give `fact` with
+    its row identifier then: slices come from a hash of the row.
     """
-    if dim_rows <= broadcast_rows:
-        return fact.join(F.broadcast(dim), key, "left")
-    if counts is None:
-        counts = fact.groupBy(key).agg(F.count("*").alias("n"))
+    if not slice_hot:
+        return fact.join(dim, key, "left")
+    counts = fact.groupBy(key).agg(F.count("*").alias("n"))
     hot = F.broadcast(hot_keys(counts, key, parts=parts))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
     # A null key finds nothing, so its rows may go to any slice.

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_table
+from ..session import local_table, materialize
 from ..sources import write_table
 from .joins import left_lookup
-
-# The wide matrix is a document for people. It is not built from more pairs than this.
-MATRIX_PAIRS = 100_000
-
+from .ranking import places_within
 
 def matrix_to_pairs(wide: DataFrame) -> DataFrame:
     """One row (job_category, job) per filled cell, distinct."""
@@ -22,12 +19,14 @@ def matrix_to_pairs(wide: DataFrame) -> DataFrame:
 
 
 def pairs_to_matrix(pairs: DataFrame, categories: list[str], order_by: str = "job") -> DataFrame:
-    """Row i holds the i-th job of every category, "" where a category has no more."""
-    if pairs.limit(MATRIX_PAIRS + 1).count() > MATRIX_PAIRS:
-        raise ValueError(f"more than {MATRIX_PAIRS} pairs do not fit a lookup matrix")
-    position = F.row_number().over(Window.partitionBy("job_category").orderBy(order_by)) - 1
+    """Row i holds the i-th job of every category, "" where a category has no more.
+
+    A category of any size is ranked in slices. Pairs without category have no column.
+    """
+    known = materialize(pairs.where(F.col("job_category").isNotNull()), "matrix_pairs")
+    placed = places_within(known, "job_category", order_by, known.count())
     return (
-        pairs.withColumn("position", position)
+        placed.withColumn("position", F.col("before").cast("int"))
         .groupBy("position").pivot("job_category", categories).agg(F.first("job"))
         .na.fill("")
     )
@@ -62,4 +61,4 @@ class JobLookup:
 
     def attach(self, txn: DataFrame) -> DataFrame:
         """`txn` with `job_category`, null for a job that is not listed."""
-        return left_lookup(txn, self.pairs, "job", self.rows)
+        return left_lookup(txn, self.pairs, "job")

@@ -14,6 +14,11 @@ from .ranking import exact_percentiles, running_totals, store_counts
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
+def _is_number(column: str) -> Column:
+    """Neither null nor NaN: what has no score is left out of every measure of scores."""
+    return F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 when b is 0."""
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
@@ -77,12 +82,17 @@ def class_report(df: DataFrame, label: str = S.LABEL, prediction: str = "predict
 def _sweep(df: DataFrame, thresholds: list[float], label: str, score: str) -> DataFrame:
     """One row per threshold, with its place `i` in the list.
 
-    A row's level is the number of thresholds below its score, so one grouping by label and
+    Rows without a score are left out. A row's level is the number of thresholds below its score, so one grouping by label and
     level counts for all thresholds; the rest works on a few groups.
     """
     level = sum(((F.col(score) > t).cast("int") for t in sorted(thresholds)), F.lit(0))
-    groups = df.where(F.col(score).isNotNull()).groupBy(
+    counted = df.where(_is_number(score)).groupBy(
         F.col(label).alias("label"), level.alias("level")).agg(F.count("*").alias("n"))
+    # A row that counts for nothing, so that an empty table has all its thresholds as well.
+    none = df.sparkSession.range(1).select(
+        F.lit(None).cast(df.schema[label].dataType).alias("label"), F.lit(0).alias("level"),
+        F.lit(0).cast("long").alias("n"))
+    groups = counted.unionByName(none)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"),
                  F.lit(sum(u < t for u in thresholds)).alias("rank"))
@@ -169,15 +179,18 @@ def average_precision(df: DataFrame, label: str = S.LABEL, score: str = "score",
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed, empty ones included."""
+    """Equal-width bins from minimum to maximum, the last one closed, empty ones included.
+
+    Null and NaN values are left out.
+    """
+    df = df.where(_is_number(value))
     lo, hi = df.agg(F.min(value), F.max(value)).first()
     if lo is None:
         return local_table(df.sparkSession, [], "bin int, lower double, upper double, n long")
     width = (hi - lo) / bins or 1.0
     v = F.col(value)
     counts = (
-        df.where(v.isNotNull())
-        .groupBy(F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int").alias("bin"))
+        df.groupBy(F.least(F.floor((v - lo) / width), F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     # `bins` rows, a parameter.

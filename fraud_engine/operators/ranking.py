@@ -1,18 +1,27 @@
-"""Exact global orderings without a one-task window: running totals and percentiles."""
+"""Exact global orderings without a one-task window: running totals, ranks and percentiles."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import local_table, materialize
+from ..session import materialize
 
 # One slice of a global ordering is one window partition of about this many rows.
 SLICE_ROWS = 200_000
-MAX_SLICES = 10_000
+
+_EARLIER = (Window.unboundedPreceding, -1)
+
+
+def in_slices(values: DataFrame, order: list[Column | str], rows: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """`values` with `_slice`, stored: ranges of `order` of about `slice_rows` rows, numbered in order.
+
+    `rows` counts `values`. The cut points decide how even the slices are, never a result.
+    """
+    cut = values.repartitionByRange(max(math.ceil(rows / slice_rows), 1), *order)
+    return materialize(cut.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def running_totals(
@@ -24,22 +33,11 @@ def running_totals(
 ) -> DataFrame:
     """`values` plus `cum_<c>`: sums of `c` over all rows with `order_by` as high or higher.
 
-    `order_by` is unique, not null, and `rows` counts `values`, a stored table. The rows are
-    cut into slices at approximate quantiles; a slice adds the total of the slices above to its
-    own running sum. The cut points decide how even the slices are, never the result.
+    `order_by` is unique, not null and not NaN. A slice adds the total of the slices above to its
+    own running sum.
     """
-    slices = min(max(math.ceil(rows / slice_rows), 1), MAX_SLICES)
-    cuts: list[float] = []
-    if slices > 1:
-        found = values.approxQuantile(order_by, [i / slices for i in range(1, slices)], 0.25 / slices)
-        cuts = sorted(set(found))
-    if not cuts:
-        whole = Window.orderBy(F.desc(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-        return values.select("*", *[F.sum(c).over(whole).alias(f"cum_{c}") for c in sums])
-    sliced = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol=order_by, outputCol="_slice"
-    ).transform(values)
-    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = in_slices(values, [F.desc(order_by)], rows, slice_rows)
+    above = Window.orderBy("_slice").rowsBetween(*_EARLIER)
     offsets = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums]).select(
         "_slice", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in sums]
     )
@@ -47,63 +45,49 @@ def running_totals(
         Window.partitionBy("_slice").orderBy(F.desc(order_by))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    # At most MAX_SLICES rows of offsets.
-    return sliced.join(F.broadcast(offsets), "_slice").select(
+    return sliced.join(offsets, "_slice").select(
         *values.columns,
         *[(F.sum(c).over(within) + F.col(f"_{c}")).alias(f"cum_{c}") for c in sums],
     )
 
 
-def store_counts(df: DataFrame, by: str, counts: dict, name: str) -> tuple[DataFrame, int, dict]:
-    """Group by a value, store the groups, and return them with their number and totals."""
-    stored = materialize(
-        df.where(F.col(by).isNotNull()).groupBy(by).agg(*[e.alias(c) for c, e in counts.items()]),
-        name,
-    )
-    row = stored.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in counts]).first()
-    return stored, row[0], dict(zip(counts, row[1:]))
-
+def places_within(
+    values: DataFrame,
+    by: str,
+    order: str,
+    rows: int,
+    weight: str | None = None,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """`values` plus `before` and `total`: rows of the same `by` that come earlier in `order`, and all.
 
-BINS = 4096
-# An interval with at most this many rows is listed value by value.
-LISTED_ROWS = 10_000
-# The search keeps a few numbers per group on the driver.
-MAX_GROUPS = 1_000
+    With `weight` a row counts as so many. `by` is not null. Groups are cut into slices as well, so
+    none of them has to fit a task.
+    """
+    n = F.col(weight) if weight else F.lit(1)
+    sliced = in_slices(values, [by, order], rows, slice_rows)
+    whole = Window.partitionBy(by)
+    earlier = whole.orderBy("_slice").rowsBetween(*_EARLIER)
+    offsets = sliced.groupBy(by, "_slice").agg(F.sum(n).alias("_n")).select(
+        by, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("total"))
+    within = Window.partitionBy(by, "_slice").orderBy(order).rowsBetween(*_EARLIER)
+    return sliced.join(offsets, [by, "_slice"]).select(
+        *values.columns, (F.col("_before") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias("before"), "total")
 
 
-def _narrow(data: DataFrame, intervals: dict) -> tuple[dict, dict]:
-    """One pass of the search for order statistics.
+def store_counts(df: DataFrame, by: str, counts: dict, name: str) -> tuple[DataFrame, int, dict]:
+    """Group by a number, store the groups, and return them with their number and totals.
 
-    `intervals` maps (group, lo, hi, rows below lo, rows inside) to the ranks looked for. A
-    large interval is cut into BINS bins, a small one into its values; rows are counted per
-    bin, partly before the shuffle. Returns what was found and the bins still to look into.
+    Rows whose number is null or NaN are left out.
     """
-    keys = list(intervals)
-    interval, bin_no = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for i, (k, lo, hi, _, n) in enumerate(keys):
-        inside = (F.col("g") == F.lit(k)) & F.col("v").between(lo, hi)
-        cut = F.col("v")
-        if n > LISTED_ROWS:
-            cut = F.least(F.floor((F.col("v") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("double")
-        interval = F.when(inside, i).otherwise(interval)
-        bin_no = F.when(inside, cut).otherwise(bin_no)
-    bins = (
-        data.select(interval.alias("i"), bin_no.alias("b"), "v").where(F.col("i").isNotNull())
-        .groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .orderBy("i", "b").collect()
+    stored = materialize(
+        df.where(F.col(by).isNotNull() & ~F.isnan(F.col(by).cast("double")))
+        .groupBy(by).agg(*[e.alias(c) for c, e in counts.items()]),
+        name,
     )
-    found, still_open = {}, {}
-    passed = {i: key[3] for i, key in enumerate(keys)}
-    for row in bins:
-        key = keys[row["i"]]
-        start = passed[row["i"]]
-        passed[row["i"]] = start + row["n"]
-        hit = {r for r in intervals[key] if start <= r < start + row["n"]}
-        if row["lo"] == row["hi"]:
-            found.update({(key[0], r): row["lo"] for r in hit})
-        elif hit:
-            still_open[(key[0], row["lo"], row["hi"], start, row["n"])] = hit
-    return found, still_open
+    row = stored.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in counts]).first()
+    return stored, row[0], dict(zip(counts, row[1:]))
 
 
 def exact_percentiles(
@@ -111,42 +95,39 @@ def exact_percentiles(
     value: str,
     probabilities: list[float],
     group: str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Percentiles with linear interpolation, per group of a column with few values.
+    """Percentiles with linear interpolation, per group of a column if one is given.
 
     Columns: the group (if any), `probability`, `value`. Same numbers as the `percentile`
-    aggregate, which holds all distinct values of a group in one task. Here the order
-    statistics are found by counting in ever narrower intervals: every pass reads a stored
-    column or two and brings a bounded number of bins to the driver.
+    aggregate, which holds all distinct values of a group in one task. Here equal values are
+    counted first, and each distinct value gets its rank by range slices, so the work is the same
+    for any values and any number of groups, and nothing goes to the driver. Null and NaN values
+    and the null group are left out; infinite values count like others.
     """
     g = F.col(group) if group else F.lit(0)
     v = F.col(value).cast("double")
-    data = materialize(
-        df.select(g.alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")),
-        "percentile_values")
-    ends = {r["g"]: r for r in data.where(F.col("g").isNotNull()).groupBy("g").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-    ).limit(MAX_GROUPS + 1).collect()}
-    if len(ends) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} values; group by a column with few values")
-    at, intervals = {}, {}
-    for k, e in ends.items():
-        ranks = {r for p in probabilities
-                 for r in (math.floor((e["n"] - 1) * p), math.ceil((e["n"] - 1) * p))}
-        if e["lo"] == e["hi"]:
-            at.update({(k, r): e["lo"] for r in ranks})
-        else:
-            intervals[(k, e["lo"], e["hi"], 0, e["n"])] = ranks
-    while intervals:
-        found, intervals = _narrow(data, intervals)
-        at.update(found)
-    out = []
-    for k, e in ends.items():
-        for p in probabilities:
-            place = (e["n"] - 1) * p
-            lo, hi = at[(k, math.floor(place))], at[(k, math.ceil(place))]
-            out.append((k, float(p), lo + (hi - lo) * (place - math.floor(place))))
+    counts, rows = _value_counts(df, g, v)
+    placed = places_within(counts, "_g", "_v", rows, "n", slice_rows)
+    at, picked = [], []
+    for i, p in enumerate(probabilities):
+        place = (F.col("total") - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+            picked.append(F.max(F.when(inside, F.col("_v"))).alias(f"{side}{i}"))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        share = (F.col("total") - 1) * F.lit(float(p)) - F.floor((F.col("total") - 1) * F.lit(float(p)))
+        at.append(F.struct(
+            F.lit(float(p)).alias("probability"), F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share).alias("value")))
+    found = placed.groupBy("_g", "total").agg(*picked).select("_g", F.inline(F.array(*at)))
     if group is None:
-        return local_table(df.sparkSession, [r[1:] for r in out], "probability double, value double")
-    group_type = df.schema[group].dataType.simpleString()
-    return local_table(df.sparkSession, out, f"`{group}` {group_type}, probability double, value double")
+        return found.drop("_g")
+    return found.withColumnRenamed("_g", group)
+
+
+def _value_counts(df: DataFrame, g: Column, v: Column) -> tuple[DataFrame, int]:
+    """(_g, _v, n) of the values that are numbers, stored, and how many there are."""
+    known = df.select(g.alias("_g"), v.alias("_v")).where(
+        F.col("_g").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    stored = materialize(known.groupBy("_g", "_v").agg(F.count("*").alias("n")), "value_counts")
+    return stored, stored.count()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import local_table, materialize
+from ..session import local_table
 
 HASH_DIGITS = 8
 PREFIX_DIGITS = 4
@@ -39,43 +39,44 @@ def hash_split(df: DataFrame, parts: dict[str, float] = THREE_WAY, rest: str = "
 
 
 def exact_split(df: DataFrame, parts: dict[str, float] = THREE_WAY, rest: str = "train",
-                key: str = S.ROW_KEY, label: str = S.LABEL, seed: int = 42) -> DataFrame:
+                key: str = S.ROW_KEY, label: str = S.LABEL, seed: int = 42,
+                ranked_rows: int = 100_000) -> DataFrame:
     """`df` with `split`, every class cut at round(share * class size), `key` being unique.
 
     The rows are ordered by hash within their class. The boundary between two parts is found
-    by counting hash prefixes and ranking only the rows of the boundary prefix; the wide rows
-    are then compared with the boundary and never shuffled.
+    by counting hash prefixes, longer ones until at most `ranked_rows` rows have the boundary's, and
+    ranking those; the wide rows are then compared with the boundary and never shuffled.
     """
     hashed = df.select(F.col(label).alias("label"), row_hash(key, seed).alias("h"))
-    by_prefix = materialize(
-        hashed.groupBy("label", F.substring("h", 1, PREFIX_DIGITS).alias("prefix"))
-        .agg(F.count("*").alias("n")),
-        "split_prefixes",
-    )
-    sizes = {r["label"]: r["n"] for r in by_prefix.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    wanted = []  # (label, part, number of rows up to and including this part)
+    sizes = {r["label"]: r["n"] for r in hashed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    kind = df.schema[label].dataType.simpleString()
+    places = []  # (label, part, prefix, rows of that prefix up to the boundary)
     for value, n in sizes.items():
         upto = 0.0
         for name, share in parts.items():
             upto += share
-            wanted.append((value, name, int(n * upto + 0.5)))
-    targets = local_table(
-        df.sparkSession, wanted, f"label {df.schema[label].dataType.simpleString()}, part string, target long")
-    # At most 16^PREFIX_DIGITS rows per class.
-    order = Window.partitionBy("label").orderBy("prefix")
-    running = by_prefix.select(
-        "label", "prefix", "n", (F.sum("n").over(order) - F.col("n")).alias("before"))
-    boundary = (
-        running.join(F.broadcast(targets), "label")
-        .where((F.col("before") < F.col("target")) & (F.col("target") <= F.col("before") + F.col("n")))
-        .select("label", "prefix", "part", (F.col("target") - F.col("before")).alias("place"))
-    )
-    in_prefix = Window.partitionBy("label", "prefix", "part").orderBy("h")
+            places.append((value, name, "", int(n * upto + 0.5)))
+    places = [p for p in places if p[3] > 0 and p[0] is not None]
+    rows = max(sizes.values(), default=0)
+    digits = 0
+    # Each round counts the next digits of the hash below the boundary's prefix.
+    while rows > ranked_rows and digits < 32:
+        digits += PREFIX_DIGITS
+        wanted = F.broadcast(local_table(df.sparkSession, places, f"label {kind}, part string, within string, place long"))
+        counted = (
+            hashed.join(wanted, (hashed.label == wanted.label) & F.col("h").startswith(F.col("within"))).drop(wanted.label)
+            .groupBy("label", "part", "place", F.substring("h", 1, digits).alias("prefix")).agg(F.count("*").alias("n")))
+        # At most 16^PREFIX_DIGITS rows per class and part.
+        order = Window.partitionBy("label", "part").orderBy("prefix")
+        found = counted.withColumn("before", F.sum("n").over(order) - F.col("n")).where(
+            (F.col("before") < F.col("place")) & (F.col("place") <= F.col("before") + F.col("n"))).collect()
+        places = [(r["label"], r["part"], r["prefix"], r["place"] - r["before"]) for r in found]
+        rows = max((r["n"] for r in found), default=0)
+    boundary = F.broadcast(local_table(df.sparkSession, places, f"label {kind}, part string, within string, place long"))
+    in_prefix = Window.partitionBy("label", "part").orderBy("h")
     last = (
-        hashed.withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
-        .join(F.broadcast(boundary), ["label", "prefix"])
-        .withColumn("rank", F.row_number().over(in_prefix))
-        .where(F.col("rank") == F.col("place"))
+        hashed.join(boundary, (hashed.label == boundary.label) & F.col("h").startswith(F.col("within"))).drop(boundary.label)
+        .withColumn("rank", F.row_number().over(in_prefix)).where(F.col("rank") == F.col("place"))
         .select("label", "part", "h").collect()
     )
     cut = {(r["label"], r["part"]): r["h"] for r in last}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -11,25 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import ensure_checkpoint_dir, local_table, spread
+from ..session import ensure_checkpoint_dir, in_fixed_parts, local_table
 
 # Features that may be null: unreadable times, cards with one row. The mean stands in.
 NULLABLE = ["txn_time", "amt", *S.CARD_METRICS]
+# Partitions of the training rows; draws and sums depend on it.
+TRAIN_PARTS = 8
 
 
 def preparation(features: list[str], output: str = "features") -> list:
     """Stages from feature columns to one standardised vector column."""
     holes = [c for c in features if c in NULLABLE]
     filled = {c: f"{c}_filled" for c in holes}
+    fill = [Imputer(strategy="mean", inputCols=holes, outputCols=[filled[c] for c in holes])] if holes else []
     return [
-        Imputer(strategy="mean", inputCols=holes, outputCols=[filled[c] for c in holes]),
+        *fill,
         VectorAssembler(inputCols=[filled.get(c, c) for c in features], outputCol="raw_features"),
         StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol=output),
     ]
 
 
 def fit_preparation(train: DataFrame, features: list[str]) -> PipelineModel:
-    """Means and spreads from `train` alone."""
+    """Means and spreads from `train` alone. A column without any value has the mean 0."""
+    holes = [c for c in features if c in NULLABLE]
+    if holes:
+        known = train.agg(*[F.count(F.col(c)).alias(c) for c in holes]).first()
+        empty = [c for c in holes if not known[c]]
+        train = train.fillna(0, empty) if empty else train
     return Pipeline(stages=preparation(features)).fit(train)
 
 
@@ -44,6 +53,21 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model made of the first trees of a boosted one, with their weights."""
+    if rounds >= model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context
+    gateway, jvm, whole = context._gateway, context._jvm, model._java_obj
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(whole.trees()[:rounds], whole.treeWeights()[:rounds])):
+        trees[i], weights[i] = tree, weight
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        whole.uid(), trees, weights, whole.numFeatures(), whole.numClasses())
+    return GBTClassificationModel(whole.copyValues(made, whole.extractParamMap()))
+
+
 @dataclass(frozen=True)
 class TrainedModel:
     pipeline: PipelineModel
@@ -67,11 +91,15 @@ def fit_boosted_trees(
     row_share: float = 0.8,
     column_share: float = 0.8,
     seed: int = 42,
+    key: str = S.ROW_KEY,
+    parts: int = TRAIN_PARTS,
 ) -> TrainedModel:
     """Boosted trees with fraud rows weighted by the class ratio.
 
-    With a validation table the number of rounds is the best one there: the full run is
-    evaluated round by round, then fitted again up to that round with the same seed.
+    With a validation table the number of rounds is the best one there: all rounds are fitted once and
+    evaluated one by one, and the model keeps the first ones up to the best. Rows are dealt into
+    `parts` partitions by `key`, so the model depends on data, settings and `parts`, not on the cluster;
+    give about one part for each core.
     """
     ensure_checkpoint_dir(train.sparkSession)
     negatives, positives = train.agg(
@@ -80,29 +108,25 @@ def fit_boosted_trees(
         raise ValueError("training needs rows of both classes")
     ready = fit_preparation(train, features)
 
-    def vectors(df: DataFrame, fraud_weight: float) -> DataFrame:
+    def vectors(df: DataFrame, fraud_weight: float, *keep: str) -> DataFrame:
         return ready.transform(df).select(
-            F.col(S.LABEL).cast("double").alias("label"), "features",
+            *keep, F.col(S.LABEL).cast("double").alias("label"), "features",
             F.when(F.col(S.LABEL) == 1, fraud_weight).otherwise(1.0).alias("weight"))
 
-    def classifier(n: int) -> GBTClassifier:
-        return GBTClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", maxIter=n,
-            maxDepth=depth, stepSize=step, subsamplingRate=row_share,
-            featureSubsetStrategy=str(column_share), seed=seed)
-
-    data = spread(vectors(train, negatives / positives), negatives + positives).persist()
+    classifier = GBTClassifier(
+        labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds,
+        maxDepth=depth, stepSize=step, subsamplingRate=row_share,
+        featureSubsetStrategy=str(column_share), seed=seed)
+    data = in_fixed_parts(vectors(train, negatives / positives, key), key, parts).persist()
     try:
-        model = classifier(rounds).fit(data)
-        losses: list[float] = []
-        if validation is not None:
-            losses = model.evaluateEachIteration(vectors(validation, 1.0))
-            keep = best_round(losses, patience)
-            if keep < rounds:
-                model = classifier(keep).fit(data)
-                rounds = keep
+        model = classifier.fit(data)
     finally:
         data.unpersist()
+    losses: list[float] = []
+    if validation is not None:
+        losses = model.evaluateEachIteration(vectors(validation, 1.0))
+        rounds = best_round(losses, patience)
+        model = first_rounds(model, rounds)
     return TrainedModel(PipelineModel(stages=[*ready.stages, model]), list(features), rounds, losses)
 
 

@@ -38,7 +38,7 @@ _ROWS = """rows_ AS (
         FROM txn))"""
 
 _MEANS = ", ".join(
-    f"CAST(round(CAST({f} AS DECIMAL(18, 9)), 2) AS DOUBLE) AS {name}" for name, f in (
+    f"CAST(round(CAST({f} AS DECIMAL(38, 9)), 2) AS DOUBLE) AS {name}" for name, f in (
         ("avg_txn_amt", "avg(amt)"), ("stddev_txn_amt", "stddev_samp(amt)"),
         ("avg_txn_time", "avg(txn_time)"), ("avg_merchant_distance", "avg(distance)")))
 _METRICS = f"""metrics AS (
@@ -402,3 +402,4 @@ ORACLE: dict[str, str] = {
         amount, time, category, round(fraud_probability, 6) AS fraud_probability, {_FALLBACK} AS explanation
         FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 50""",
 }
+ORACLE["txn_with_metrics_sliced"] = ORACLE["txn_with_metrics"]

@@ -15,15 +15,12 @@ from ..operators import (
     anomaly, behavior, encode, explain, features, lookup, metrics, ranking, report, score, split,
     train,
 )
-from ..session import materialize, spread
+from ..session import materialize
 from . import training, txn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Model settings of the registered queries.
-ROUNDS = 20
-PATIENCE = 5
 PLACES = 6
 
 
@@ -122,6 +119,14 @@ def txn_with_metrics(spark, sf_dir):
     return behavior.CardMetrics.fit(rows).attach(rows).select(S.ROW_KEY, S.CARD, *S.CARD_METRICS)
 
 
+@query
+def txn_with_metrics_sliced(spark, sf_dir):
+    """The same join with the rows of hot cards spread over slices."""
+    rows = _rows(spark, sf_dir)
+    joined = behavior.CardMetrics.fit(rows).attach(rows, slice_hot=True)
+    return joined.select(S.ROW_KEY, S.CARD, *S.CARD_METRICS)
+
+
 @query
 def metrics_from_train(spark, sf_dir):
     """Card metrics of the training rows, joined to all rows."""
@@ -417,14 +422,13 @@ def scaled_features(spark, sf_dir):
 
 
 def _stored_features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    rows = txn.table(spark, sf_dir, "events").count()
-    stored = materialize(spread(txn.features(spark, sf_dir, keep=(S.ROW_KEY,)), rows), "features")
+    stored = materialize(txn.features(spark, sf_dir, keep=(S.ROW_KEY,)), "features")
     return stored, [c for c in stored.columns if c not in (S.ROW_KEY, S.LABEL)]
 
 
 def _trained(spark, sf_dir) -> training.TrainingResult:
     stored, inputs = _stored_features(spark, sf_dir)
-    return training.train_and_tune(stored, inputs, rounds=ROUNDS, patience=PATIENCE)
+    return training.train_and_tune(stored, inputs)
 
 
 @query
@@ -434,11 +438,7 @@ def gbt_scores(spark, sf_dir):
 
 @query
 def gbt_importances(spark, sf_dir):
-    stored, inputs = _stored_features(spark, sf_dir)
-    parts = split.hash_split(stored)
-    fitted = train.fit_boosted_trees(
-        parts.where("split = 'train'"), None, inputs, rounds=PATIENCE)
-    return train.feature_importances(fitted, 20)
+    return train.feature_importances(_trained(spark, sf_dir).trained, 20)
 
 
 @query

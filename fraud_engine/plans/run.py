@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.explain import explain, write_explanations
@@ -27,7 +26,9 @@ class RunPaths:
 def process_transactions(spark: SparkSession, input_path: str, model: FeatureModel,
                          out_dir: str, fmt: str = "parquet") -> str:
     """Raw log to stored feature table; the path of the table."""
-    features = model.transform(read_transactions(spark, input_path), parse_once=True)
+    raw = read_transactions(spark, input_path)
+    keep = (S.ROW_KEY,) if S.ROW_KEY in raw.columns else ()
+    features = model.transform(raw, keep=keep, parse_once=True)
     return write_table(features, f"{out_dir}/{output_name(input_path, fmt)}", fmt)
 
 
@@ -37,9 +38,7 @@ def detect(features: DataFrame, model: FraudModel, out_dir: str, fmt: str = "par
     The scores are stored once, then both results read them.
     """
     scored = materialize(model.score(features), "scored")
-    tie = S.ROW_KEY if S.ROW_KEY in scored.columns else None
-    flagged = write_flagged(
-        flagged_transactions(scored, ordered=False), f"{out_dir}/flagged", fmt, tie)
+    flagged = write_flagged(flagged_transactions(scored, ordered=False), f"{out_dir}/flagged", fmt)
     report = write_report(pattern_report(scored), f"{out_dir}/report")
     return flagged, report
 
@@ -53,7 +52,7 @@ def run(spark: SparkSession, input_path: str, model_dir: str, out_dir: str,
     path = process_transactions(spark, input_path, feature_model, out_dir)
     flagged, report = detect(spark.read.parquet(path), classifier, out_dir)
     found = spark.read.parquet(flagged)
-    order = [F.desc("fraud_probability"), F.desc("amt"), "txn_time"]
+    keep = (S.ROW_KEY,) if S.ROW_KEY in found.columns else ()
     explanations = write_explanations(
-        explain(found, explain_rows, order, generator), f"{out_dir}/explanations")
+        explain(found, explain_rows, None, generator, keep=keep, outcome=True), f"{out_dir}/explanations")
     return RunPaths(path, flagged, report, explanations)

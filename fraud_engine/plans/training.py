@@ -45,8 +45,10 @@ class TrainingResult:
 
 
 def _split(features: DataFrame, parts: dict, key: str, exact: bool) -> DataFrame:
-    split = exact_split if exact else hash_split
-    return materialize(split(features, parts, key=key), "split_features")
+    """The hash split is a function of the key, so only the exact one is worth storing."""
+    if exact:
+        return materialize(exact_split(features, parts, key=key), "split_features")
+    return hash_split(features, parts, key=key)
 
 
 def _scores(trained: TrainedModel, split: DataFrame, key: str) -> DataFrame:
@@ -62,7 +64,7 @@ def train_and_tune(features: DataFrame, inputs: list[str], key: str = S.ROW_KEY,
     """60/20/20: rounds and threshold are chosen on validation, test is held out."""
     split = _split(features, THREE_WAY, key, exact)
     trained = fit_boosted_trees(
-        split.where("split = 'train'"), split.where("split = 'validation'"), inputs, **settings)
+        split.where("split = 'train'"), split.where("split = 'validation'"), inputs, key=key, **settings)
     scores = _scores(trained, split, key)
     sweep = metrics.threshold_sweep(
         scores.where("split = 'validation'"), thresholds, score="fraud_probability")
@@ -75,7 +77,7 @@ def train_two_way(features: DataFrame, inputs: list[str], key: str = S.ROW_KEY,
     """70/30, the earlier protocol: the test part also stops the training; threshold 0.5."""
     split = _split(features, TWO_WAY, key, exact)
     trained = fit_boosted_trees(
-        split.where("split = 'train'"), split.where("split = 'test'"), inputs, **settings)
+        split.where("split = 'train'"), split.where("split = 'test'"), inputs, key=key, **settings)
     scores = _scores(trained, split, key)
     sweep = metrics.recall_at(scores.where("split = 'test'"), score="fraud_probability")
     return TrainingResult(trained, FraudModel(trained.pipeline, 0.5), scores, sweep)

@@ -29,6 +29,7 @@ _SESSION_CONF = {
 }
 
 _local_scratch: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def build_session(app_name: str = "fraud-engine", master: str | None = None, **conf) -> SparkSession:
@@ -83,24 +84,38 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(arrow, schema)
 
 
-# A table of at most this many rows may be shuffled just to use all cores.
-SPREAD_ROWS = 5_000_000
+def in_fixed_parts(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """`df` dealt by a hash of `key` into `parts` partitions, each in order of the key.
+
+    What depends on partitions (random draws, order of additions) then depends on `parts` alone, not
+    on the input's files or the cluster.
+    """
+    return df.repartition(parts, key).sortWithinPartitions(key)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application inside the shared one; it goes when the application ends."""
+    path = f"{scratch_dir(spark)}/fraud_engine/{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _marked.add(path)
+    return path
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """A small table over all cores; a large one as it is, it has enough partitions."""
-    if rows > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that `materialize` has written; results that read them are void then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Later steps then read a table with known size statistics, and a lost executor costs a
-    re-read, not a recomputation.
+    re-read, not a recomputation. The table goes with the application, or by `clear_scratch`.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/fraud_engine/{name}-{uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

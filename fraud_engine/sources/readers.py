@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +27,49 @@ def _is_parquet(path: str, fmt: str | None) -> bool:
     return fmt == "parquet" or (fmt is None and not path.rstrip("/").endswith(".csv"))
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, all columns as text, by name.
+
+    Spark takes the first header it meets for all files of a folder. Here files are grouped by their
+    first line, each group is read with its own header and the groups are united by name; a column
+    that a file lacks is null there. There is one group in the common case.
+    """
+    files = spark.read.option("header", True).csv(path).inputFiles()
+    if len(files) < 2:
+        return spark.read.option("header", True).csv(path)
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place"))
+    headers = (
+        lines.groupBy("file").agg(F.min_by("value", "place").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files")))
+    groups = sorted((r["header"], r["files"]) for r in headers.collect() if r["header"])
+    if len(groups) < 2:
+        return spark.read.option("header", True).csv(path)
+    tables = [spark.read.option("header", True).csv([unquote(f) for f in names]) for _, names in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Raw transactions from CSV with a header.
 
-    Columns are taken by header name in any order. Only the header is read ahead; there is no
-    inference pass over the data.
+    Columns are taken by header name in any order, in every file. Only headers are read ahead; there
+    is no inference pass over the data. `unreadable_values` counts what does not fit its column.
     """
-    return _typed(spark.read.option("header", True).csv(path), S.RAW)
+    return _typed(read_csv(spark, path), S.RAW)
+
+
+def unreadable_values(spark: SparkSession, path: str, schema: T.StructType = S.RAW) -> DataFrame:
+    """(column, n): values of a CSV that are there but become null because they do not fit."""
+    raw = read_csv(spark, path)
+    kinds = {f.name: f.dataType for f in schema.fields if f.name in raw.columns}
+    counts = raw.agg(*[
+        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(c) for c, t in kinds.items()])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n")) for c in kinds])))
 
 
 def read_job_matrix(spark: SparkSession, path: str) -> DataFrame:
     """The wide job lookup: one column per category, blanks as padding."""
-    return spark.read.option("header", True).csv(path)
+    return read_csv(spark, path)
 
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -44,7 +77,7 @@ def read_features(spark: SparkSession, path: str, schema: T.StructType | None =
     """The processed feature table, from Parquet or CSV."""
     if _is_parquet(path, fmt):
         return spark.read.parquet(path)
-    return _typed(spark.read.option("header", True).csv(path), schema or S.feature_schema())
+    return _typed(read_csv(spark, path), schema or S.feature_schema())
 
 
 def read_flagged(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -54,7 +87,7 @@ def read_flagged(spark: SparkSession, path: str, schema: T.StructType | None = N
         return spark.read.parquet(path)
     base = schema or S.feature_schema()
     return _typed(
-        spark.read.option("header", True).csv(path),
+        read_csv(spark, path),
         T.StructType([*base.fields, *S.FLAGGED_EXTRA.fields]),
     )
 
@@ -80,16 +113,12 @@ def read_or_none(reader: Callable[..., DataFrame], *args, **kwargs) -> DataFrame
 class DatasetCatalog:
     """Named transaction logs under one folder."""
 
-    # The names offered for a run, with their descriptions.
-    DEFAULT = {
-        "TransactionLogs-1": "Small business transactions (1,000 records)",
-        "TransactionLogs-2": "Medium enterprise transactions (5,000 records)",
-        "TransactionLogs-3": "Large financial logs (10,000 records)",
-    }
+    # The names offered for a run.
+    DEFAULT = ("TransactionLogs-1", "TransactionLogs-2", "TransactionLogs-3")
 
-    def __init__(self, root: str, names: dict[str, str] | None = None):
+    def __init__(self, root: str, names: tuple[str, ...] | None = None):
         self.root = root.rstrip("/")
-        self.names = dict(names or self.DEFAULT)
+        self.names = tuple(names or self.DEFAULT)
 
     def path(self, name: str) -> str:
         if name not in self.names:

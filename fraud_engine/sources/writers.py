@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 
 def output_name(input_path: str, fmt: str = "csv") -> str:
     """`Processed_` plus the file name of the input, with the ending of the output format."""
@@ -23,7 +25,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
-def write_flagged(flagged: DataFrame, path: str, fmt: str = "parquet", tie_break: str | None = None) -> str:
-    """Write flagged rows sorted by probability; the files follow that order."""
-    order = [F.desc("fraud_probability")] + ([F.col(tie_break)] if tie_break else [])
-    return write_table(flagged.orderBy(*order), path, fmt)
+def write_flagged(flagged: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Write flagged rows sorted by probability; the files follow that order.
+
+    Equal probabilities are in order of the row key, or of a hash of the row where there is none, so
+    they need not meet in one range partition.
+    """
+    key = S.ROW_KEY in flagged.columns
+    tie = F.col(S.ROW_KEY) if key else F.xxhash64(*[F.col(f"`{c}`") for c in flagged.columns])
+    return write_table(flagged.orderBy(F.desc("fraud_probability"), tie), path, fmt)

@@ -84,9 +84,26 @@ def test_document(spark, flagged, tmp_path):
     assert spark.read.parquet(f"{path}/rows").count() == 3
 
 
-def test_document_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(explain, "DOCUMENT_ROWS", 2)
-    with pytest.raises(ValueError, match="at most 2"):
-        explain.explain(spark.range(3), n=3)
-    with pytest.raises(ValueError, match="at most 2"):
-        explain.explanation_document(spark.range(3).withColumn("explanation", F.lit("x")))
+def test_more_rows_than_a_page(spark):
+    many = spark.range(12_000).select((F.col("id") / 12_000).alias("fraud_probability"), F.lit(1.0).alias("amt"))
+    got = explain.explain(many, n=11_000)
+    assert got.count() == 11_000
+    assert explain.explanation_document(got).first()["total_transactions"] == 11_000
+
+
+def test_equal_scores_are_in_order_of_the_key(spark):
+    rows = spark.range(50).select(F.col("id").alias("trans_num"), F.lit(0.9).alias("fraud_probability"))
+    for parts in (1, 7):
+        got = explain.explain(rows.repartition(parts), n=3, keep=("trans_num",)).orderBy("transaction_id").collect()
+        assert [r["trans_num"] for r in got] == [0, 1, 2]
+
+
+def test_outcome_of_the_generator(spark):
+    def generator(prompt):
+        if "$7.00 " in prompt:
+            raise RuntimeError("no service")
+        return " a text "
+
+    rows = spark.createDataFrame([(7.0, 0.9), (8.0, 0.8)], "amt double, fraud_probability double")
+    got = explain.explain(rows, generator=generator, outcome=True).orderBy("transaction_id").collect()
+    assert [(r["source"], r["error"]) for r in got] == [("template", "RuntimeError: no service"), ("generator", None)]

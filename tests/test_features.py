@@ -74,7 +74,7 @@ def test_both_ways_of_joining_metrics_agree(spark):
     metrics = CardMetrics.fit(rows)
     columns = ["trans_num", "cc_num", *S.CARD_METRICS]
     small = sorted(metrics.attach(rows).select(*columns).collect())
-    large = sorted(metrics.attach(rows, broadcast_rows=1, parts=10).select(*columns).collect())
+    large = sorted(metrics.attach(rows, slice_hot=True, parts=10).select(*columns).collect())
     assert small == large and len(small) == 2000
 
 

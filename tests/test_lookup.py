@@ -58,10 +58,10 @@ def test_join_of_a_large_lookup_equals_the_plain_join(spark):
     fact = skewed(spark)
     dim = spark.range(0, 45).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = fact.join(dim, "k", "left").select("id", "k", "v").collect()
-    sliced = left_lookup(fact, dim, "k", 45, broadcast_rows=10, parts=20)
+    sliced = left_lookup(fact, dim, "k", slice_hot=True, parts=20)
     assert sorted(sliced.select("id", "k", "v").collect(), key=lambda r: r["id"]) == sorted(
         plain, key=lambda r: r["id"])
-    assert left_lookup(fact, dim, "k", 45).count() == 3000
+    assert left_lookup(fact, dim, "k").count() == 3000
 
 
 def test_rows_of_a_hot_key_are_spread(spark):
@@ -78,6 +78,24 @@ def test_vocabulary(spark):
     assert distinct_values(df, ["s"]).count() == 2
     with pytest.raises(ValueError, match="distinct values"):
         fit_vocabulary(spark.range(100).select(F.col("id").cast("string").alias("s")), ["s"], 99)
+    assert len(fit_vocabulary(spark.range(6000), ["id"])["id"]) == 6000
+
+
+def test_hot_keys_come_from_the_rows_that_are_joined(spark):
+    fact = spark.range(3000).select("id", F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    dim = spark.range(0, 10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = left_lookup(fact, dim, "k", slice_hot=True, parts=20)
+    assert joined.count() == 3000 and joined.where("v = 1").count() == 1500
+
+
+def test_matrix_of_many_pairs(spark):
+    pairs = spark.range(250_000).select(
+        F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("job_category"),
+        F.format_string("%08d", F.col("id")).alias("job"))
+    got = pairs_to_matrix(pairs, ["large", "small"])
+    assert got.count() == 200_000
+    assert tuple(got.where("position = 49999").select("large", "small").first()) == ("00062499", "00249995")
+    assert got.where("position = 50000").first()["small"] == ""
 
 
 def test_one_hot(spark):

@@ -154,13 +154,9 @@ def test_running_totals_in_slices(spark):
 PROBABILITIES = [0.0, 0.02, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("listed", [10_000, 50])
-@pytest.mark.parametrize("kind", ["ties", "heavy", "negative", "constant", "one"])
-def test_exact_percentiles(spark, monkeypatch, kind, listed):
-    from fraud_engine.operators import ranking
-
-    monkeypatch.setattr(ranking, "LISTED_ROWS", listed)
-    monkeypatch.setattr(ranking, "BINS", 16)
+@pytest.mark.parametrize("slice_rows", [200_000, 50])
+@pytest.mark.parametrize("kind", ["ties", "heavy", "negative", "constant", "one", "decades"])
+def test_exact_percentiles(spark, kind, slice_rows):
     rng = np.random.default_rng(3)
     x = {
         "ties": np.where(rng.random(3000) < 0.4, 0.25, rng.random(3000).round(2)),
@@ -168,9 +164,10 @@ def test_exact_percentiles(spark, monkeypatch, kind, listed):
         "negative": -rng.random(2000),
         "constant": np.full(50, 2.5),
         "one": np.array([3.0]),
+        "decades": 10.0 ** rng.uniform(-100, 100, 3000),
     }[kind]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
-    got = {r["probability"]: r["value"] for r in exact_percentiles(df, "x", PROBABILITIES).collect()}
+    got = {r["probability"]: r["value"] for r in exact_percentiles(df, "x", PROBABILITIES, slice_rows=slice_rows).collect()}
     assert list(got) == PROBABILITIES
     assert np.allclose(list(got.values()), np.percentile(x, [100 * p for p in PROBABILITIES]), rtol=1e-12)
 
@@ -183,6 +180,35 @@ def test_percentiles_per_group(spark):
         assert np.allclose([got[label][c] for c in ("minimum", "q1", "median", "q3", "maximum")], want)
 
 
+def test_percentiles_with_infinite_values(spark):
+    x = [float("inf"), float("-inf")] + [float(i) for i in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in x], "x double").repartition(4)
+    got = [r["value"] for r in exact_percentiles(df, "x", [0.0, 0.5, 0.9, 1.0], slice_rows=3000).collect()]
+    assert got == [float("-inf"), 9999.5, pytest.approx(np.percentile(x, 90)), float("inf")]
+
+
+def test_percentiles_of_many_groups(spark):
+    df = spark.range(50_000).select((F.col("id") % 5000).alias("g"), F.col("id").cast("double").alias("x"))
+    got = {r["g"]: r["value"] for r in exact_percentiles(df, "x", [0.5], group="g", slice_rows=7000).collect()}
+    assert len(got) == 5000 and all(v == 22_500.0 + g for g, v in got.items())
+
+
+def test_scores_that_are_not_numbers_are_left_out(spark):
+    df, y, s = scored(spark, 1000)
+    more = df.select("is_fraud", "score").union(spark.createDataFrame([(1, float("nan")), (0, None)], "is_fraud int, score double"))
+    for slice_rows in (200_000, 20):
+        assert metrics.average_precision(more, slice_rows=slice_rows).first()[0] == pytest.approx(
+            metrics.average_precision(df).first()[0])
+    assert metrics.threshold_sweep(more).collect() == metrics.threshold_sweep(df).collect()
+    assert metrics.histogram(more, "score").collect() == metrics.histogram(df, "score").collect()
+
+
+def test_sweep_of_an_empty_table(spark):
+    got = metrics.threshold_sweep(spark.createDataFrame([], "is_fraud int, score double"))
+    assert got.count() == 9 and got.agg(F.sum("frauds_caught"), F.max("f1")).first() == (0, 0.0)
+    assert metrics.best_threshold(got).first()["threshold"] == 0.1
+
+
 def test_percentiles_without_rows(spark):
     assert exact_percentiles(spark.createDataFrame([], "x double"), "x", [0.5]).count() == 0
 

@@ -63,15 +63,34 @@ def test_training_protocol(result):
     assert result.default_report().count() == result.tuned_report().count() == 5
 
 
-def test_refit_repeats_the_first_rounds(table):
-    from fraud_engine.operators.split import hash_split
+def test_first_rounds_of_a_model(spark, table, tmp_path):
+    from pyspark.ml.classification import GBTClassificationModel
 
-    parts = hash_split(table)
-    fit, val = parts.where("split = 'train'"), parts.where("split = 'validation'")
-    long = train.fit_boosted_trees(fit, val, INPUTS, rounds=6, patience=50, depth=3)
-    short = train.fit_boosted_trees(fit, val, INPUTS, rounds=3, patience=50, depth=3)
-    n = min(3, long.rounds, short.rounds)
-    assert np.allclose(long.losses[:n], short.losses[:n])
+    long = train.fit_boosted_trees(table, None, INPUTS, rounds=6, depth=3)
+    direct = train.fit_boosted_trees(table, None, INPUTS, rounds=3, depth=3).trees
+    short = train.first_rounds(long.trees, 3)
+    assert short.getNumTrees == 3 and short.treeWeights == direct.treeWeights and short.numFeatures == len(INPUTS)
+    assert short.featureImportances == direct.featureImportances
+    short.save(str(tmp_path / "short"))
+    rows = long.pipeline.stages[0].transform(table)
+    for stage in long.pipeline.stages[1:-1]:
+        rows = stage.transform(rows)
+    scores = [[r[0] for r in m.transform(rows).orderBy("trans_num").select("probability").collect()]
+              for m in (short, direct, GBTClassificationModel.load(str(tmp_path / "short")))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_model_does_not_depend_on_the_partitions_of_the_input(table):
+    one, other = (train.fit_boosted_trees(t, None, INPUTS, rounds=3, depth=3) for t in (table.coalesce(1), table.repartition(9)))
+    a, b = ([r[0] for r in with_probability(m.pipeline, table).orderBy("trans_num").select("fraud_probability").collect()]
+            for m in (one, other))
+    assert np.allclose(a, b, rtol=0, atol=1e-9)
+
+
+def test_preparation_without_holes_or_without_values(spark):
+    df = spark.createDataFrame([(0, 1, None), (1, 0, None)], "TXNctg_home int, is_fraud int, amt double")
+    for inputs in (["TXNctg_home"], ["TXNctg_home", "amt"]):
+        assert train.fit_preparation(df, inputs).transform(df).count() == 2
 
 
 def test_early_protocol(table):
@@ -181,10 +200,15 @@ def test_forest_does_not_depend_on_partitions(points, forest):
     assert sorted(third.nodes.collect()) != sorted(forest.nodes.collect())
 
 
-def test_forest_from_a_thinned_pool(points, monkeypatch):
-    monkeypatch.setattr(anomaly, "POOL_FACTOR", 1)
-    forest = anomaly.IsolationForest.fit(points, trees=4, sample=128)
-    assert {r["n"] for r in forest.nodes.where("node = 0").collect()} == {128}
+def test_trees_draw_independently_from_all_rows(points):
+    rows = points.count()
+    drawn = anomaly.sample_per_tree(points, "features", "trans_num", 60, 16, 42)
+    per_tree = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    share = (16 + 6 * 4) / rows
+    assert len(per_tree) == 60 and abs(np.mean(per_tree) - share * rows) < 4 * np.sqrt(share * rows / 60)
+    pairs = drawn.alias("a").join(drawn.alias("b"), F.col("a.features") == F.col("b.features")).where("a.tree < b.tree").count()
+    expected = 60 * 59 / 2 * share**2 * rows
+    assert abs(pairs - expected) < 6 * np.sqrt(expected)
 
 
 def test_forest_over_fewer_rows_than_the_sample(points):

@@ -46,7 +46,7 @@ def test_full_run(spark, stored):
     root, path = stored
     paths = run(spark, path, str(root / "model"), str(root / "out"), explain_rows=7)
     features = read_features(spark, paths.features)
-    assert features.count() == 300 and features.columns == S.feature_schema().names
+    assert features.count() == 300 and features.columns == ["trans_num", *S.feature_schema().names]
     assert paths.features.endswith("Processed_log.parquet")
     flagged = spark.read.parquet(paths.flagged)
     n = flagged.count()
@@ -57,6 +57,9 @@ def test_full_run(spark, stored):
     assert doc["amount_analysis"]["increase_pct"] > 100
     texts = read_explanations(spark, f"{paths.explanations}/document").first()
     assert texts["total_transactions"] == 7
+    rows = spark.read.parquet(f"{paths.explanations}/rows")
+    assert rows.select("trans_num").join(flagged, "trans_num").count() == 7
+    assert {r["source"] for r in rows.collect()} == {"template"}
     top = [e["fraud_probability"] for e in texts["explanations"]]
     assert top == sorted(top, reverse=True)
 

@@ -2,6 +2,7 @@ import pytest
 
 from conftest import RAW_COLUMNS, raw_row, write_csv
 from fraud_engine import schema as S
+from fraud_engine.sources.readers import unreadable_values
 from fraud_engine.sources import (
     DatasetCatalog, LoadCache, output_name, read_features, read_flagged, read_job_matrix,
     read_or_none, read_report, read_transactions, write_flagged, write_table,
@@ -67,11 +68,23 @@ def test_features_round_trip_through_csv(spark, tmp_path):
 
 def test_flagged_rows_are_written_in_order(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.2), (2, 0.9), (3, 0.9)], "trans_num int, fraud_probability double")
-    path = write_flagged(df.repartition(3), str(tmp_path / "f.csv"), "csv", "trans_num")
+    path = write_flagged(df.repartition(3), str(tmp_path / "f.csv"), "csv")
     assert [r["trans_num"] for r in spark.read.option("header", True).csv(path).collect()] == ["2", "3", "1"]
     assert [r["fraud_probability"] for r in read_flagged(spark, path).collect()] == [0.9, 0.9, 0.2]
 
 
+def test_files_of_a_folder_may_order_their_columns_differently(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a b.csv").write_text("cc_num,amt,category\n1,2.5,home\n")
+    (tmp_path / "log/b.csv").write_text("amt,cc_num,category\n3.5,4,travel\nx,5,travel\n")
+    (tmp_path / "log/c.csv").write_text("cc_num,category\n6,home\n")
+    got = read_transactions(spark, str(tmp_path / "log"))
+    assert sorted(map(tuple, got.select("cc_num", "amt", "category").collect())) == [
+        (1, 2.5, "home"), (4, 3.5, "travel"), (5, None, "travel"), (6, None, "home")]
+    assert {tuple(r) for r in unreadable_values(spark, str(tmp_path / "log")).collect()} == {
+        ("cc_num", 0), ("amt", 1), ("category", 0)}
+
+
 def test_job_matrix(spark, tmp_path):
     (tmp_path / "jobs.csv").write_text("A_&_B,C\nx,y\nz,\n")
     df = read_job_matrix(spark, str(tmp_path / "jobs.csv"))
