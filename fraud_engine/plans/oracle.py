@@ -403,3 +403,42 @@ ORACLE: dict[str, str] = {
         FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 50""",
 }
 ORACLE["txn_with_metrics_sliced"] = ORACLE["txn_with_metrics"]
+
+# All published categories and states, written out once more so that a wrong entry shows.
+_LOG = """log_ AS (SELECT * REPLACE (
+    list_extract(['entertainment', 'food_dining', 'gas_transport', 'grocery_net', 'grocery_pos',
+      'health_fitness', 'home', 'kids_pets', 'misc_net', 'misc_pos', 'personal_care', 'shopping_net',
+      'shopping_pos', 'travel'], CAST(trans_num % 14 AS INT) + 1) AS category,
+    list_extract(['AK', 'AL', 'AR', 'AZ', 'CA', 'CO', 'CT', 'DC', 'DE', 'FL', 'GA', 'HI', 'IA', 'ID', 'IL',
+      'IN', 'KS', 'KY', 'LA', 'MA', 'MD', 'ME', 'MI', 'MN', 'MO', 'MS', 'MT', 'NC', 'ND', 'NE',
+      'NH', 'NJ', 'NM', 'NV', 'NY', 'OH', 'OK', 'OR', 'PA', 'RI', 'SC', 'SD', 'TN', 'TX', 'UT',
+      'VA', 'VT', 'WA', 'WI', 'WV', 'WY'], CAST(cc_num % 51 AS INT) + 1) AS state) FROM txn)"""
+_PUBLISHED = [_flag(f"category = '{c}'", f"TXNctg_{c}") for c in S.CATEGORIES] + [
+    _flag(f"state = '{s}'", f"state_{s}") for s in S.STATES]
+_SPLIT = f"""CASE WHEN {_h('33333333')} THEN 'test' WHEN {_h('66666666')} THEN 'validation' ELSE 'train' END"""
+
+ORACLE |= {
+    "csv_features": _with(_TXN, _LOG, _ROWS.replace("FROM txn", "FROM log_"), _METRICS, _JOBS)
+        + f"""SELECT trans_num, is_fraud, txn_time, amt, {', '.join(_PUBLISHED + _JOB_FLAGS + _DECADE_FLAGS)},
+        avg_txn_amt, stddev_txn_amt, avg_txn_time, avg_merchant_distance
+        FROM rows_ LEFT JOIN jobs USING (job) LEFT JOIN metrics USING (cc_num)""",
+    "dataset_read": _T + "SELECT trans_num, amt, CAST(count(*) OVER () AS INT) AS cached_rows FROM txn",
+    "matrix_csv": _with(_PAIRS) + "SELECT job_category, job FROM pairs",
+    "flagged_stored": ORACLE["flagged"],
+    "report_stored": ORACLE["pattern_report"],
+    "explanations_stored": _with(_TXN, _ROWS, _METRICS, _CONTEXT) + f"""
+        SELECT CAST(row_number() OVER (ORDER BY fraud_probability DESC, trans_num) - 1 AS INT) AS transaction_id,
+        amount, time, category, round(fraud_probability, 6) AS fraud_probability,
+        CASE WHEN category = 'Travel' THEN {_FALLBACK} ELSE concat('- Amount: $', printf('%.2f', amount),
+          ' (user''s average: $', printf('%.2f', user_avg_amount), ')') END AS explanation
+        FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 50""",
+    "gbt_checked": _T + f"SELECT trans_num, is_fraud, {_SPLIT} AS split, TRUE AS in_range, TRUE AS agrees FROM txn",
+    "gbt_importances_checked": f"SELECT CAST({len(_CATEGORY_FLAGS + _STATE_FLAGS + _JOB_FLAGS + _DECADE_FLAGS) + 6} AS BIGINT) AS n, "
+        "1e0 AS total, TRUE AS named FROM (SELECT count(*) FROM events)",
+    "iforest_checked": _T + "SELECT trans_num, is_fraud, TRUE AS in_range, TRUE AS agrees FROM txn",
+    "pca_checked": _T + "SELECT trans_num, is_fraud, TRUE AS in_range, TRUE AS share_is_right FROM txn",
+    "real_models_compared": """SELECT model, TRUE AS in_range
+        FROM (VALUES ('boosted trees'), ('isolation forest'), ('reconstruction')) AS t(model)""",
+    "full_run": _T + """SELECT trans_num, is_fraud, TRUE AS flagged_agrees, TRUE AS explained_agrees,
+        count(*) OVER () AS reported_rows FROM txn""",
+}

@@ -323,9 +323,12 @@ def category_vs_max(spark, sf_dir):
 
 @query
 def pattern_report(spark, sf_dir):
-    """The report document with one row per number."""
     scored = score.apply_threshold(_flags(spark, sf_dir), 0.5, "score")
-    document = report.pattern_report(scored)
+    return report_numbers(report.pattern_report(scored))
+
+
+def report_numbers(document: DataFrame) -> DataFrame:
+    """The report document with one row per number."""
     maps = ["job_categories", "transaction_categories", "age_groups"]
     structs = ["amount_analysis", "time_analysis", "model_performance"]
     entry = "array<struct<name:string,value:double>>"
@@ -426,7 +429,22 @@ def _stored_features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return stored, [c for c in stored.columns if c not in (S.ROW_KEY, S.LABEL)]
 
 
+_models: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, sf_dir: str, kind: str, fit: Callable[[], object]) -> object:
+    """A model is fitted once for each application and folder, and its queries share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _models:
+        _models[key] = fit()
+    return _models[key]
+
+
 def _trained(spark, sf_dir) -> training.TrainingResult:
+    return _once(spark, sf_dir, "boosted trees", lambda: _train(spark, sf_dir))
+
+
+def _train(spark, sf_dir) -> training.TrainingResult:
     stored, inputs = _stored_features(spark, sf_dir)
     return training.train_and_tune(stored, inputs)
 
@@ -453,6 +471,10 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 
 def _forest(spark, sf_dir):
+    return _once(spark, sf_dir, "isolation forest", lambda: _grow(spark, sf_dir))
+
+
+def _grow(spark, sf_dir):
     rows, inputs = _vectors(spark, sf_dir)
     rows = rows.withColumn("features", vector_to_array("features"))
     return anomaly.IsolationForest.fit(rows), rows, inputs
