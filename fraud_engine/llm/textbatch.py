@@ -37,7 +37,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i for i < n."""
     if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // (1 << 19)) << 19
         for key, base in (("up", _BASE), ("down", _UNBASE)):
             steps = np.full(size, base, _U)
             steps[0] = 1
