@@ -204,8 +204,9 @@ def flag_highest(scored: DataFrame, probability: float = 0.99, score: str = "err
     return scored.withColumn("is_anomaly", fn.above_threshold(score, cut))
 
 
-def _sum_of_squares(vector: str) -> Column:
-    return F.reduce(vector_to_array(vector), F.lit(0.0), lambda s, v: s + v * v)
+def _sum_of_squares(array: str, width: int) -> Column:
+    """Written out, so that it is compiled; a lambda over the array would be interpreted."""
+    return sum((F.col(array)[i] * F.col(array)[i] for i in range(width)), F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -227,6 +228,7 @@ class ReconstructionModel:
 
         The components are orthonormal, so the error is what the code leaves of the length.
         """
-        coded = self.pca.transform(df)
-        left = _sum_of_squares(features) - _sum_of_squares("_code")
-        return coded.withColumn(output, F.greatest(left / self.width, F.lit(0.0))).drop("_code")
+        coded = self.pca.transform(df).withColumns({
+            "_row": vector_to_array(features), "_coded": vector_to_array("_code")})
+        left = _sum_of_squares("_row", self.width) - _sum_of_squares("_coded", self.pca.getK())
+        return coded.withColumn(output, F.greatest(left / self.width, F.lit(0.0))).drop("_code", "_row", "_coded")

@@ -24,8 +24,8 @@ _TXN = f"""txn AS (
     {_LONG} + (e.event_id % 100 - 50) / 1e2 AS merch_long,
     CASE WHEN {_K} >= 97 OR (e.event_type = 'error' AND e.value > 150e0) THEN 1 ELSE 0 END AS is_fraud,
     least(1e0, e.value / 3e2) AS score
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey
-    JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
+    LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 _ROWS = """rows_ AS (
   SELECT trans_num, cc_num, is_fraud, score, amt, state,
@@ -193,7 +193,7 @@ _CONTEXT = f"""context AS (
       avg_txn_amt AS user_avg_amount, avg_txn_time AS user_avg_time,
       avg_merchant_distance AS user_avg_distance, score AS fraud_probability,
       CASE WHEN avg_txn_amt > 0 THEN amt / avg_txn_amt ELSE 1e0 END AS amount_ratio
-    FROM rows_ JOIN metrics USING (cc_num) WHERE score > 0.5e0))"""
+    FROM rows_ LEFT JOIN metrics USING (cc_num) WHERE score > 0.5e0))"""
 
 _PROMPT = """concat(
     'Transaction Details:', chr(10),

@@ -44,7 +44,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     e, c, n = (table(spark, sf_dir, t) for t in ("events", "customer", "nation"))
     e = e.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int")).drop("props")
-    joined = e.join(c, e.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    joined = e.join(c, e.user_id == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
     k = F.col("k")
     lat = F.lit(-40.0) + 3.0 * F.col("c_nationkey") + (F.col("c_custkey") % 17) / 10.0
     long = F.lit(-100.0) + 4.0 * F.col("c_nationkey") + (F.col("c_custkey") % 13) / 10.0

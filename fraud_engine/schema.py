@@ -8,13 +8,13 @@ LABEL = "is_fraud"
 CARD = "cc_num"
 ROW_KEY = "trans_num"
 
-# Raw transaction columns that carry nothing for the models.
+# Raw transaction columns that carry nothing for the models.
 UNUSED = [
     "index", "merchant", "first", "last", "gender", "street", "city", "zip", "city_pop",
     "trans_num", "unix_time",
 ]
 
-# Types that the engine works with. Timestamp and birth date stay text until the feature step
+# The columns of a raw log, with the types that the engine works with. Timestamp and birth date stay text until the feature step
 # parses them, so that a bad value turns into null there and not into a failed read.
 RAW = T.StructType([
     T.StructField("index", T.LongType()),
@@ -107,6 +107,7 @@ def feature_schema(categories=CATEGORIES, states=STATES, job_categories=JOB_CATE
     ])
 
 
+# The columns of this file format.
 FLAGGED_EXTRA = T.StructType([
     T.StructField("fraud_probability", T.DoubleType()),
     T.StructField("is_fraud_predicted", T.IntegerType()),
@@ -117,6 +118,7 @@ FLAGGED_EXTRA = T.StructType([
 
 _COUNTS = T.MapType(T.StringType(), T.LongType())
 
+# The columns of this file format.
 REPORT = T.StructType([
     T.StructField("job_categories", _COUNTS),
     T.StructField("transaction_categories", _COUNTS),
@@ -137,6 +139,7 @@ REPORT = T.StructType([
     ])),
 ])
 
+# The columns of this file format.
 EXPLANATION = T.StructType([
     T.StructField("transaction_id", T.IntegerType()),
     T.StructField("amount", T.DoubleType()),
