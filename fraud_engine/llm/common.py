@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.session import materialize, scratch_dir  # noqa: F401
+from fraud_engine.session import materialize, run_folder  # noqa: F401
 
 # Bytes of text that one group or partition of work is meant to hold.
 PART_BYTES = 16 << 20

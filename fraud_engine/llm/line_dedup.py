@@ -20,7 +20,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.llm.common import documents, id_text, materialize, parts_for, scratch_dir
+from fraud_engine.llm.common import documents, id_text, materialize, parts_for, run_folder
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -37,11 +37,13 @@ class LineRuns:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[DataFrame]] = []
         self.repeats: list[DataFrame] = []
+        self.names: list[str] = []
 
     def _write(self, run: DataFrame) -> DataFrame:
         name = f"line_run_{uuid4().hex}"
+        self.names.append(name)
         (run.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
-         .option("path", f"{scratch_dir(self.spark)}/{name}").saveAsTable(name))
+         .option("path", f"{run_folder(self.spark)}/{name}").saveAsTable(name))
         return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:
@@ -70,6 +72,11 @@ class LineRuns:
             self.levels[level] = []
             self._place(merged, level + 1)
 
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their files go with the application."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def totals(self) -> DataFrame:
         """(h1, h2, n_docs, last_doc) of every line of every batch."""
         if not self.repeats:
@@ -125,6 +132,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("doc_id", "_id")
         .withColumnRenamed("text_key", "_text_key"))
     dropped = materialize(dropped.withColumn("gone", F.array_distinct("gone")), "dropped-lines")
+    runs.close()
     found = keyed.join(
         dropped, (F.col("text_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n", -1)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.llm.common import documents, id_text, materialize, parts_for, scratch_dir
+from fraud_engine.llm.common import documents, id_text, materialize, parts_for, run_folder
 from fraud_engine.llm.ordered import in_order
 from fraud_engine.llm.textbatch import range_hashes, slices, text_bytes
 
@@ -347,5 +347,5 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/id-planes-{uuid4().hex}"
+    folder = f"{run_folder(spark)}/id-planes-{uuid4().hex}"
     return read_ids(write_ids(documents(spark, sf_dir), folder), folder)
