@@ -2,17 +2,21 @@
 
 Documents with one set are a class, and only classes are compared. Sizes are cut into bands such that two
 sets that link are in one band or in neighbours, so each set has signatures for two pairs of bands. For a
-pair of bands the domain of shingles is cut into parts by a hash, somewhat more parts than such
-sets can differ in; a signature is what a set holds of one part. Two sets that differ in d shingles
-differ in at most d parts, so a set that has more than d filled parts shares a filled part with its
-partner. Sets with too few filled parts (small ones, by chance) also have the signatures of a second cut,
-and if that fails too, each shingle as a signature; a pair is found if one of the two has enough.
-
-Signatures go to buckets as blobs, so the shuffle has few rows. Within a signature the smallest class is
-paired with each other one; links are counted exactly from whole sets. Pairs of a signature that are then
-still in different components are sifted by a lower bound of their distance (parity bits of the sets),
-first against a few of them that cover the others, then all that are left. So a group of near copies costs one pair for each member, and no
-link between different components is lost.
+pair of bands the domain of shingles is cut into parts by a hash, and each part into three pieces; the
+signatures of a set are what it holds of two pieces of a part, for every part and every two. Two sets that
+differ in d shingles have at most d / 2 parts with two differences or more; in any other part two of the
+pieces are equal. So a set that has more than d / 2 parts with two filled pieces or more shares a signature
+with its partner that is not of empty pieces. Sets with fewer such parts (small ones, by chance) also have
+the signatures of a second cut, and if that fails too, each shingle as a signature; a pair is found if one of the two has
+enough.
+
+Signatures go to buckets as blobs, so the shuffle has few rows; what comes out are the distinct lists of
+classes that share a signature. In a list the smallest class is paired with each other one, for each class
+first with the smallest of all its lists and then with those it is not yet connected with; links are counted
+exactly from whole sets, unless a lower bound of the distance (parity bits of the sets) rules them
+out. Members of a list that are then still in different components are sifted by that bound, first
+against a few of them that cover the others, then all that are left. So a group of near copies costs one pair
+for each member, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -31,19 +35,24 @@ from fraud_engine.llm.textbatch import SPACED, Words, mix, shingles, slices, tex
 SHINGLE = 5
 #: Sets link from this similarity on, as a fraction of 100.
 PERCENT = 80
-#: Parts for each shingle of the largest set of a pair of bands; a pair differs in at most 2/9 of it.
-PARTS_PER_SHINGLE = 0.30
+#: Parts for each shingle of the largest set of a pair of bands. A pair differs in at most 2/9 of it, so at most
+#: 1/9 of as many parts have two differences or more.
+PARTS_PER_SHINGLE = 0.14
+#: Pieces of a part; each signature leaves one of them out.
+PIECES = 3
 #: Classes with more than this share of all rows send signatures for one document only; there are fewer than
 #: 1 / share of them, so they are broadcast.
 HOT_SHARE = 1 / 2000
 PARITY_BITS = 1024
-#: Members of a signature that are compared in one task.
+#: Members of a list that are compared in one task.
 BLOCK = 2048
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Text that a bucket of signatures stands for.
+BUCKET_BYTES = 24 << 20
+
 _U = np.uint64
-_SIG_BITS = 48
 
 
 def band_edges(top: int) -> np.ndarray:
@@ -97,15 +106,25 @@ class Sets:
         part = (spread >> _U(32)) * n_parts[chosen].astype(_U) >> _U(32)
         slot = chosen.astype(_U) << _U(40) | part
         order = np.argsort(slot)
-        slot, hashes = slot[order], hashes[order]
+        slot, values, piece = slot[order], mix(hashes[order]), (spread[order] & _U(0xFFFF)) % _U(PIECES)
         begin = np.ones(len(slot), bool)
         begin[1:] = slot[1:] != slot[:-1]
         first = np.flatnonzero(begin)
-        held = np.add.reduceat(mix(hashes), first) if len(first) else np.zeros(0, _U)
         index = (slot[first] >> _U(40)).astype(np.int64)
-        where = slot[first] & _U((1 << 40) - 1)
-        signature = mix(held + mix(where * _U(64) + lower[index].astype(_U) + (_U(cut) << _U(62))))
-        return signature, rows[index], np.bincount(index, minlength=len(rows))
+        where = mix((slot[first] & _U((1 << 40) - 1)) * _U(64) + lower[index].astype(_U) + (_U(cut) << _U(62)))
+        found, owners, pieces = [], [], np.zeros(len(first), np.int64)
+        if len(first):
+            whole, counts = np.add.reduceat(values, first), np.diff(np.append(first, len(slot)))
+            for k in range(PIECES):
+                own = piece == _U(k)
+                held = whole - np.add.reduceat(np.where(own, values, _U(0)), first)
+                n = np.add.reduceat(own.astype(np.int64), first)
+                pieces += n > 0
+                some = counts > n
+                found.append(mix(held + where + _U(k))[some])
+                owners.append(rows[index[some]])
+        filled = np.bincount(index[pieces > 1], minlength=len(rows))
+        return np.concatenate([*found, np.zeros(0, _U)]), np.concatenate([*owners, np.zeros(0, np.int64)]), filled
 
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
         """(signature, row) of all rows that have shingles."""
@@ -121,7 +140,7 @@ class Sets:
                 # Sizes a <= b link if their sets differ in at most (a + b) / 9, which is at most the smaller
                 # size over 4. For the larger of two it is at most 2/9 of its size; a set may be either.
                 differ = self.size[own] // 4 if step == 0 else self.size[own] * 2 // 9
-                own = own[filled <= differ]
+                own = own[filled <= differ // 2]
                 if not len(own):
                     break
             if len(own):
@@ -150,7 +169,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | None]) -> DataFrame:
-    """(sig, pivot, other): the classes that share a signature, each with the smallest of them.
+    """`members` (sorted 64-bit class keys): the lists of classes that share a signature, each list once.
+
+    Near copies share most of their signatures, so there are far fewer lists than signatures.
 
     A bucket holds signatures as 48 bits and a row number of the slice they came from; its number gives
     further bits. A false match costs a comparison, no more.
@@ -159,7 +180,7 @@ def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | Non
     shared = spark.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches):
             for k in range(0, batch.num_rows, 1 << 16):
                 yield from deal_rows(batch.slice(k, 1 << 16))
 
@@ -187,7 +208,6 @@ def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | Non
             "classes": pa.array(names, pa.binary())})
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = key[0].as_py()
         sigs, classes = [], []
         for batch in batches:
             for e, c in zip(batch.column("entries"), batch.column("classes")):
@@ -205,24 +225,75 @@ def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | Non
         sig, name = sig[many], name[many]
         order = np.lexsort((name, sig))
         sig, name = sig[order], name[order]
+        again = np.zeros(len(sig), bool)
+        again[1:] = (sig[1:] == sig[:-1]) & (name[1:] == name[:-1])
+        sig, name = sig[~again], name[~again]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        repeat = np.zeros(len(sig), bool)
-        repeat[1:] = (sig[1:] == sig[:-1]) & (name[1:] == name[:-1])
-        pivot = name[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else name
-        keep = ~first & ~repeat & (name != pivot)
-        full = sig[keep].view(np.int64) * n_buckets + number
-        for k in range(0, len(full), 100_000):
-            yield pa.record_batch({
-                "sig": pa.array(full[k:k + 100_000]), "pivot": pa.array(pivot[keep][k:k + 100_000]),
-                "other": pa.array(name[keep][k:k + 100_000])})
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(sig))
+        lists = {name[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist()) if j - i > 1}
+        lists = sorted(lists)
+        for k in range(0, len(lists), 10_000):
+            yield pa.record_batch({"members": pa.array(lists[k:k + 10_000], pa.binary())})
 
     dealt = docs.mapInArrow(deal, "bucket int, entries binary, classes binary")
-    return dealt.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, "sig long, pivot long, other long")
+    return dealt.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(meet, "members binary").distinct()
+
+
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): the smallest class of each list with every other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column("members")]
+            pairs = np.unique(np.concatenate([np.stack([np.full(len(m) - 1, m[0]), m[1:]], axis=1) for m in own] or [np.zeros((0, 2), np.int64)]), axis=0)
+            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return lists.mapInArrow(run, "a long, b long").distinct()
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """(list, c1) of the lists with more than two members; of two, the star pair says all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column("members")]
+            yield pa.record_batch({
+                "list": pa.array(np.repeat(batch.column("list").to_numpy(), [len(m) for m in own])),
+                "c1": pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))})
+
+    long = lists.where(F.length("members") > 16).select(F.xxhash64("members").alias("list"), "members")
+    return long.mapInArrow(run, "list long, c1 long")
+
+
+def _apart(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with these parity bits (64-bit words) and sums of sizes are too far apart to link.
+
+    Sets that link have |A - B| + |B - A| <= (|A| + |B|) (100 - p) / (100 + p), and each differing place of the
+    parity bits takes a shingle that only one of them has.
+    """
+    return np.bitwise_count(a ^ b).sum(axis=-1) * (100 + PERCENT) > sizes * (100 - PERCENT)
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, counted from the whole sets; `linked` says so for every pair."""
+    """For every pair (a, b), whether its sets link: by parity bits if they rule it out, else by the whole sets."""
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
+                far = _apart(a, b, batch.column("size").to_numpy())
+                yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "far": pa.array(far)})
+
+    bits = classes.select("c1", "n_shingles", "parity")
+    judged = materialize(
+        pairs.join(bits.toDF("b", "nb", "pb"), "b").join(bits.toDF("a", "na", "pa"), "a")
+        .select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "pa", "pb")
+        .mapInArrow(bound, "a long, b long, far boolean"), "bounded")
+    near = judged.where("not far").select("a", "b")
+    return judged.where("far").select("a", "b", F.lit(False).alias("linked")).unionByName(_counted(docs, classes, near))
+
+
+def _counted(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with `linked`, counted from the whole sets."""
     ids = materialize(
         pairs.select(F.col("a").alias("c1")).union(pairs.select("b")).distinct().join(classes, "c1").select("c1", "doc_id"),
         "compared-ids")
@@ -239,7 +310,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 "c1": batch.column("c1").take(right),
                 "held": pa.array([sets.hashes[sets.at[r]:sets.at[r + 1]].tobytes() for r in right], pa.binary())})
 
-    held = materialize(needed.mapInArrow(run, "c1 long, held binary").dropDuplicates(["c1"]), "compared-sets")
+    # One exchange by class serves both joins, so the sets are shuffled once, and once more with their pairs.
+    held = needed.mapInArrow(run, "c1 long, held binary").dropDuplicates(["c1"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,43 +329,82 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sift(rows: DataFrame, cover: bool) -> DataFrame:
-    """Pairs (a, b) of one signature, of different components, that the parity bound does not rule out.
+    """Pairs (a, b) of one list, of different components, that the parity bound does not rule out, and, in rows of
+    their own, every `list` that has such pairs.
 
-    `rows` has sig, c1, component, n_shingles, parity. With `cover`, only pairs with few members that
-    together are near all others. A signature with many members is compared block against block.
+    `rows` has list, blocks, c1, component, n_shingles, parity. With `cover`, only pairs with few members that
+    together are near all others. A list with many members is compared block against block.
     """
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    own = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    dealt = own.select("*", other).select(
-        "*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        name, size = table["c1"].to_numpy(), table["n_shingles"].to_numpy()
-        order = np.argsort(name)
-        name, size = name[order], size[order]
-        component = table["component"].to_numpy()[order]
-        side = table["block"].to_numpy()[order]
-        bits = np.stack([np.frombuffer(p.as_py(), _U) for p in table["parity"].combine_chunks()])[order]
-        low, high = key[1].as_py(), key[2].as_py()
-        covered, a, b = np.zeros(len(name), bool), [], []
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks"))).select("*", other).select(
+        F.xxhash64("list", F.least("block", "with"), F.greatest("block", "with")).alias("group"),
+        "list", "c1", "component", "n_shingles", "parity", "block")
+
+    def near_pairs(part: pa.RecordBatch) -> np.ndarray:
+        name, size, component, side = (part.column(c).to_numpy() for c in ("c1", "n_shingles", "component", "block"))
+        bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), _U).reshape(len(name), -1)
+        # In a group of two blocks, a pair within one of them has a group of its own.
+        mixed = bool((side != side[0]).any())
+        covered, found = np.zeros(len(name), bool), []
         for i in range(len(name) - 1):
             if cover and covered[i]:
                 continue
-            apart = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(axis=1)
-            # |A - B| + |B - A| <= (|A| + |B|) (100 - p) / (100 + p) for sets that link
-            near = (apart * (100 + PERCENT) <= (size[i + 1:] + size[i]) * (100 - PERCENT)) & (component[i + 1:] != component[i])
-            if low != high:
+            near = ~_apart(bits[i + 1:], bits[i], size[i + 1:] + size[i]) & (component[i + 1:] != component[i])
+            if mixed:
                 near &= side[i + 1:] != side[i]
             at = np.flatnonzero(near) + i + 1
-            covered[at] = True
-            a.append(np.full(len(at), name[i]))
-            b.append(name[at])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if len(at):
+                covered[at] = True
+                found.append(np.stack([np.minimum(name[at], name[i]), np.maximum(name[at], name[i])], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the group that may go on
+
+        def settle(parts: list[pa.RecordBatch]) -> list[tuple[int, np.ndarray]]:
+            if not parts:
+                return []
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            group = whole.column("group").to_numpy()
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            lists = whole.column("list").to_numpy()[begin].tolist()
+            made = [(name, near_pairs(whole.slice(i, j - i)))
+                    for name, i, j in zip(lists, begin, np.append(begin[1:], len(group))) if j - i > 1]
+            return [(name, pairs) for name, pairs in made if len(pairs)]
 
-    return dealt.groupBy("sig", "low", "high").applyInArrow(run, "a long, b long").distinct()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("group").to_numpy()
+            last = int(np.searchsorted(group == group[-1], True)) if group[0] != group[-1] else 0
+            found = []
+            if last or (held and held[-1].column("group")[-1].as_py() != group[0]):
+                found = settle([*held, batch.slice(0, last)] if last else held)
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+            yield from emit(found)
+        yield from emit(settle(held))
+
+    def emit(found: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            pairs = np.unique(np.concatenate([p for _, p in found]), axis=0)
+            names = np.unique([name for name, _ in found])
+            yield pa.record_batch({
+                "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "list": pa.nulls(len(pairs), pa.int64())})
+            yield pa.record_batch({
+                "a": pa.nulls(len(names), pa.int64()), "b": pa.nulls(len(names), pa.int64()), "list": pa.array(names)})
+
+    placed = dealt.repartition("group").sortWithinPartitions("group", "c1")
+    return placed.mapInArrow(run, "a long, b long, list long").distinct()
+
+
+def _apart_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components by what is known, and not compared yet."""
+    label = components(known.where("linked").select("a", "b"))
+    a, b = label.toDF("a", "_ca"), label.toDF("b", "_cb")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(
+        F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -312,23 +423,28 @@ def link_components(docs: DataFrame) -> DataFrame:
     hot = {
         r["c1"]: r["doc_id"] for r in
         classes.where((F.col("rows") > 1) & (F.col("rows") > total * HOT_SHARE)).select("c1", "doc_id").collect()}
-    groups = materialize(_shared_signatures(docs, parts_for(docs, least=2), hot), "signatures")
-    stars = groups.select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
-    known = materialize(_linked(docs, classes, stars), "compared")
+    lists = materialize(_shared_signatures(docs, parts_for(docs, BUCKET_BYTES, least=2), hot), "shared-signatures")
+    stars = materialize(_star_pairs(lists), "star-pairs")
+    # Each class with the smallest of all it shares a list with: one pair a class, which joins most near copies.
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    known = materialize(_linked(docs, classes, first), "compared")
+    left = materialize(_apart_pairs(stars, known), "star-pairs-left")
+    known = known.unionByName(materialize(_linked(docs, classes, left), "compared-stars"))
+    members = materialize(_members(lists), "members")
     for cover in (True, False):
-        links = known.where("linked").select("a", "b")
-        labels = components(links)
-        label = labels.withColumnRenamed("node", "c1")
-        members = groups.select("sig", F.col("pivot").alias("c1")).distinct().union(groups.select("sig", "other"))
+        label = components(known.where("linked").select("a", "b")).withColumnRenamed("node", "c1")
         named = members.join(label, "c1", "left").withColumn("component", F.coalesce("component", "c1"))
-        # Signatures whose members are not all in one component, without their first component.
-        open_sigs = named.groupBy("sig").agg(
-            F.min("component").alias("_x"), F.max("component").alias("_y"), F.count(F.lit(1)).alias("_n")).where(
-                "_x <> _y and _n > 2").select("sig")
-        rows = named.join(open_sigs, "sig", "left_semi").join(classes.select("c1", "n_shingles", "parity"), "c1")
-        pairs = _sift(rows, cover).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialize(_linked(docs, classes, materialize(pairs, "sifted")), "compared-again")
+        # Lists whose members are not all in one component.
+        still_open = named.groupBy("list").agg(
+            F.min("component").alias("_x"), F.max("component").alias("_y"),
+            F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("_x <> _y").select("list", "blocks")
+        rows = named.join(still_open, "list").join(classes.select("c1", "n_shingles", "parity"), "c1")
+        sifted = materialize(_sift(rows, cover), "sifted")
+        pairs = sifted.where("a is not null").select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialize(_linked(docs, classes, materialize(pairs, "to-compare")), "compared-again")
         known = known.unionByName(more)
+        # A list of which no pair is near stays as it is.
+        members = members.join(sifted.where("list is not null").select("list"), "list", "left_semi")
     label = components(known.where("linked").select("a", "b"))
     of_class = classes.join(label.withColumnRenamed("node", "c1"), "c1", "left").select(
         "c1", "c2", "n_shingles", "doc_id", F.coalesce("component", "c1").alias("component"))
