@@ -43,6 +43,7 @@ PIECES = 3
 #: Classes with more than this share of all rows send signatures for one document only; there are fewer than
 #: 1 / share of them, so they are broadcast.
 HOT_SHARE = 1 / 2000
+#: Places of the parity bits of a set, at least.
 PARITY_BITS = 1024
 #: Members of a list that are compared in one task.
 BLOCK = 2048
@@ -90,11 +91,24 @@ class Sets:
         return mix(self.sums(mix(self.hashes))), mix(self.sums(mix(self.hashes ^ _U(0x5851F42D4C957F2D))))
 
     def parity(self) -> list[bytes]:
-        """For each of PARITY_BITS places, whether an odd number of shingles falls on it."""
-        place = (self.hashes >> _U(20)).astype(np.int64) % PARITY_BITS
-        flat = np.bincount(self.row * PARITY_BITS + place, minlength=len(self.size) * PARITY_BITS) & 1
-        bits = np.packbits(flat.reshape(len(self.size), PARITY_BITS).astype(np.uint8), axis=1)
-        return [b.tobytes() for b in bits]
+        """For each of some places, whether an odd number of shingles falls on it.
+
+        There are PARITY_BITS places, or for a large set the power of two from its size on, so that the bits
+        of unlike sets of any size differ in many places. Folding the longer of two gives the shorter's places.
+        """
+        out: list[bytes] = [b""] * len(self.size)
+        bits = np.maximum(PARITY_BITS, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(np.int64))
+        for n in np.unique(bits):
+            rows = np.flatnonzero(bits == n)
+            number = np.full(len(self.size), -1)
+            number[rows] = np.arange(len(rows))
+            own = number[self.row] >= 0
+            place = (self.hashes[own] >> _U(20)).astype(np.int64) & (n - 1)
+            flat = np.bincount(number[self.row[own]] * n + place, minlength=len(rows) * n) & 1
+            packed = np.packbits(flat.reshape(len(rows), n).astype(np.uint8), axis=1)
+            for r, b in zip(rows, packed):
+                out[r] = b.tobytes()
+        return out
 
     def _of(self, rows: np.ndarray, lower: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Signatures and their rows for the pair of bands that begins with band `lower`, and filled parts."""
@@ -265,13 +279,26 @@ def _members(lists: DataFrame) -> DataFrame:
     return long.mapInArrow(run, "list long, c1 long")
 
 
+def _words(parity: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(p, _U) for p in parity]
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (rows of 64-bit words) for fewer places."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _apart(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether sets with these parity bits (64-bit words) and sums of sizes are too far apart to link.
 
     Sets that link have |A - B| + |B - A| <= (|A| + |B|) (100 - p) / (100 + p), and each differing place of the
     parity bits takes a shingle that only one of them has.
     """
-    return np.bitwise_count(a ^ b).sum(axis=-1) * (100 + PERCENT) > sizes * (100 - PERCENT)
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum(axis=-1) * (100 + PERCENT) > sizes * (100 - PERCENT)
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -279,8 +306,13 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
-                far = _apart(a, b, batch.column("size").to_numpy())
+                a, b = (_words(batch.column(c).to_pylist()) for c in ("pa", "pb"))
+                size = batch.column("size").to_numpy()
+                far = np.zeros(batch.num_rows, bool)
+                lengths = np.array([len(x) << 32 | len(y) for x, y in zip(a, b)])
+                for both in np.unique(lengths):
+                    at = np.flatnonzero(lengths == both)
+                    far[at] = _apart(np.stack([a[i] for i in at]), np.stack([b[i] for i in at]), size[at])
                 yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "far": pa.array(far)})
 
     bits = classes.select("c1", "n_shingles", "parity")
@@ -342,14 +374,21 @@ def _sift(rows: DataFrame, cover: bool) -> DataFrame:
 
     def near_pairs(part: pa.RecordBatch) -> np.ndarray:
         name, size, component, side = (part.column(c).to_numpy() for c in ("c1", "n_shingles", "component", "block"))
-        bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), _U).reshape(len(name), -1)
+        words = _words(part.column("parity").to_pylist())
+        lengths = np.array([len(w) for w in words])
+        # Rows by the length of their bits; most groups have one.
+        alike = [(at, np.stack([words[i] for i in at])) for at in (np.flatnonzero(lengths == n) for n in np.unique(lengths))]
         # In a group of two blocks, a pair within one of them has a group of its own.
         mixed = bool((side != side[0]).any())
         covered, found = np.zeros(len(name), bool), []
         for i in range(len(name) - 1):
             if cover and covered[i]:
                 continue
-            near = ~_apart(bits[i + 1:], bits[i], size[i + 1:] + size[i]) & (component[i + 1:] != component[i])
+            near = component[i + 1:] != component[i]
+            for at, bits in alike:
+                k = int(np.searchsorted(at, i + 1))
+                if k < len(at):
+                    near[at[k:] - i - 1] &= ~_apart(bits[k:], words[i], size[at[k:]] + size[i])
             if mixed:
                 near &= side[i + 1:] != side[i]
             at = np.flatnonzero(near) + i + 1
