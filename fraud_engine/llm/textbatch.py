@@ -6,6 +6,7 @@ modulo 2^64 with a random value for each byte value, then mixed; all processes a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,8 +68,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return memory that arrays no longer use; a Python worker lives on and runs other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column`, or of one row."""
+    _powers.update(up=np.ones(1, _U), down=np.ones(1, _U))
+    give_back()
     for batch in batches:
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
         at = 0
@@ -77,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        give_back()
 
 
 class Words:

@@ -38,7 +38,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK_IDS = 1 << 16
 #: Pieces that a process remembers, about 40 bytes each; beyond it, it starts anew.
-KNOWN_PIECES = 3_000_000
+KNOWN_PIECES = 1_500_000
 #: Bytes of text that go to one file.
 FILE_BYTES = 8 << 20
 MAGIC = b"IDPLANES"
