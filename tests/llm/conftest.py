@@ -1,11 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-
 ODD = [
     None, "", " ", "\n", "\n\n\n", "one", "ONE", "two words", "\x00", "é" * 60, "a" * 49, "a" * 50, "a" * 51,
     "long " * 30_000, "'s don't  \t x", "<|endoftext|> y", "😀 中文 mixed text with some more words in it",

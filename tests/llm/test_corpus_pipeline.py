@@ -1,6 +1,6 @@
 """The pipeline's stages against plain versions, and the registered queries."""
 
-import brute
+import llm_brute as brute
 import corpus_pipeline
 import pytest
 

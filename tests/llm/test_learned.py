@@ -1,6 +1,6 @@
 """The learned operators: held-out accuracy, odd rows, missing labels."""
 
-import brute
+import llm_brute as brute
 import pytest
 
 from fraud_engine.llm import language, toxicity
