@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import raw_row
+from raw_logs import raw_row
 from fraud_engine import schema as S
 from fraud_engine.operators.behavior import CardMetrics, card_metrics
 from fraud_engine.operators.features import FeatureModel, drop_unused, label_first, row_features
@@ -79,7 +79,7 @@ def test_both_ways_of_joining_metrics_agree(spark):
 
 
 def test_metrics_can_come_from_another_table(raw, spark, model, tmp_path):
-    from conftest import write_csv
+    from raw_logs import write_csv
     from fraud_engine.sources import read_transactions
 
     train = read_transactions(spark, write_csv(tmp_path / "train.csv", [raw_row(amt=50.0), raw_row(amt=70.0)]))

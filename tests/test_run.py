@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from conftest import raw_row, write_csv
+from raw_logs import raw_row, write_csv
 from fraud_engine import schema as S
 from fraud_engine.errors import ModelNotFound
 from fraud_engine.operators.features import FeatureModel

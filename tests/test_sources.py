@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import RAW_COLUMNS, raw_row, write_csv
+from raw_logs import RAW_COLUMNS, raw_row, write_csv
 from fraud_engine import schema as S
 from fraud_engine.sources.readers import unreadable_values
 from fraud_engine.sources import (
