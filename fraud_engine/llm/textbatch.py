@@ -1,7 +1,9 @@
 """Arrow batches of texts as byte arrays: slices of bounded size, words, and word and n-gram hashes.
 
-Everything here works on one Arrow batch inside a task. Hashes are polynomials over the bytes
-modulo 2^64 with a random value for each byte value, then mixed; all processes agree on them.
+Everything here works on one Arrow batch inside a task. A hash is a pair of polynomials over the bytes modulo
+the prime 2^31 - 1, each with its own base and a random value for each byte value, then mixed; all processes
+agree on them. (Modulo a power of two, words that swap two letters in the Thue-Morse pattern would collide
+whatever the base.)
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ SLICE_BYTES = 1 << 21
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
-_UNBASE = _U(pow(int(_BASE), -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+_PRIME = (1 << 31) - 1
+_P = _U(_PRIME)
+_SEEDS = np.random.default_rng(20240607)
+_BASES = [int(b) for b in _SEEDS.integers(1 << 20, _PRIME, 2)]
+_BYTE_VALUES = _SEEDS.integers(1, _PRIME, (2, 256), dtype=np.int64).astype(_U)
+# For each of the two bases its powers, and those of its inverse.
+_powers: dict[int, np.ndarray] = {}
 
 #: Lower-cases A-Z and leaves all other bytes.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,15 +41,44 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i < n."""
-    if len(_powers["up"]) < n:
+def _forget_powers() -> None:
+    _powers.clear()
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same values modulo the prime; below 2^34 for any 64-bit value, below 2^32 for a product."""
+    return (x & _P) + (x >> _U(31))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base^i modulo the prime for i < n."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
         size = -(-n // (1 << 19)) << 19
-        for key, base in (("up", _BASE), ("down", _UNBASE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+        known = np.empty(size, np.uint32)
+        known[0], have = 1, 1
+        while have < size:
+            step = min(have, size - have)
+            known[have:have + step] = known[:step].astype(_U) * _U(pow(base, have, _PRIME)) % _P
+            have += step
+        _powers[base] = known
+    return known[:n]
+
+
+def _ranges(data: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """62 bits for the bytes of each range, the same for the same bytes at any place."""
+    halves = []
+    for base, value in zip(_BASES, _BYTE_VALUES):
+        sums = np.zeros(len(data) + 1, _U)
+        terms = np.take(value, data)
+        terms *= _power(base, len(data))
+        high = terms >> _U(31)
+        terms &= _P
+        terms += high
+        np.cumsum(terms, out=sums[1:])
+        back = _power(pow(base, -1, _PRIME), len(data) + 1)[start]
+        halves.append(_fold(_fold(sums[end] - sums[start])) % _P * back % _P)
+    return halves[0] << _U(31) | halves[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,7 +113,7 @@ def give_back() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column`, or of one row."""
-    _powers.update(up=np.ones(1, _U), down=np.ones(1, _U))
+    _forget_powers()
     give_back()
     for batch in batches:
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -110,11 +145,8 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, _U)
-        np.cumsum(_BYTE_VALUES[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        """A hash of each word."""
+        return mix(_ranges(self.data, self.start, self.end))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -153,15 +185,9 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    return mix(_ranges(data, slice(0, n), slice(width, None)))
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each range."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    return mix(_ranges(data, start, end) + ((end - start).astype(_U) << _U(62)))
