@@ -63,3 +63,35 @@ FROM dw LEFT JOIN sizes ON sizes.doc_id = dw.doc_id LEFT JOIN least_of ON a = dw
 """
 
 ORACLE = {"op6_jaccard": _OP6, "op9_line_dedup": _OP9, "op10_decontaminate": _OP10}
+
+ORACLE["op13_pareto_mix"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        CAST(('0x' || substr(md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), 1, 13)) AS BIGINT) AS draw
+    FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST([3, 1, 2][(place - 1) % 3 + 1] AS DOUBLE) AS w FROM sources),
+leveled AS (
+    SELECT *, 2 * source_size / w AS fill,
+        (1.5e0 * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER earlier, 0))
+            / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+    FROM weighed
+    WINDOW earlier AS (ORDER BY 2 * source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+common AS (SELECT arg_min(level, (fill, place)) AS c FROM leveled WHERE fill > level),
+targets AS (
+    SELECT source, source_size, CASE WHEN fill > c THEN w * c ELSE 2e0 * source_size END AS target FROM leveled, common),
+chances AS (
+    SELECT s.*, source_size, target, coalesce(floor(target / source_size), 0) AS whole,
+        coalesce(target / source_size - floor(target / source_size), 0) AS p, (draw + 0.5e0) / 4503599627370496e0 AS u
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ranked AS (
+    SELECT *, target - whole * source_size AS need,
+        CASE WHEN p > 0 THEN floor(u * (1 - p) / (p * (1 - u) + u * (1 - p)) * 4503599627370496e0) END AS key FROM chances),
+placed AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, draw, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM ranked)
+SELECT doc_id, size, source_size, target,
+    CAST((whole + CASE WHEN p > 0 AND 2 * upto - size < 2 * need THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM placed
+"""

@@ -7,6 +7,7 @@ from fraud_engine.llm.fingerprint import op3_fingerprint
 from fraud_engine.llm.jaccard_join import op6_jaccard
 from fraud_engine.llm.language import op5_language
 from fraud_engine.llm.line_dedup import op9_line_dedup
+from fraud_engine.llm.mixing import op13_pareto_mix
 from fraud_engine.llm.oracle import ORACLE  # noqa: F401
 from fraud_engine.llm.packing import op8_best_fit
 from fraud_engine.llm.ppm import op7_ppm
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op13_pareto_mix": op13_pareto_mix,
 }
