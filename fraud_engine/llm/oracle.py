@@ -95,3 +95,24 @@ placed AS (
 SELECT doc_id, size, source_size, target,
     CAST((whole + CASE WHEN p > 0 AND 2 * upto - size < 2 * need THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM placed
 """
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE["op12_mask_search"] = f"""
+WITH words AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words WHERE len(w) > 0),
+asked AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n, term, CAST(count(*) AS BIGINT) AS tf
+    FROM (SELECT doc_id, w, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM held, total GROUP BY term, n_docs),
+gains AS (
+    SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS gain
+    FROM held JOIN weights USING (term), total),
+scores AS (SELECT item_id, doc_id, CAST(sum(repeats * gain) AS BIGINT) AS score FROM asked JOIN gains USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -6,6 +6,7 @@ from fraud_engine.llm.decontaminate import op10_decontaminate
 from fraud_engine.llm.fingerprint import op3_fingerprint
 from fraud_engine.llm.jaccard_join import op6_jaccard
 from fraud_engine.llm.language import op5_language
+from fraud_engine.llm.lexical_search import op12_mask_search
 from fraud_engine.llm.line_dedup import op9_line_dedup
 from fraud_engine.llm.mixing import op13_pareto_mix
 from fraud_engine.llm.oracle import ORACLE  # noqa: F401
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_mask_search": op12_mask_search,
     "op13_pareto_mix": op13_pareto_mix,
 }
