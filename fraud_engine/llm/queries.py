@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fraud_engine.llm.alignment import op11_diagonal_align
 from fraud_engine.llm.decontaminate import op10_decontaminate
 from fraud_engine.llm.fingerprint import op3_fingerprint
 from fraud_engine.llm.jaccard_join import op6_jaccard
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_diagonal_align": op11_diagonal_align,
     "op12_mask_search": op12_mask_search,
     "op13_pareto_mix": op13_pareto_mix,
 }
