@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -9,7 +10,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from ..session import local_table, materialize
 from .ranking import exact_percentiles
 
 EULER_GAMMA = 0.5772156649015329
+# A node's children are 2 node + 1 and 2 node + 2; a leaf has feature -1 and is its own child. `impurity` is the
+# variance of a random target of the rows, as in regression trees grown at random.
 NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, n int, depth int"
+    "tree int, node int, feature int, threshold double, left int, right int, n int, depth int, impurity double"
 )
 # Rows that walk all trees together, so that the working arrays stay in the processor's cache.
 BLOCK_ROWS = 512
@@ -38,28 +42,37 @@ def mean_path(n) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(tree: int, x: np.ndarray, seed: int, max_depth: int) -> pd.DataFrame:
-    """Nodes of one isolation tree over the rows `x`."""
-    rng = np.random.default_rng([seed, tree])
+def _draw(*parts) -> float:
+    """A repeatable number in [0, 1) from the parts."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2.0**52
+
+
+def _grow(tree: int, x: np.ndarray, order: np.ndarray, seed: int, max_depth: int) -> pd.DataFrame:
+    """Nodes of one isolation tree over the rows `x`, which `order` tells apart.
+
+    A node splits one of the features that differ in it, at a random place between least and greatest value; both
+    draws depend on seed, tree and node alone.
+    """
+    target = np.array([_draw(seed, tree, "y", o) for o in order.tolist()])
     nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, 0)]
+    stack = [(np.arange(len(x)), 0, 0)]
     while stack:
-        rows, depth, parent, side = stack.pop()
-        number = len(nodes)
-        if parent >= 0:
-            nodes[parent][4 + side] = number
-        feature, threshold = -1, 0.0
+        rows, depth, node = stack.pop()
+        feature, threshold, left, right = -1, 0.0, node, node
         if depth < max_depth and len(rows) > 1:
             lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
             splittable = np.flatnonzero(hi > lo)
             if len(splittable):
-                feature = int(rng.choice(splittable))
-                threshold = float(rng.uniform(lo[feature], hi[feature]))
-        nodes.append([tree, number, feature, threshold, number, number, len(rows), depth])
+                feature = int(splittable[int(_draw(seed, tree, node, 0) * len(splittable))])
+                threshold = float(lo[feature] + _draw(seed, tree, node, 1) * (hi[feature] - lo[feature]))
+                if threshold >= hi[feature]:  # rounded up; the right side must hold a row
+                    threshold = float(lo[feature])
+                left, right = 2 * node + 1, 2 * node + 2
+        nodes.append([tree, node, feature, threshold, left, right, len(rows), depth, float(target[rows].var()) if len(rows) else 0.0])
         if feature >= 0:
-            left = x[rows, feature] <= threshold
-            stack.append((rows[~left], depth + 1, number, 1))
-            stack.append((rows[left], depth + 1, number, 0))
+            low = x[rows, feature] <= threshold
+            stack.append((rows[~low], depth + 1, right))
+            stack.append((rows[low], depth + 1, left))
     return pd.DataFrame(nodes, columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
 
 
@@ -99,14 +112,18 @@ class IsolationForest:
     def fit(cls, df: DataFrame, features: str = "features", key: str = S.ROW_KEY,
             trees: int = 200, sample: int = 256, seed: int = 42) -> "IsolationForest":
         """`features` is an array<double> column without nulls, `key` a unique row key."""
+        return cls.grow(sample_per_tree(df, features, key, trees, sample, seed), trees, sample, seed)
+
+    @classmethod
+    def grow(cls, samples: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42) -> "IsolationForest":
+        """From (tree, order, features): every tree grows on its `sample` rows of lowest order."""
         max_depth = math.ceil(math.log2(max(sample, 2)))
 
-        def grow(group: pd.DataFrame) -> pd.DataFrame:
+        def one(group: pd.DataFrame) -> pd.DataFrame:
             chosen = group.nsmallest(sample, "order")
-            return _grow(int(group["tree"].iloc[0]), np.stack(chosen["features"]), seed, max_depth)
+            return _grow(int(group["tree"].iloc[0]), np.stack(chosen["features"]), chosen["order"].to_numpy(), seed, max_depth)
 
-        samples = sample_per_tree(df, features, key, trees, sample, seed)
-        grown = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+        grown = samples.groupBy("tree").applyInPandas(one, NODE_SCHEMA)
         return cls(materialize(grown, "isolation_nodes"), trees, sample)
 
     def _arrays(self) -> dict:
@@ -155,16 +172,19 @@ class IsolationForest:
         return df.withColumn(output, path_score(F.col(features)))
 
     def importances(self, names: list[str], top: int | None = None) -> DataFrame:
-        """Share of all splits per feature, highest first."""
-        spark = self.nodes.sparkSession
+        """Decrease of impurity by the splits on a feature, weighted by rows, as a share of the tree's; the mean over all trees."""
+        spark, nodes = self.nodes.sparkSession, self.nodes
         named = local_table(spark, list(enumerate(names)), "feature_no int, feature string")
-        splits = (
-            self.nodes.where("feature >= 0").groupBy(F.col("feature").alias("feature_no"))
-            .agg(F.count("*").alias("n"))
-        )
-        total = splits.agg(F.sum("n")).first()[0] or 1
-        table = named.join(F.broadcast(splits), "feature_no", "left").select(
-            "feature", (F.coalesce("n", F.lit(0)) / total).alias("importance"),
+        weighed = nodes.select("tree", "node", (F.col("n") * F.col("impurity")).alias("held"))
+        side = lambda c: weighed.select("tree", F.col("node").alias(c), F.col("held").alias(f"{c}_held"))
+        splits = nodes.where("feature >= 0").join(side("left"), ["tree", "left"]).join(side("right"), ["tree", "right"])
+        gained = splits.select(
+            "tree", F.col("feature").alias("feature_no"), (F.col("n") * F.col("impurity") - F.col("left_held") - F.col("right_held")).alias("gain"))
+        per_tree = gained.groupBy("tree").agg(F.sum("gain").alias("all"))
+        shares = gained.groupBy("tree", "feature_no").agg(F.sum("gain").alias("own")).join(per_tree, "tree").where("all > 0")
+        mean = shares.groupBy("feature_no").agg((F.sum(F.col("own") / F.col("all")) / self.trees).alias("share"))
+        table = named.join(F.broadcast(mean), "feature_no", "left").select(
+            "feature", F.coalesce("share", F.lit(0.0)).alias("importance"),
         ).orderBy(F.desc("importance"), "feature")
         return table if top is None else table.limit(top)
 
@@ -232,3 +252,63 @@ class ReconstructionModel:
             "_row": vector_to_array(features), "_coded": vector_to_array("_code")})
         left = _sum_of_squares("_row", self.width) - _sum_of_squares("_coded", self.pca.getK())
         return coded.withColumn(output, F.greatest(left / self.width, F.lit(0.0))).drop("_code", "_row", "_coded")
+
+
+def _arrow_matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+@dataclass(frozen=True)
+class CurvedReconstruction:
+    """Code of width k of random waves, learnt on normal rows: it bends with surfaces that a linear code flattens.
+
+    The waves cos(w z + b), with normal w and even b, have the Gaussian kernel as their mean product (Rahimi and Recht
+    2007); what the leading components of the centred waves leave of a row is its novelty by kernel PCA (Hoffmann 2007).
+    The matrices depend on width, waves, k and seed alone, whatever the rows.
+    """
+
+    weights: np.ndarray
+    shift: np.ndarray
+    mean: np.ndarray
+    components: np.ndarray
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: str = "features", label: str = S.LABEL, k: int = 16, waves: int = 256,
+            width: float | None = None, seed: int = 42) -> "CurvedReconstruction":
+        """`features` is a standardised vector column; rows with label 0 are learnt from.
+
+        `width` is the distance at which rows stop being alike, by default that of two independent coordinates each.
+        """
+        normal = df.where(F.col(label) == 0)
+        first = normal.select(vector_to_array(features).alias("v")).first()
+        if first is None:
+            raise ValueError("a reconstruction needs normal rows")
+        size = len(first["v"])
+        draws = np.random.default_rng(seed)
+        weights = draws.normal(size=(size, waves)) / (width or math.sqrt(size))
+        shift = draws.uniform(0, 2 * math.pi, waves)
+
+        @F.arrow_udf("array<double>")
+        def wave(column: pa.Array) -> pa.Array:
+            made = np.cos(_arrow_matrix(column) @ weights + shift) * math.sqrt(2 / waves)
+            return pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * waves, made.ravel())
+
+        mapped = materialize(normal.select(array_to_vector(wave(vector_to_array(features))).alias("_wave")), "waves")
+        code = PCA(k=min(k, waves), inputCol="_wave", outputCol="_code").fit(mapped)
+        mean = mapped.select(Summarizer.mean(F.col("_wave")).alias("m")).first()["m"]
+        return cls(weights, shift, mean.toArray(), code.pc.toArray())
+
+    def errors(self, rows: np.ndarray) -> np.ndarray:
+        """The share of each row's centred waves that the code leaves over."""
+        made = np.cos(rows @ self.weights + self.shift) * math.sqrt(2 / len(self.shift)) - self.mean
+        return np.maximum((made**2).sum(axis=1) - ((made @ self.components) ** 2).sum(axis=1), 0.0)
+
+    def score(self, df: DataFrame, features: str = "features", output: str = "error") -> DataFrame:
+        """`df` with the error of the reconstruction."""
+        model = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.arrow_udf("double")
+        def error(column: pa.Array) -> pa.Array:
+            return pa.array(model.value.errors(_arrow_matrix(column)) if len(column) else np.zeros(0))
+
+        return df.withColumn(output, error(vector_to_array(features)))

@@ -178,20 +178,29 @@ def explain(
 
 
 def explanation_document(explanations: DataFrame) -> DataFrame:
-    """The explanations in one row: time of writing, number, and rows in order.
+    """Lines (`place`, `line`) that make one JSON document in order of `place`: head, a line for each row, end.
 
-    It holds the rows that the caller asked `explain` for; a longer table is written flat.
+    The head has the time of writing and the number of rows; the rows are in order of `transaction_id`, which is
+    unique. No line holds more than one row, so a document may have any number of them.
     """
-    return explanations.agg(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at"),
-        F.count("*").alias("total_transactions"),
-        F.array_sort(F.collect_list(F.struct(*explanations.columns))).alias("explanations"),
-    )
+    counted = explanations.agg(F.count("*").alias("n"), F.min("transaction_id").alias("first"))
+    head = counted.select(
+        F.lit(-2).cast("long").alias("place"),
+        F.format_string('{"generated_at":"%s","total_transactions":%d,"explanations":[',
+                        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "n").alias("line"))
+    end = head.select(F.lit(2**62).alias("place"), F.lit("]}").alias("line"))
+    least = counted.select("first")
+    row = F.to_json(F.struct(*explanations.columns), {"ignoreNullFields": "false"})
+    # A line break inside a text is written as \\n by JSON, so a row is one line.
+    rows = explanations.crossJoin(F.broadcast(least)).select(
+        F.col("transaction_id").cast("long").alias("place"),
+        F.concat(F.when(F.col("transaction_id") > F.col("first"), ",").otherwise(""), row).alias("line"))
+    return head.unionByName(rows).unionByName(end)
 
 
 def write_explanations(explanations: DataFrame, path: str) -> str:
-    """Flat rows under `rows`, the document under `document`."""
+    """Flat rows under `rows`; under `document` the parts of one JSON document, whole in order of their names."""
     explanations.write.mode("overwrite").parquet(f"{path}/rows")
     stored = explanations.sparkSession.read.schema(explanations.schema).parquet(f"{path}/rows")
-    explanation_document(stored).write.mode("overwrite").json(f"{path}/document")
+    explanation_document(stored).orderBy("place").select("line").write.mode("overwrite").text(f"{path}/document")
     return path

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from .. import schema as S
+from ..session import run_folder
+from .ranking import SLICE_ROWS
 
 PAGE_SIZE = 6
 
@@ -133,6 +140,47 @@ def page(df: DataFrame, number: int, order: list[Column | str], size: int = PAGE
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows stored in order by ranges, with the rank at which each range begins; a page reads the ranges it lies in.
+
+    `order` must be unique, so that every row has one rank; null and NaN have places as any order gives them.
+    """
+
+    path: str
+    order: list[Column | str]
+    schema: T.StructType
+    spark: SparkSession
+
+    @classmethod
+    def build(cls, df: DataFrame, order: list[Column | str], path: str | None = None, slice_rows: int = SLICE_ROWS) -> PageIndex:
+        spark = df.sparkSession
+        path = path or f"{run_folder(spark)}/pages-{uuid4().hex}"
+        cut = df.repartitionByRange(max(math.ceil(df.count() / slice_rows), 1), *order).withColumn("_slice", F.spark_partition_id())
+        cut.write.mode("overwrite").partitionBy("_slice").parquet(f"{path}/rows")
+        stored = spark.read.schema(cut.schema).parquet(f"{path}/rows")
+        above = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        # One row for each range; the window runs over these.
+        stored.groupBy("_slice").agg(F.count("*").alias("n")).withColumn(
+            "first", F.coalesce(F.sum("n").over(above), F.lit(0))).write.mode("overwrite").parquet(f"{path}/ranges")
+        return cls(path, order, cut.schema, spark)
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        """Page `number`, from 0, in order."""
+        first, last = number * size, (number + 1) * size
+        ranges = self.spark.read.parquet(f"{self.path}/ranges").where((F.col("first") < last) & (F.col("first") + F.col("n") > first))
+        # As many ranges as a page touches: one, or two at an edge, unless a page is longer than a range.
+        begins = {r["_slice"]: r["first"] for r in ranges.collect()}
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+        if not begins:
+            return rows.drop("_slice").limit(0)
+        inside = rows.where(F.col("_slice").isin(list(begins)))
+        rank = F.row_number().over(Window.partitionBy("_slice").orderBy(*self.order)) - 1
+        start = F.element_at(F.create_map(*[F.lit(v) for pair in begins.items() for v in pair]), F.col("_slice"))
+        return inside.withColumn("_rank", rank + start).where(
+            (F.col("_rank") >= first) & (F.col("_rank") < last)).orderBy("_rank").drop("_rank", "_slice")
+
+
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(F.count("*").alias("n")).select(
         "n", F.ceil(F.col("n") / size).cast("long").alias("pages"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,39 +12,36 @@ from .. import schema as S
 from ..errors import ModelNotFound
 from ..session import local_table
 from ..sources import read_or_none
+from .boosting import BoostedTrees
 
 
 @dataclass(frozen=True)
 class FraudModel:
-    """Preparation, classifier and decision threshold."""
+    """Classifier and decision threshold."""
 
-    pipeline: PipelineModel
+    trees: BoostedTrees
     threshold: float
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        self.pipeline.write().overwrite().save(f"{path}/model")
+        self.trees.save(f"{path}/model")
         (local_table(spark, [(float(self.threshold),)], "threshold double")
          .write.mode("overwrite").parquet(f"{path}/threshold"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FraudModel":
         threshold = read_or_none(spark.read.parquet, f"{path}/threshold")
-        if threshold is None or read_or_none(spark.read.text, f"{path}/model/metadata") is None:
+        if threshold is None or read_or_none(spark.read.parquet, f"{path}/model/nodes") is None:
             raise ModelNotFound(f"no stored classifier under {path}")
-        return cls(PipelineModel.load(f"{path}/model"), threshold.first()["threshold"])
+        return cls(BoostedTrees.load(spark, f"{path}/model"), threshold.first()["threshold"])
 
     def score(self, features: DataFrame) -> DataFrame:
-        return apply_threshold(with_probability(self.pipeline, features), self.threshold)
+        return apply_threshold(with_probability(self.trees, features), self.threshold)
 
 
-def with_probability(pipeline: PipelineModel, features: DataFrame) -> DataFrame:
+def with_probability(trees: BoostedTrees, features: DataFrame) -> DataFrame:
     """`features` with the probability of fraud and the prediction at 0.5."""
-    return pipeline.transform(features).select(
-        *features.columns,
-        vector_to_array("probability")[1].alias("fraud_probability"),
-        F.col("prediction").cast("int").alias("prediction"),
-    )
+    return trees.score(features).withColumn("prediction", fn.above_threshold("fraud_probability", 0.5))
 
 
 def apply_threshold(scored: DataFrame, threshold: float, score: str = "fraud_probability") -> DataFrame:

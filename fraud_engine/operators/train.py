@@ -1,23 +1,19 @@
-"""Preparation and training of the boosted-tree classifier."""
+"""Preparation of features, and training of the boosted-tree classifier."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import ensure_checkpoint_dir, in_fixed_parts, local_table
+from . import boosting
 
 # Features that may be null: unreadable times, cards with one row. The mean stands in.
 NULLABLE = ["txn_time", "amt", *S.CARD_METRICS]
-# Partitions of the training rows; draws and sums depend on it.
-TRAIN_PARTS = 8
 
 
 def preparation(features: list[str], output: str = "features") -> list:
@@ -42,99 +38,33 @@ def fit_preparation(train: DataFrame, features: list[str]) -> PipelineModel:
     return Pipeline(stages=preparation(features)).fit(train)
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """Rounds to keep: the best one before `patience` rounds in a row bring no gain."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
-    """The model made of the first trees of a boosted one, with their weights."""
-    if rounds >= model.getNumTrees:
-        return model
-    context = SparkContext._active_spark_context
-    gateway, jvm, whole = context._gateway, context._jvm, model._java_obj
-    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(jvm.double, rounds)
-    for i, (tree, weight) in enumerate(zip(whole.trees()[:rounds], whole.treeWeights()[:rounds])):
-        trees[i], weights[i] = tree, weight
-    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        whole.uid(), trees, weights, whole.numFeatures(), whole.numClasses())
-    return GBTClassificationModel(whole.copyValues(made, whole.extractParamMap()))
-
-
 @dataclass(frozen=True)
 class TrainedModel:
-    pipeline: PipelineModel
+    trees: boosting.BoostedTrees
     features: list[str]
     rounds: int
     losses: list[float]
 
-    @property
-    def trees(self) -> GBTClassificationModel:
-        return self.pipeline.stages[-1]
-
 
 def fit_boosted_trees(
     train: DataFrame,
     validation: DataFrame | None,
     features: list[str],
-    rounds: int = 200,
-    patience: int = 20,
-    depth: int = 6,
-    step: float = 0.1,
-    row_share: float = 0.8,
-    column_share: float = 0.8,
-    seed: int = 42,
     key: str = S.ROW_KEY,
-    parts: int = TRAIN_PARTS,
+    folder: str | None = None,
+    **settings,
 ) -> TrainedModel:
-    """Boosted trees with fraud rows weighted by the class ratio.
+    """Boosted trees with fraud rows weighted by the class ratio; `settings` are those of `boosting.Settings`.
 
-    With a validation table the number of rounds is the best one there: all rounds are fitted once and
-    evaluated one by one, and the model keeps the first ones up to the best. Rows are dealt into
-    `parts` partitions by `key`, so the model depends on data, settings and `parts`, not on the cluster;
-    give about one part for each core.
+    With a validation table fitting ends after `patience` rounds without a lower log loss there, and the model
+    keeps the rounds up to the best. With `folder`, a fit that was broken off goes on from its last stored round.
+    Trees split on the order of values, so features are not standardised, and missing values have a side of their own.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-    negatives, positives = train.agg(
-        F.count_if(F.col(S.LABEL) == 0), F.count_if(F.col(S.LABEL) == 1)).first()
-    if not positives or not negatives:
-        raise ValueError("training needs rows of both classes")
-    ready = fit_preparation(train, features)
-
-    def vectors(df: DataFrame, fraud_weight: float, *keep: str) -> DataFrame:
-        return ready.transform(df).select(
-            *keep, F.col(S.LABEL).cast("double").alias("label"), "features",
-            F.when(F.col(S.LABEL) == 1, fraud_weight).otherwise(1.0).alias("weight"))
-
-    classifier = GBTClassifier(
-        labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds,
-        maxDepth=depth, stepSize=step, subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share), seed=seed)
-    data = in_fixed_parts(vectors(train, negatives / positives, key), key, parts).persist()
-    try:
-        model = classifier.fit(data)
-    finally:
-        data.unpersist()
-    losses: list[float] = []
-    if validation is not None:
-        losses = model.evaluateEachIteration(vectors(validation, 1.0))
-        rounds = best_round(losses, patience)
-        model = first_rounds(model, rounds)
-    return TrainedModel(PipelineModel(stages=[*ready.stages, model]), list(features), rounds, losses)
-
-
-def feature_importances(model: TrainedModel, top: int | None = None) -> DataFrame:
-    """(feature, importance), highest first."""
-    values = model.trees.featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(model.features, values)]
-    table = local_table(
-        SparkSession.active(), rows, "feature string, importance double"
-    ).orderBy(F.desc("importance"), "feature")
+    found = boosting.fit(train, validation, features, key, boosting.Settings(**settings), folder)
+    return TrainedModel(found.model, list(features), found.rounds, found.losses)
+
+
+def feature_importances(model: TrainedModel, top: int | None = None, kind: str = "gain") -> DataFrame:
+    """(feature, importance), highest first: mean gain of a feature's splits as a share of all features' sum."""
+    table = model.trees.importances(SparkSession.active(), kind).orderBy(F.desc("importance"), "feature")
     return table if top is None else table.limit(top)

@@ -432,13 +432,17 @@ ORACLE |= {
         CASE WHEN category = 'Travel' THEN {_FALLBACK} ELSE concat('- Amount: $', printf('%.2f', amount),
           ' (user''s average: $', printf('%.2f', user_avg_amount), ')') END AS explanation
         FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 50""",
-    "gbt_checked": _T + f"SELECT trans_num, is_fraud, {_SPLIT} AS split, TRUE AS in_range, TRUE AS agrees FROM txn",
-    "gbt_importances_checked": f"SELECT CAST({len(_CATEGORY_FLAGS + _STATE_FLAGS + _JOB_FLAGS + _DECADE_FLAGS) + 6} AS BIGINT) AS n, "
-        "1e0 AS total, TRUE AS named FROM (SELECT count(*) FROM events)",
-    "iforest_checked": _T + "SELECT trans_num, is_fraud, TRUE AS in_range, TRUE AS agrees FROM txn",
-    "pca_checked": _T + "SELECT trans_num, is_fraud, TRUE AS in_range, TRUE AS share_is_right FROM txn",
-    "real_models_compared": """SELECT model, TRUE AS in_range
-        FROM (VALUES ('boosted trees'), ('isolation forest'), ('reconstruction')) AS t(model)""",
+    "explanation_head": _T + """SELECT least(50, count(*)) AS total_transactions, least(50, count(*)) AS n_rows
+        FROM txn WHERE score > 0.5e0""",
+    "raw_types": _T + """SELECT "column", n, CASE WHEN kind = 'int' THEN n ELSE 0 END AS n_bigint,
+        CASE WHEN kind IN ('int', 'double') THEN n ELSE 0 END AS n_double, CASE WHEN kind = 'timestamp' THEN n ELSE 0 END AS n_timestamp, kind AS type
+        FROM (SELECT unnest(['trans_num', 'cc_num', 'category', 'amt', 'job', 'is_fraud', 'trans_date_trans_time', 'city_pop']) AS "column",
+          unnest([count(trans_num), count(cc_num), count(category), count(amt), count(job), count(is_fraud), count(trans_date_trans_time), count(*)]) AS n,
+          unnest(['int', 'int', 'string', 'double', 'string', 'int', 'timestamp', 'int']) AS kind FROM txn)""",
+    "raw_rescued": _T + """SELECT trans_num, trans_num % 7 = 0 OR amt IS NULL AS amt_is_null,
+        CASE WHEN trans_num % 7 = 0 THEN 'EUR ' || cc_num END AS rescued_amt, CASE WHEN trans_num % 7 = 0 THEN 'soon' END AS rescued_time,
+        CASE WHEN trans_num % 7 = 0 THEN 2 ELSE 0 END AS n_rescued FROM txn""",
     "full_run": _T + """SELECT trans_num, is_fraud, TRUE AS flagged_agrees, TRUE AS explained_agrees,
         count(*) OVER () AS reported_rows FROM txn""",
 }
+ORACLE["report_page_seek"], ORACLE["card_metrics_folded"] = ORACLE["report_page"], ORACLE["card_metrics"]

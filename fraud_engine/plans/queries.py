@@ -432,16 +432,28 @@ def _stored_features(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 _models: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark, sf_dir: str, kind: str, fit: Callable[[], object]) -> object:
-    """A model is fitted once for each application and folder, and its queries share it."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _models:
+def _signature(spark, sf_dir: str) -> str:
+    """Names, lengths and times of the files that the transactions come from."""
+    make, seen = spark._jvm.org.apache.hadoop.fs.Path, []
+    for name in ("events", "customer", "nation"):
+        top = make(f"{sf_dir}/{name}.parquet")
+        found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+        while found.hasNext():
+            status = found.next()
+            seen.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(sorted(seen))
+
+
+def _once(spark, sf_dir: str, kind: str, fit: Callable[[], object], anew: bool = False) -> object:
+    """A model is fitted once for each application and state of the files, and its queries share it."""
+    key = (spark.sparkContext.applicationId, _signature(spark, sf_dir), kind)
+    if anew or key not in _models:
         _models[key] = fit()
     return _models[key]
 
 
-def _trained(spark, sf_dir) -> training.TrainingResult:
-    return _once(spark, sf_dir, "boosted trees", lambda: _train(spark, sf_dir))
+def _trained(spark, sf_dir, anew: bool = False) -> training.TrainingResult:
+    return _once(spark, sf_dir, "boosted trees", lambda: _train(spark, sf_dir), anew)
 
 
 def _train(spark, sf_dir) -> training.TrainingResult:
@@ -449,6 +461,19 @@ def _train(spark, sf_dir) -> training.TrainingResult:
     return training.train_and_tune(stored, inputs)
 
 
+@query
+def gbt_fit(spark, sf_dir):
+    """The nodes of the model of the 60/20/20 protocol, always fitted anew; the queries below share it."""
+    return _trained(spark, sf_dir, anew=True).trained.trees.table(spark)
+
+
+@query
+def gbt_two_way(spark, sf_dir):
+    """The 70/30 protocol: recall of fraud at three thresholds."""
+    stored, inputs = _stored_features(spark, sf_dir)
+    return training.train_two_way(stored, inputs).sweep
+
+
 @query
 def gbt_scores(spark, sf_dir):
     return _trained(spark, sf_dir).scores
@@ -470,8 +495,8 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     return ready.transform(stored).select(S.ROW_KEY, S.LABEL, "features"), inputs
 
 
-def _forest(spark, sf_dir):
-    return _once(spark, sf_dir, "isolation forest", lambda: _grow(spark, sf_dir))
+def _forest(spark, sf_dir, anew: bool = False):
+    return _once(spark, sf_dir, "isolation forest", lambda: _grow(spark, sf_dir), anew)
 
 
 def _grow(spark, sf_dir):
@@ -480,6 +505,12 @@ def _grow(spark, sf_dir):
     return anomaly.IsolationForest.fit(rows), rows, inputs
 
 
+@query
+def iforest_fit(spark, sf_dir):
+    """The nodes of the forest, always grown anew; the queries below share it."""
+    return _forest(spark, sf_dir, anew=True)[0].nodes
+
+
 @query
 def iforest_scores(spark, sf_dir):
     forest, rows, _ = _forest(spark, sf_dir)
@@ -501,6 +532,14 @@ def pca_anomaly(spark, sf_dir):
     return anomaly.flag_highest(scored)
 
 
+@query
+def curved_anomaly(spark, sf_dir):
+    rows, _ = _vectors(spark, sf_dir)
+    model = anomaly.CurvedReconstruction.fit(rows)
+    scored = materialize(model.score(rows).drop("features"), "curved_errors")
+    return anomaly.flag_highest(scored)
+
+
 # Explanations
 
 

@@ -1,8 +1,7 @@
 """Registered queries that write files, read them back and go on, and checks of the fitted models.
 
-A model's scores have no SQL form. Its queries here return, for every row, what SQL can say: key, label,
-part of the split, and whether the scores are in range and agree with the decisions made from them. Their
-twins do not show that a model is good; the tests of the models do that.
+The large models have no SQL form. Their queries here tell whether scores are in range and agree with the decisions
+made from them; the small models of `models` are those that SQL recomputes.
 """
 
 from __future__ import annotations
@@ -13,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import anomaly, explain, lookup, metrics, report, train
+from ..operators import behavior, explain, lookup, metrics, report, train
 from ..operators.features import FeatureModel
 from ..session import materialize, run_folder
 from ..sources import (
     DatasetCatalog, LoadCache, read_explanations, read_features, read_flagged, read_job_matrix, read_or_none,
     read_report, read_transactions, write_flagged, write_table,
 )
+from ..sources.readers import RESCUED, found_types, read_explanation_head, read_rescued
 from . import queries as q
-from . import run, txn
+from . import models, run, txn  # noqa: F401
 from .queries import QUERIES, query, rounded  # noqa: F401
 
 
@@ -107,7 +107,56 @@ def explanations_stored(spark, sf_dir):
     order = [F.desc("fraud_probability"), S.ROW_KEY]
     made = explain.explain(q._explainable(spark, sf_dir), 50, order, _first_line)
     path = explain.write_explanations(made, f"{_folder(spark)}/explanations")
-    return rounded(read_explanations(spark, f"{path}/document").select(F.inline("explanations")))
+    return rounded(read_explanations(spark, f"{path}/document"))
+
+
+@query
+def explanation_head(spark, sf_dir):
+    """The head of a stored document, and how many rows follow it."""
+    made = explain.explain(q._explainable(spark, sf_dir), 50, [F.desc("fraud_probability"), S.ROW_KEY])
+    path = explain.write_explanations(made, f"{_folder(spark)}/explanations")
+    rows = read_explanations(spark, f"{path}/document").count()
+    return read_explanation_head(spark, f"{path}/document").select("total_transactions", F.lit(rows).cast("long").alias("n_rows"))
+
+
+@query
+def report_page_seek(spark, sf_dir):
+    """A page by a stored index of ranks: one range of rows is read."""
+    found = q._flagged(spark, sf_dir).select(S.ROW_KEY, "fraud_probability", "transaction_amount")
+    index = report.PageIndex.build(found, [F.desc("fraud_probability"), S.ROW_KEY], slice_rows=50)
+    return rounded(index.page(2))
+
+
+@query
+def card_metrics_folded(spark, sf_dir):
+    """Card metrics from five logs, taken in one after the other."""
+    rows = q._rows(spark, sf_dir, S.CARD).select(S.ROW_KEY, S.CARD, "amt", "txn_time", "distance")
+    moments = behavior.CardMoments(spark, buckets=8)
+    for k in range(5):
+        moments.fold(rows.where(F.col(S.ROW_KEY) % 5 == k))
+    return moments.metrics()
+
+
+@query
+def raw_types(spark, sf_dir):
+    """The types that the values of a raw CSV log have, with the counts they follow from."""
+    log = write_table(_raw_log(txn.transactions(spark, sf_dir)), f"{_folder(spark)}/log.csv", "csv")
+    return found_types(spark, log).select("column", "n", "n_bigint", "n_double", "n_timestamp", "type").where(
+        F.col("column").isin("trans_num", "cc_num", "category", "amt", "job", "is_fraud", "trans_date_trans_time", "city_pop"))
+
+
+@query
+def raw_rescued(spark, sf_dir):
+    """A log with damaged amounts and hours: the values that do not fit are kept beside the row."""
+    broken = F.col(S.ROW_KEY) % 7 == 0
+    log = _raw_log(txn.transactions(spark, sf_dir)).withColumns({
+        "amt": F.when(broken, F.concat(F.lit("EUR "), F.col("cc_num"))).otherwise(F.col("amt").cast("string")),
+        "unix_time": F.when(broken, "soon").otherwise(F.col("unix_time").cast("string"))})
+    path = write_table(log, f"{_folder(spark)}/log.csv", "csv")
+    kept = F.col(RESCUED)
+    return read_rescued(spark, path).select(
+        F.col(S.ROW_KEY).cast("long").alias(S.ROW_KEY), F.col("amt").isNull().alias("amt_is_null"), kept["amt"].alias("rescued_amt"),
+        kept["unix_time"].alias("rescued_time"), F.coalesce(F.size(F.map_keys(kept)), F.lit(0)).alias("n_rescued"))
 
 
 # Fitted models
@@ -153,9 +202,7 @@ def real_models_compared(spark, sf_dir):
     tables = {
         "boosted trees": tested, "isolation forest": q.iforest_scores(spark, sf_dir).withColumnRenamed("is_anomaly", "guess"),
         "reconstruction": q.pca_anomaly(spark, sf_dir).withColumnRenamed("is_anomaly", "guess")}
-    rows = metrics.union_models([metrics.compare_models(t, {name: F.col("guess")}) for name, t in tables.items()])
-    inside = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
-    return rows.select("model", (inside[0] & inside[1] & inside[2]).alias("in_range"))
+    return metrics.union_models([metrics.compare_models(t, {name: F.col("guess")}) for name, t in tables.items()])
 
 
 @query

@@ -53,7 +53,7 @@ def _split(features: DataFrame, parts: dict, key: str, exact: bool) -> DataFrame
 
 def _scores(trained: TrainedModel, split: DataFrame, key: str) -> DataFrame:
     """Label, split and score only: every evaluation reads this narrow table."""
-    scored = with_probability(trained.pipeline, split)
+    scored = with_probability(trained.trees, split)
     return materialize(scored.select(
         key, "split", S.LABEL, "fraud_probability", "prediction"), "scores")
 
@@ -69,7 +69,7 @@ def train_and_tune(features: DataFrame, inputs: list[str], key: str = S.ROW_KEY,
     sweep = metrics.threshold_sweep(
         scores.where("split = 'validation'"), thresholds, score="fraud_probability")
     threshold = metrics.best_threshold(sweep).first()["threshold"]
-    return TrainingResult(trained, FraudModel(trained.pipeline, threshold), scores, sweep)
+    return TrainingResult(trained, FraudModel(trained.trees, threshold), scores, sweep)
 
 
 def train_two_way(features: DataFrame, inputs: list[str], key: str = S.ROW_KEY,
@@ -80,4 +80,4 @@ def train_two_way(features: DataFrame, inputs: list[str], key: str = S.ROW_KEY,
         split.where("split = 'train'"), split.where("split = 'test'"), inputs, key=key, **settings)
     scores = _scores(trained, split, key)
     sweep = metrics.recall_at(scores.where("split = 'test'"), score="fraud_probability")
-    return TrainingResult(trained, FraudModel(trained.pipeline, 0.5), scores, sweep)
+    return TrainingResult(trained, FraudModel(trained.trees, 0.5), scores, sweep)

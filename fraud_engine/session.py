@@ -119,3 +119,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{run_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folders_in(spark: SparkSession, path: str, holding: str = "") -> list[str]:
+    """The folders right under `path`, those that hold a file of the name `holding` if one is given; none without `path`."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    where = make(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    return [s.getPath().toString() for s in store.listStatus(where)
+            if s.isDirectory() and (not holding or store.exists(make(s.getPath(), holding)))]

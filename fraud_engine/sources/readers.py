@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,32 +30,150 @@ def _is_parquet(path: str, fmt: str | None) -> bool:
     return fmt == "parquet" or (fmt is None and not path.rstrip("/").endswith(".csv"))
 
 
+# A file goes to one task as a whole, and the task is sent few lines at a time: it ends after the header.
+_HEADER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _first_record(lines: Iterator[str]) -> list[str]:
+    """The first record of CSV lines; a quoted name may go over several lines."""
+    return next((r for r in csv.reader(line + "\n" for line in lines) if r), [])
+
+
+def file_headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(header, files) of each distinct header of the CSV files under `path`; empty files have none.
+
+    A task reads one file and stops behind its header, so about a buffer of each file is read. File names
+    reach the driver only where there are several headers, and Spark's own list of files is there anyway.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = []
+
+        def lines() -> Iterator[str]:
+            for batch in batches:
+                first.extend(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()))
+                yield from (v.removeprefix("\ufeff") for v in batch.column("value").to_pylist())
+
+        names = _first_record(lines())
+        if names and first[0][1] == 0:
+            yield pa.record_batch({"file": pa.array([first[0][0]]), "header": pa.array([names], pa.list_(pa.string()))})
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    headers = lines.mapInArrow(run, "file string, header array<string>")
+    with _settings(spark, _HEADER_CONF):
+        grouped = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    return sorted((list(r["header"]), sorted(unquote(f) for f in r["files"])) for r in grouped)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns as text, by name.
 
     Spark takes the first header it meets for all files of a folder. Here files are grouped by their
-    first line, each group is read with its own header and the groups are united by name; a column
-    that a file lacks is null there. There is one group in the common case.
+    header, each group is read with its own and the groups are united by name; a column
+    that a file lacks is null there. There is one group in the common case. Building the plan reads the
+    first bytes of each file.
     """
-    files = spark.read.option("header", True).csv(path).inputFiles()
-    if len(files) < 2:
-        return spark.read.option("header", True).csv(path)
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place"))
-    headers = (
-        lines.groupBy("file").agg(F.min_by("value", "place").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files")))
-    groups = sorted((r["header"], r["files"]) for r in headers.collect() if r["header"])
+    plain = spark.read.option("header", True).option("multiLine", False)
+    if len(plain.csv(path).inputFiles()) < 2:
+        return plain.csv(path)
+    groups = file_headers(spark, path)
     if len(groups) < 2:
-        return spark.read.option("header", True).csv(path)
-    tables = [spark.read.option("header", True).csv([unquote(f) for f in names]) for _, names in groups]
+        return plain.csv(path)
+    tables = [plain.csv(files) for _, files in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+# Types a column of text may have, narrowest first; a column has the first one that all its values fit.
+_LATTICE = ("int", "bigint", "double", "date", "timestamp", "boolean")
+_WHOLE, _DAY = r"^[+-]?[0-9]+$", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+
+
+def _fits(column: str, kind: str) -> Column:
+    c = F.col(f"`{column}`")
+    fits = c.try_cast(kind).isNotNull()
+    if kind in ("int", "bigint"):
+        return c.rlike(_WHOLE) & fits
+    if kind == "double":
+        return c.rlike(r"[0-9]") & ~c.rlike("[dDfF]$") & fits | c.isin("NaN", "Infinity", "-Infinity")
+    if kind == "boolean":
+        return F.lower(c).isin("true", "false")
+    return (c.rlike(_DAY) if kind == "date" else c.rlike(r"^[0-9]{4}-")) & fits
+
+
+def found_types(spark: SparkSession, path: str) -> DataFrame:
+    """(column, n, n_int, n_bigint, n_double, n_date, n_timestamp, n_boolean, type) of a CSV, from one job over all values.
+
+    `n` counts the values of a column that are there, `n_<type>` those that fit the type; `type` is the narrowest
+    one that all of them fit, else string. The counts of files and folders add up, so types of several logs
+    can be merged by adding their counts.
+    """
+    raw = read_csv(spark, path)
+    counted = raw.agg(*[
+        F.struct(F.count(F.col(f"`{c}`")).alias("n"), *[F.count_if(_fits(c, k)).alias(f"n_{k}") for k in _LATTICE]).alias(c)
+        for c in raw.columns])
+    rows = counted.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[f].alias(f) for f in ("n", *(f"n_{k}" for k in _LATTICE))])
+        for c in raw.columns])))
+    return rows.withColumn("type", narrowest())
+
+
+def narrowest() -> Column:
+    """The type that the counts of a row of `found_types` allow."""
+    kind = F.lit("string")
+    for k in reversed(_LATTICE):
+        kind = F.when((F.col("n") > 0) & (F.col(f"n_{k}") == F.col("n")), k).otherwise(kind)
+    return kind
+
+
+def merged_types(*found: DataFrame) -> DataFrame:
+    """The types of several logs together."""
+    counts = ["n", *(f"n_{k}" for k in _LATTICE)]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.groupBy("column").agg(*[F.sum(c).alias(c) for c in counts]).withColumn("type", narrowest())
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and the types that its values have, found in one pass over all of them."""
+    kinds = {r["column"]: r["type"] for r in found_types(spark, path).select("column", "type").collect()}
+    raw = read_csv(spark, path)
+    return raw.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in raw.columns])
+
+
+RESCUED = "_rescued"
+
+
+def read_rescued(spark: SparkSession, path: str, schema: T.StructType = S.RAW) -> DataFrame:
+    """As `read_transactions`, with the values that do not fit their column kept: `_rescued` maps column to text, or is null."""
+    raw = read_csv(spark, path)
+    kinds = {f.name: f.dataType for f in schema.fields if f.name in raw.columns}
+    misfits = F.filter(
+        F.array(*[
+            F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull(), F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")))
+            for c, t in kinds.items()]), lambda v: v.isNotNull())
+    kept = raw.withColumn(RESCUED, F.when(F.size(misfits) > 0, F.map_from_entries(misfits)))
+    return _typed(kept, schema)
+
+
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Raw transactions from CSV with a header.
 
     Columns are taken by header name in any order, in every file. Only headers are read ahead; there
-    is no inference pass over the data. `unreadable_values` counts what does not fit its column.
+    is no inference pass over the data. `unreadable_values` counts what does not fit its column,
+    `read_rescued` keeps it, `read_inferred` takes the types from the values.
     """
     return _typed(read_csv(spark, path), S.RAW)
 
@@ -97,7 +218,16 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_explanations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.EXPLANATION_DOCUMENT).json(path, multiLine=True)
+    """The rows of an explanation document, as `write_explanations` writes it in parts."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("row")).where(F.col("row").rlike(r'^\{"transaction_id"'))
+    return lines.select(F.from_json("row", S.EXPLANATION).alias("r")).select("r.*")
+
+
+def read_explanation_head(spark: SparkSession, path: str) -> DataFrame:
+    """generated_at and total_transactions of an explanation document."""
+    lines = spark.read.text(path).where(F.col("value").startswith('{"generated_at"'))
+    whole = F.concat("value", F.lit("]}"))
+    return lines.select(F.from_json(whole, S.EXPLANATION_DOCUMENT).alias("d")).select("d.generated_at", "d.total_transactions")
 
 
 def read_or_none(reader: Callable[..., DataFrame], *args, **kwargs) -> DataFrame | None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from fraud_engine.operators import explain
 from fraud_engine.sources import read_explanations
+from fraud_engine.sources.readers import read_explanation_head
 
 SCHEMA = (
     "trans_num int, txn_time int, amt double, TXNctg_home int, TXNctg_odd_one int, "
@@ -76,19 +77,46 @@ def test_generator_with_fallback(flagged):
     assert got[304.0].startswith("This $304.00 transaction")
 
 
+def whole_document(path):
+    """The parts of a document behind each other, as any JSON reader sees them."""
+    import json
+    from pathlib import Path
+
+    return json.loads("".join(p.read_text() for p in sorted(Path(path).glob("part-*"))))
+
+
 def test_document(spark, flagged, tmp_path):
     path = explain.write_explanations(explain.explain(flagged), str(tmp_path / "e"))
-    doc = read_explanations(spark, f"{path}/document").first()
+    doc = whole_document(f"{path}/document")
     assert doc["total_transactions"] == 3 and doc["generated_at"]
     assert [e["transaction_id"] for e in doc["explanations"]] == [0, 1, 2]
+    head = read_explanation_head(spark, f"{path}/document").first()
+    assert (head["total_transactions"], head["generated_at"]) == (3, doc["generated_at"])
+    rows = [r.asDict() for r in read_explanations(spark, f"{path}/document").collect()]
+    assert rows == doc["explanations"]
     assert spark.read.parquet(f"{path}/rows").count() == 3
 
 
+def test_document_of_many_rows_in_parts(spark, tmp_path):
+    texts = F.concat(F.lit('line\n, "quoted" {"transaction_id" ]} \u2028 '), F.col("id"))
+    many = spark.range(30_000).select(
+        F.col("id").cast("int").alias("transaction_id"), F.lit(1.5).alias("amount"), F.lit(None).cast("int").alias("time"), F.lit("c").alias("category"),
+        F.lit(0.5).alias("fraud_probability"), texts.alias("explanation")).repartition(9)
+    path = explain.write_explanations(many, str(tmp_path / "many"))
+    doc = whole_document(f"{path}/document")
+    assert doc["total_transactions"] == 30_000 and [e["transaction_id"] for e in doc["explanations"]] == list(range(30_000))
+    assert read_explanations(spark, f"{path}/document").exceptAll(many).isEmpty() and read_explanations(spark, f"{path}/document").count() == 30_000
+    longest = explain.explanation_document(many).agg(F.max(F.length("line"))).first()[0]
+    assert longest < 300
+    empty = explain.write_explanations(many.limit(0), str(tmp_path / "none"))
+    assert whole_document(f"{empty}/document")["explanations"] == []
+
+
 def test_more_rows_than_a_page(spark):
     many = spark.range(12_000).select((F.col("id") / 12_000).alias("fraud_probability"), F.lit(1.0).alias("amt"))
     got = explain.explain(many, n=11_000)
     assert got.count() == 11_000
-    assert explain.explanation_document(got).first()["total_transactions"] == 11_000
+    assert explain.explanation_document(got).count() == 11_002
 
 
 def test_equal_scores_are_in_order_of_the_key(spark):

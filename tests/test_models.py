@@ -37,20 +37,13 @@ def test_scaler_uses_the_training_rows(table):
     assert abs(other) > 1e-6
 
 
-@pytest.mark.parametrize("losses, patience, rounds", [
-    ([5, 4, 3, 2], 2, 4), ([5, 4, 3, 3.5, 3.6, 1], 2, 3), ([5, 4, 3, 3.5, 1], 2, 5), ([1, 2], 20, 1),
-])
-def test_best_round(losses, patience, rounds):
-    assert train.best_round(losses, patience) == rounds
-
-
 @pytest.fixture(scope="module")
 def result(table):
     return train_and_tune(table, INPUTS, rounds=8, patience=2, depth=3)
 
 
 def test_training_protocol(result):
-    assert 1 <= result.trained.rounds <= 8 and len(result.trained.losses) == 8
+    assert 1 <= result.trained.rounds <= len(result.trained.losses) <= 8
     assert result.scores.groupBy("split").count().count() == 3
     lo, hi = result.scores.agg(F.min("fraud_probability"), F.max("fraud_probability")).first()
     assert 0 <= lo < hi <= 1
@@ -63,30 +56,6 @@ def test_training_protocol(result):
     assert result.default_report().count() == result.tuned_report().count() == 5
 
 
-def test_first_rounds_of_a_model(spark, table, tmp_path):
-    from pyspark.ml.classification import GBTClassificationModel
-
-    long = train.fit_boosted_trees(table, None, INPUTS, rounds=6, depth=3)
-    direct = train.fit_boosted_trees(table, None, INPUTS, rounds=3, depth=3).trees
-    short = train.first_rounds(long.trees, 3)
-    assert short.getNumTrees == 3 and short.treeWeights == direct.treeWeights and short.numFeatures == len(INPUTS)
-    assert short.featureImportances == direct.featureImportances
-    short.save(str(tmp_path / "short"))
-    rows = long.pipeline.stages[0].transform(table)
-    for stage in long.pipeline.stages[1:-1]:
-        rows = stage.transform(rows)
-    scores = [[r[0] for r in m.transform(rows).orderBy("trans_num").select("probability").collect()]
-              for m in (short, direct, GBTClassificationModel.load(str(tmp_path / "short")))]
-    assert scores[0] == scores[1] == scores[2]
-
-
-def test_model_does_not_depend_on_the_partitions_of_the_input(table):
-    one, other = (train.fit_boosted_trees(t, None, INPUTS, rounds=3, depth=3) for t in (table.coalesce(1), table.repartition(9)))
-    a, b = ([r[0] for r in with_probability(m.pipeline, table).orderBy("trans_num").select("fraud_probability").collect()]
-            for m in (one, other))
-    assert np.allclose(a, b, rtol=0, atol=1e-9)
-
-
 def test_preparation_without_holes_or_without_values(spark):
     df = spark.createDataFrame([(0, 1, None), (1, 0, None)], "TXNctg_home int, is_fraud int, amt double")
     for inputs in (["TXNctg_home"], ["TXNctg_home", "amt"]):
@@ -129,7 +98,7 @@ def test_missing_model(spark, tmp_path):
 
 
 def test_flagged_rows(table, result):
-    scored = apply_threshold(with_probability(result.trained.pipeline, table), 0.5)
+    scored = apply_threshold(with_probability(result.trained.trees, table), 0.5)
     found = flagged_transactions(scored, "trans_num")
     rows = found.collect()
     p = [r["fraud_probability"] for r in rows]
@@ -219,6 +188,31 @@ def test_forest_over_fewer_rows_than_the_sample(points):
     assert -1 <= lo <= hi < 0
 
 
+def test_forest_importances_are_decreases_of_impurity(forest):
+    names, want = list("abcdef"), np.zeros(6)
+    nodes = {(r["tree"], r["node"]): r for r in forest.nodes.collect()}
+    for tree in range(40):
+        own, held = np.zeros(6), lambda n, t=tree: nodes[t, n]["n"] * nodes[t, n]["impurity"]
+        for (t, n), r in nodes.items():
+            if t == tree and r["feature"] >= 0:
+                own[r["feature"]] += held(n) - held(r["left"]) - held(r["right"])
+        want += own / own.sum() / 40
+    got = {r["feature"]: r["importance"] for r in forest.importances(names).collect()}
+    assert got == {n: pytest.approx(w) for n, w in zip(names, want)}
+
+
+def test_impurity_is_the_variance_of_the_targets():
+    x, order = np.array([[1.0, 5.0], [2.0, 5.0], [4.0, 5.0], [4.0, 5.0]]), np.array([9, 3, 7, 1])
+    nodes = anomaly._grow(3, x, order, 42, 2)
+    y = np.array([anomaly._draw(42, 3, "y", o) for o in order])
+    root = nodes[nodes["node"] == 0].iloc[0]
+    assert root["feature"] == 0 and root["impurity"] == pytest.approx(y.var()) and 1 <= root["threshold"] < 4
+    for _, r in nodes.iterrows():
+        if r["node"] in (1, 2):
+            own = (x[:, 0] <= root["threshold"]) == (r["node"] == 1)
+            assert r["n"] == own.sum() and r["impurity"] == pytest.approx(y[own].var())
+
+
 def test_forest_importances_and_storage(spark, forest, tmp_path):
     names = list("abcdef")
     got = forest.importances(names)
@@ -244,3 +238,42 @@ def test_flag_highest(spark):
     df = spark.range(1, 201).select(F.col("id").cast("double").alias("error"))
     assert anomaly.flag_highest(df).agg(F.sum("is_anomaly")).first()[0] == 2
     assert anomaly.flag_highest(df, exact=False).agg(F.sum("is_anomaly")).first()[0] in (1, 2, 3)
+
+
+@pytest.fixture(scope="module")
+def ring(spark):
+    """Normal rows on a circle and outliers inside it, where no flat code finds them."""
+    rng = np.random.default_rng(2)
+    turn = rng.uniform(0, 2 * np.pi, 1500)
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1) * 1.4 + rng.normal(0, 0.05, (1500, 2))
+    x[:15] = rng.normal(0, 0.2, (15, 2))
+    return spark.createDataFrame([(i, int(i < 15), [float(v) for v in r]) for i, r in enumerate(x)],
+                                 "trans_num int, is_fraud int, features array<double>").withColumn("features", array_to_vector("features")).cache()
+
+
+def test_a_curved_surface_is_found(ring):
+    def caught(model):
+        scored = model.score(ring).select("is_fraud", "error").toPandas()
+        cut = np.sort(scored["error"])[-15]
+        return int(scored.loc[scored["is_fraud"] == 1, "error"].ge(cut).sum())
+
+    assert caught(anomaly.ReconstructionModel.fit(ring, k=1)) < 5
+    assert caught(anomaly.CurvedReconstruction.fit(ring, k=8, waves=128, width=0.7)) >= 14
+
+
+def test_curved_errors_equal_numpy(ring):
+    model = anomaly.CurvedReconstruction.fit(ring, k=5, waves=32)
+    rows = ring.toPandas()
+    z = np.stack([v.toArray() for v in rows["features"]])
+    waves = np.cos(z @ model.weights + model.shift) * np.sqrt(2 / 32)
+    normal = waves[rows["is_fraud"] == 0]
+    values, vectors = np.linalg.eigh(np.cov(normal.T))
+    top = vectors[:, np.argsort(-values)[:5]]
+    centred = waves - normal.mean(axis=0)
+    want = ((centred - centred @ top @ top.T) ** 2).sum(axis=1)
+    got = [r["error"] for r in model.score(ring).orderBy("trans_num").collect()]
+    assert np.allclose(got, want, atol=1e-9)
+    again = anomaly.CurvedReconstruction.fit(ring.repartition(7), k=5, waves=32)
+    assert np.allclose([r["error"] for r in again.score(ring).orderBy("trans_num").collect()], got, atol=1e-9)
+    with pytest.raises(ValueError, match="normal rows"):
+        anomaly.CurvedReconstruction.fit(ring.where("is_fraud = 1"))

@@ -74,3 +74,21 @@ def test_pages(spark):
 
 def test_shape(scored):
     assert tuple(report.table_shape(scored).first()) == (4, len(scored.columns))
+
+
+def test_pages_by_a_stored_index(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.col("id") * 7919 % 100 / 100).alias("p")).repartition(5)
+    order = [F.desc("p"), "id"]
+    index = report.PageIndex.build(rows, order, str(tmp_path / "index"), slice_rows=90)
+    for number in (0, 1, 14, 15, 99, 166, 167, 5000):
+        want = report.page(rows, number, order).collect()
+        assert index.page(number).collect() == want
+    assert index.page(3, size=250).collect() == report.page(rows, 3, order, 250).collect()
+    read = {f.split("_slice=")[1].split("/")[0] for f in index.page(100).inputFiles()}
+    assert len(read) >= 5  # all files are known to the table
+    plan = index.page(100)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_slice" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    ranges = spark.read.parquet(str(tmp_path / "index/ranges")).collect()
+    assert sum(r["n"] for r in ranges) == 1000 and max(r["n"] for r in ranges) < 400
+    empty = report.PageIndex.build(rows.limit(0), order, str(tmp_path / "none"))
+    assert empty.page(0).count() == 0

@@ -2,7 +2,7 @@ import pytest
 
 from raw_logs import RAW_COLUMNS, raw_row, write_csv
 from fraud_engine import schema as S
-from fraud_engine.sources.readers import unreadable_values
+from fraud_engine.sources.readers import file_headers, found_types, merged_types, read_inferred, read_rescued, unreadable_values
 from fraud_engine.sources import (
     DatasetCatalog, LoadCache, output_name, read_features, read_flagged, read_job_matrix,
     read_or_none, read_report, read_transactions, write_flagged, write_table,
@@ -94,3 +94,58 @@ def test_job_matrix(spark, tmp_path):
 def test_output_name():
     assert output_name("/data/raw/TransactionLogs-1.csv") == "Processed_TransactionLogs-1.csv"
     assert output_name("/data/raw/log.csv/", "parquet") == "Processed_log.parquet"
+
+
+def jvm_bytes(spark):
+    """Bytes that the Java process has read so far, sockets included."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    with open(f"/proc/{pid}/io") as f:
+        return int(f.readline().split()[1])
+
+
+def test_headers_are_found_without_reading_the_files(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    body = "".join(f"{i},{i * 0.5},home\n" for i in range(400_000))
+    for k, head in enumerate(["cc_num,amt,category", "amt,cc_num,category", "cc_num,amt,category"]):
+        (tmp_path / f"log/{k}.csv").write_text(f"{head}\n{body}")
+    (tmp_path / "log/empty.csv").write_text("")
+    total = sum(p.stat().st_size for p in (tmp_path / "log").iterdir())
+    file_headers(spark, str(tmp_path / "log"))  # code is loaded
+    before = jvm_bytes(spark)
+    found = file_headers(spark, str(tmp_path / "log"))
+    read = jvm_bytes(spark) - before
+    assert [h for h, _ in found] == [["amt", "cc_num", "category"], ["cc_num", "amt", "category"]]
+    assert [[f.rsplit("/", 1)[1] for f in files] for _, files in found] == [["1.csv"], ["0.csv", "2.csv"]]
+    assert read < total / 8, f"{read} of {total}"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
+
+
+def test_headers_with_quotes_and_blank_lines(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.csv").write_text('"cc_num","amt"\n1,2\n')
+    (tmp_path / "log/b.csv").write_text("cc_num,amt\n3,4\n")
+    assert len(file_headers(spark, str(tmp_path / "log"))) == 1
+    assert sorted(read_transactions(spark, str(tmp_path / "log")).collect()) == [(1, 2.0), (3, 4.0)]
+
+
+def test_types_are_found_and_merged(spark, tmp_path):
+    head = "a,b,c,d,e,f,g,h\n"
+    (tmp_path / "1.csv").write_text(head + "1,5000000000,1.5,2020-01-01,2020-01-01 10:00:00,true,x,\n2,1,2,2020-1-2,2020-01-01,FALSE,1,\n")
+    (tmp_path / "2.csv").write_text("b,a,c,d,e,f,g,h\n1,2.5,NaN,soon,2021-01-01T00:00:00,true,2,\n")
+    kinds = lambda df: {r["column"]: r["type"] for r in df.collect()}
+    one, two = (found_types(spark, str(tmp_path / f"{k}.csv")) for k in (1, 2))
+    assert kinds(one) == {"a": "int", "b": "bigint", "c": "double", "d": "date", "e": "timestamp", "f": "boolean", "g": "string", "h": "string"}
+    both = kinds(merged_types(one, two))
+    assert both == {"a": "double", "b": "bigint", "c": "double", "d": "string", "e": "timestamp", "f": "boolean", "g": "string", "h": "string"}
+    (tmp_path / "both").mkdir()
+    for k in (1, 2):
+        (tmp_path / f"both/{k}.csv").write_text((tmp_path / f"{k}.csv").read_text())
+    assert kinds(found_types(spark, str(tmp_path / "both"))) == both
+    got = read_inferred(spark, str(tmp_path / "both"))
+    assert dict(got.dtypes)["a"] == "double" and got.count() == 3 and got.where("b = 5000000000").count() == 1
+
+
+def test_values_that_do_not_fit_are_kept(spark, tmp_path):
+    path = write_csv(tmp_path / "log.csv", [raw_row(amt="ten", lat="north"), raw_row(trans_num="t2", amt=""), raw_row(trans_num="t3")])
+    got = {r["trans_num"]: (r["amt"], r["_rescued"]) for r in read_rescued(spark, path).collect()}
+    assert got == {"t1": (None, {"amt": "ten", "lat": "north"}), "t2": (None, None), "t3": (10.0, None)}
