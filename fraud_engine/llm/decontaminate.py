@@ -15,14 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.llm.common import documents, id_text
+from fraud_engine.llm.common import documents, materialize
 from fraud_engine.llm.textbatch import ALNUM, Words, ngrams, slices, text_bytes
 
 WINDOW = 10
 #: Windows of the benchmark in one broadcast, about 100 bytes each.
 SLICE_WINDOWS = 500_000
 
-_FOUND = "doc_id long, text string, n_words long, n_hit long, items array<string>, hits binary"
 
 
 class WindowSet:
@@ -89,72 +88,55 @@ def _windows_of(benchmark: DataFrame, window: int, slice_windows: int) -> Iterat
         yield part
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, keep_text: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
+_CARRIED = "_carried"
+
+
+def _scan(found: DataFrame, items: list[tuple[str, str]], window: int, out: list[str]) -> DataFrame:
+    """The rows of `found` with the hits of these items added to those that are there, as the columns `out`."""
+    shared = found.sparkSession.sparkContext.broadcast(WindowSet(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in slices(batches):
-            text = batch.column("text")
-            words = Words(*text_bytes(text), ALNUM)
+            words = Words(*text_bytes(batch.column("text")), ALNUM)
             hit, found = known.scan(words)
-            sums = np.concatenate([[0], np.cumsum(hit)])
             first = words.first
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"),
-                "text": text if keep_text else pa.nulls(len(text), pa.string()),
-                "n_words": pa.array(np.diff(first), pa.int64()),
-                "n_hit": pa.array(sums[first[1:]] - sums[first[:-1]], pa.int64()),
+            before, named = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            n_words = np.diff(first)
+            for r, bits in enumerate(before):
+                if bits is not None:
+                    hit[first[r]:first[r + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[: n_words[r]].astype(bool)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            made = {
+                "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(sums[first[1:]] - sums[first[:-1]], pa.int64()),
                 "items": pa.array(
-                    [sorted({known.items[i] for i in s if known.items[i] is not None}) for s in found],
+                    [sorted({known.items[i] for i in s if known.items[i] is not None} | set(own or [])) for s, own in zip(found, named)],
                     pa.list_(pa.string())),
-                "hits": pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
-            })
+                "hits": pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in out], names=out)
 
-    return docs.mapInArrow(run, _FOUND)
+    return found.mapInArrow(run, found.select(*out).schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_windows: int = SLICE_WINDOWS,
-         keep_text: bool = False) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted), hits (a bit for each word) of every document.
+         keep_text: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted), hits (a bit for each word) of every document; with `keep_text` its text,
+    with `carry` the whole row as the struct `_carried`.
 
     A null or empty text has no words, an item without words no window, and an item without id names no
     item though its words are hit. Rows that repeat are found each on their own. An empty benchmark
-    hits nothing.
+    hits nothing. The documents pass the slices of the benchmark one after the other, and are written in between,
+    so that no more than one slice is held.
     """
-    docs = id_text(docs)
-    parts = list(_windows_of(benchmark, window, slice_windows)) or [[]]
-    if len(parts) == 1:
-        return _scan(docs, parts[0], window, keep_text)
-    # Rows may repeat: rows of equal id and text have equal marks, so one of them stands for all.
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    whole = keyed.dropDuplicates(["doc_id", "text"])
-    found = None
-    for part in parts:
-        one = _scan(whole.select("doc_id", "text"), part, window, True)
-        found = one if found is None else found.unionByName(one)
-
-    def unite(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit, items, text, words = None, set(), None, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                bits = np.unpackbits(np.frombuffer(row["hits"], np.uint8))[: row["n_words"]]
-                hit = bits if hit is None else hit | bits
-                items.update(row["items"])
-                words = row["n_words"]
-        yield pa.record_batch({
-            "_id": pa.array([key[0].as_py()], pa.int64()), "_key": pa.array([key[1].as_py()], pa.int64()),
-            "n_words": pa.array([words], pa.int64()), "n_hit": pa.array([int(hit.sum())], pa.int64()),
-            "items": pa.array([sorted(items)], pa.list_(pa.string())),
-            "hits": pa.array([np.packbits(hit).tobytes()], pa.binary())})
-
-    marks = (
-        found.withColumn("_key", F.xxhash64("doc_id", "text")).drop("text").groupBy("doc_id", "_key")
-        .applyInArrow(unite, "_id long, _key long, n_words long, n_hit long, items array<string>, hits binary"))
-    joined = keyed.alias("d").join(
-        marks.alias("m"), (F.col("d._key") == F.col("m._key")) & F.col("d.doc_id").eqNullSafe(F.col("m._id")))
-    text = F.col("d.text") if keep_text else F.lit(None).cast("string").alias("text")
-    return joined.select("d.doc_id", text, "n_words", "n_hit", "items", "hits")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_CARRIED)] if carry else []
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("hits"), *whole)
+    parts = _windows_of(benchmark, window, slice_windows)
+    part = next(parts, [])
+    for following in parts:
+        found, part = materialize(_scan(found, part, window, found.columns), "scanned"), following
+    return _scan(found, part, window, [c for c in found.columns if keep_text or c != "text"])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -179,6 +161,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document windows of the benchmark cover, and of which items."""
     found = find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -165,17 +165,17 @@ class Sets:
         return np.concatenate([*found, np.zeros(0, _U)]), np.concatenate([*owners, np.zeros(0, np.int64)])
 
 
-_SETS = "doc_id long, n_shingles long, c1 long, c2 long, parity binary"
+_SETS = "doc_id long, row_key long, n_shingles long, c1 long, c2 long, parity binary"
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (keys of the set), parity of every row."""
+    """doc_id, row_key, n_shingles, c1, c2 (keys of the set), parity of every row of (doc_id, row_key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = Sets(batch.column("text"))
             c1, c2 = sets.keys()
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sets.size, pa.int64()),
+                "doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "n_shingles": pa.array(sets.size, pa.int64()),
                 "c1": pa.array(c1.view(np.int64)), "c2": pa.array(c2.view(np.int64)),
                 "parity": pa.array(sets.parity(), pa.binary())})
 
@@ -446,18 +446,27 @@ def _apart_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
         F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def row_key() -> F.Column:
+    """What tells rows apart inside this operator, whether they have an id or not: rows alike in id and text share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id, row_key, component of every row.
 
-    A null or empty text has no shingles and links with nothing: its component is its own id. A row without
-    id has the component of the documents it equals, or none. Rows of one id are one document.
+    A null or empty text has no shingles and links with nothing: its component is its own id. Rows of one id with
+    different texts are different documents. A row without id links like any other; its component_id is the smallest id
+    that is reached, null if none is. `component` names the component by one of its sets, null without shingles.
     """
-    docs = id_text(docs)
-    sets = materialize(shingle_sets(docs), "shingle-sets")
+    whole = id_text(docs).withColumn("row_key", row_key())
+    sets = materialize(shingle_sets(whole.select("doc_id", "row_key", "text")), "shingle-sets")
+    # From here on rows go by their key.
+    docs = whole.select(F.col("row_key").alias("doc_id"), "text")
     filled = sets.where("n_shingles > 0")
     classes = materialize(
         filled.groupBy("c1", "c2", "n_shingles").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("parity").alias("parity")), "classes")
+            F.min("row_key").alias("doc_id"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"),
+            F.first("parity").alias("parity")), "classes")
     total = sets.count()
     hot = {
         r["c1"]: r["doc_id"] for r in
@@ -486,13 +495,14 @@ def link_components(docs: DataFrame) -> DataFrame:
         members = members.join(sifted.where("list is not null").select("list"), "list", "left_semi")
     label = components(known.where("linked").select("a", "b"))
     of_class = classes.join(label.withColumnRenamed("node", "c1"), "c1", "left").select(
-        "c1", "c2", "n_shingles", "doc_id", F.coalesce("component", "c1").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(least, "component").select("c1", "c2", "n_shingles", "component_id")
-    placed = sets.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return placed
+        "c1", "c2", "n_shingles", "least_id", F.coalesce("component", "c1").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = of_class.join(least, "component").select("c1", "c2", "n_shingles", "component_id", "component")
+    return sets.select("doc_id", "row_key", "n_shingles", "c1", "c2").join(named, ["c1", "c2", "n_shingles"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "row_key", "component")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(documents(spark, sf_dir))
+    """The size of each document's set and the smallest id that its links reach."""
+    return link_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -20,12 +20,14 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraud_engine.llm.common import documents, id_text, materialize, parts_for, run_folder
+from fraud_engine.llm.common import documents, materialize, parts_for, run_folder
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 3
+#: Spark allows 100,000 buckets; beyond this number buckets hold more lines, sorted as ever.
+MOST_BUCKETS = 50_000
 _SPACE = " \t\n\x0b\x0c\r"
 _KEY = ["h1", "h2"]
 
@@ -34,7 +36,7 @@ class LineRuns:
     """Sorted runs of (h1, h2, n_docs, last_doc) in levels, in the shared folder."""
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.spark, self.buckets, self.fanout = spark, min(buckets, MOST_BUCKETS), fanout
         self.levels: list[list[DataFrame]] = []
         self.repeats: list[DataFrame] = []
         self.names: list[str] = []
@@ -110,40 +112,50 @@ def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 F.xxhash64(F.lit(1), "key").alias("h2")))
 
 
+_CARRIED = "_carried"
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-                batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, text_key, text, n_lines, n_dropped, kept of every document.
+                batches: int = BATCHES, fanout: int = FANOUT, carry: bool = False) -> DataFrame:
+    """doc_id, text_key, text, n_lines, n_dropped, kept of every document, with `carry` the whole row as `_carried`.
 
     Lines whose key has at least `min_chars` code points and is found in at least `min_docs` documents
-    go, except in the document with the largest id that holds the key.
+    go, except in the document with the largest id that holds the key. Whole texts move once, to meet the numbers of
+    their dropped lines.
     """
-    whole = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_CARRIED)] if carry else []
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row,
+    ).withColumn("text_key", F.xxhash64("text"))
     spark = docs.sparkSession
-    buckets = parts_for(whole, least=2)
-    keyed = whole.withColumn("text_key", F.xxhash64("text"))
+    buckets = parts_for(keyed, least=2)
     batch = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(batches))
     lines = materialize(long_lines(keyed, min_chars), "lines")
     runs = LineRuns(spark, buckets, fanout)
-    for k in range(batches):
-        runs.add(lines.where(batch == k).select("doc_id", "text_key", *_KEY).distinct())
-    repeated = runs.totals().where(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc")
-    dropped = (
-        lines.join(repeated, _KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("doc_id", "_id")
-        .withColumnRenamed("text_key", "_text_key"))
-    dropped = materialize(dropped.withColumn("gone", F.array_distinct("gone")), "dropped-lines")
-    runs.close()
+    try:
+        for k in range(batches):
+            runs.add(lines.where(batch == k).select("doc_id", "text_key", *_KEY).distinct())
+        repeated = runs.totals().where(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc")
+        dropped = (
+            lines.join(repeated, _KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+            .groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("doc_id", "_id")
+            .withColumnRenamed("text_key", "_text_key"))
+        dropped = materialize(dropped.withColumn("gone", F.array_distinct("gone")), "dropped-lines")
+    finally:
+        runs.close()
+    # The list of dropped lines grows with the table, so it is merged at every size.
     found = keyed.join(
-        dropped, (F.col("text_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        dropped.hint("merge"), (F.col("text_key") == F.col("_text_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     return found.select(
         "doc_id", "text_key", "text", F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"), *([_CARRIED] if carry else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, how many of them were dropped, and a digest of what is left."""
     return dedup_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

@@ -27,8 +27,6 @@ from fraud_engine.llm.textbatch import slices, text_bytes
 
 #: Labelled documents of each class that the model is learned from.
 MAX_LABELLED = 10_000
-#: Terms whose frequency in clean documents is counted, the most frequent ones of toxic documents.
-MAX_TERMS = 50_000
 STEMS = range(3, 9)
 LEAST_RATIO = 4.0
 #: Words between a second-person word and a lexicon word.
@@ -122,33 +120,37 @@ def _feature_rows(texts: pa.Array, weights: Weights) -> np.ndarray:
     return out
 
 
+#: The name under which whole rows pass through the scoring.
+CARRIED = "_carried"
+
+
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id, text_key and `features`, an array in the order of FEATURES; a null or empty text has zeros."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
+    """doc_id, text_key and `features`, an array in the order of FEATURES; a null or empty text has zeros.
+
+    A column CARRIED passes through, so that a filter on the score needs no join.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # as many terms as the bounded sample can give
+    kept = ["doc_id", "text_key", *([CARRIED] if CARRIED in docs.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(shared.value)
         for batch in slices(batches):
             rows = _feature_rows(batch.column("text"), weights)
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"),
-                "features": pa.array(list(rows), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(list(rows), pa.list_(pa.float64()))], names=[*kept, "features"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return keyed.mapInArrow(run, "doc_id long, text_key long, features array<double>")
+    keyed = docs.select(*docs.columns, F.xxhash64("text").alias("text_key"))
+    schema = keyed.select(*kept, F.array().cast("array<double>").alias("features")).schema
+    return keyed.mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    """Documents that hold each term; of the `wanted` terms only, where they are given."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n): documents that hold each term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = shared.value
         for batch in slices(batches):
             found: Counter = Counter()
             for text in batch.column("text").fill_null("").to_pylist():
-                terms = terms_of(text)
-                found.update(terms if only is None else terms & only)
+                found.update(terms_of(text))
             yield pa.record_batch({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -157,13 +159,10 @@ def term_counts(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFr
 def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Log ratio of each term whose share of toxic documents is at least LEAST_RATIO times that of clean ones."""
     support = max(3, n_toxic // 200)
-    often = (
-        term_counts(toxic).where(F.col("n") >= support).orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect())
-    seen = {r["term"]: r["n"] for r in often}
-    also = {r["term"]: r["n"] for r in term_counts(clean, frozenset(seen)).collect()} if seen else {}
-    ratios = {
-        t: (n + 0.5) / (n_toxic + 1) / ((also.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in seen.items()}
-    return {t: math.log(r) for t, r in ratios.items() if r >= LEAST_RATIO}
+    often = term_counts(toxic).where(F.col("n") >= support)
+    both = often.join(term_counts(clean).withColumnRenamed("n", "n_clean"), "term", "left")
+    ratio = ((F.col("n") + 0.5) / (n_toxic + 1)) / ((F.coalesce("n_clean", F.lit(0)) + 0.5) / (n_clean + 1))
+    return {r["term"]: math.log(r["ratio"]) for r in both.select("term", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).collect()}
 
 
 class Model:
@@ -172,15 +171,16 @@ class Model:
     def __init__(self, lexicon: dict[str, float], trees=None, calibration=None, constant: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, text_key (hash of the text), score (0 to 1) of every row."""
-        docs = id_text(docs)
+    def score(self, docs: DataFrame, carry: bool = False) -> DataFrame:
+        """doc_id, text_key (hash of the text), score (0 to 1) of every row, and with `carry` the whole row as the struct CARRIED."""
+        row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(CARRIED)] if carry else []
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+        kept = ["doc_id", "text_key", *([CARRIED] if carry else [])]
         if self.trees is None:
-            return docs.select(
-                "doc_id", F.xxhash64("text").alias("text_key"), F.lit(self.constant).cast("double").alias("score"))
+            return docs.withColumn("text_key", F.xxhash64("text")).select(*kept, F.lit(self.constant).cast("double").alias("score"))
         margin = _margins(self.trees, features(docs, self.lexicon))
         scored = self.calibration.transform(margin)
-        return scored.select("doc_id", "text_key", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return scored.select(*kept, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _margins(trees, rows: DataFrame) -> DataFrame:
@@ -241,12 +241,15 @@ def learnable(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, text_key of every row; a null id is not held out."""
+def score_documents(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted, text_key of every row; a null id is not held out.
+
+    With `carry` there is CARRIED as well, the whole row as a struct.
+    """
     model = fit(docs, labels.where(learnable(F.col("doc_id"))))
-    return model.score(docs).select(
+    return model.score(docs, carry).select(
         "doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key")
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_key", *([CARRIED] if carry else []))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
