@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text handled at once; a longer text is handled alone, and whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -54,7 +54,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base^i modulo the prime for i < n."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = -(-n // (1 << 19)) << 19
+        size = max(1, -(-n // (1 << 19))) << 19
         known = np.empty(size, np.uint32)
         known[0], have = 1, 1
         while have < size:
