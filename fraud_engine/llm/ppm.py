@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraud_engine.llm.common import documents, id_text, materialize, parts_for
-from fraud_engine.llm.textbatch import SPACED, Words, mix, slices, text_bytes
+from fraud_engine.llm.textbatch import SPACED, Words, give_back, mix, slices, text_bytes
 
 ORDER = 5
 BLOCK_BYTES = 8 << 20
@@ -260,12 +260,15 @@ def score_documents(docs: DataFrame, learned, block_bytes: int = BLOCK_BYTES) ->
     n, v = map(int, np.sum(sums, axis=0)) if sums else (0, 0)
 
     def look_up(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        # The block's strings once more, in the order in which they were sent.
-        parts: tuple[list, list] = ([], [])
+        # The block's strings once more; of a slice its distinct ones, and which of them stands at each place.
+        held_slices, parts = [], ([], [])
         for batch in _table_rows(left):
             strings = Strings(batch.column("text"))
-            for found, own in zip(parts, (strings.gram, strings.word)):
-                found.append(np.unique(own))
+            own = [np.unique(keys, return_inverse=True) for keys in (strings.gram, strings.word)]
+            for found, (distinct, _) in zip(parts, own):
+                found.append(distinct)
+            held_slices.append((batch.select(["doc_id", "held_out"]), strings.place, strings.word_place, *(
+                (distinct, at.astype(np.int32)) for distinct, at in own)))
         known = [np.unique(np.concatenate(p)) if p else np.zeros(0, _U) for p in parts]
         by_bucket = dict(zip(right["bucket"].to_pylist(), right["values"]))
         values = [np.zeros(len(known[0]), np.float32), np.zeros(len(known[1]), np.int64)]
@@ -274,16 +277,16 @@ def score_documents(docs: DataFrame, learned, block_bytes: int = BLOCK_BYTES) ->
             for b, i, j in zip(filled.tolist(), at[:-1], at[1:]):
                 out[order[i:j]] = np.frombuffer(by_bucket[b].as_py(), out.dtype)
         done = []
-        for batch in _table_rows(left):
-            strings = Strings(batch.column("text"))
-            score = np.add.reduceat(_looked_up(strings.gram, known[0], values[0]).astype(float), strings.place[:-1])
-            count = _looked_up(strings.word, known[1], values[1])
+        for rows, place, word_place, (grams, gram_at), (words, word_at) in held_slices:
+            chance = values[0][np.searchsorted(known[0], grams)].astype(float)[gram_at]
+            count = values[1][np.searchsorted(known[1], words)][word_at]
             done.append(pa.record_batch({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(np.diff(strings.word_place), pa.int64()),
-                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), strings.word_place[:-1])),
-                "log_known": pa.array(np.add.reduceat(np.log10(count + 1.0), strings.word_place[:-1])),
-                "score": pa.array(score)}))
+                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"),
+                "n_tokens": pa.array(np.diff(word_place), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), word_place[:-1])),
+                "log_known": pa.array(np.add.reduceat(np.log10(count + 1.0), word_place[:-1])),
+                "score": pa.array(np.add.reduceat(chance, place[:-1]))}))
+        give_back()
         if not done:  # answers without rows do not occur, but a group of none is not an error
             return left.select(["doc_id", "held_out"]).append_column("n_tokens", pa.array([], pa.int64())).append_column(
                 "n_known", pa.array([], pa.int64())).append_column("log_known", pa.array([], pa.float64())).append_column("score", pa.array([], pa.float64()))
@@ -295,17 +298,10 @@ def score_documents(docs: DataFrame, learned, block_bytes: int = BLOCK_BYTES) ->
         (F.col("log_known") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score")
 
 
-def _looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values of the wanted keys, all of which are known; sorted first, since sorted searches are fast."""
-    order = np.argsort(wanted)
-    out = np.empty(len(wanted), values.dtype)
-    out[order] = values[np.searchsorted(keys, wanted[order])]
-    return out
-
-
 def learnable(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document by a byte model of order 5, beside a plain count of words."""
     return score_documents(documents(spark, sf_dir), learnable)
