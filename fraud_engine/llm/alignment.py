@@ -124,6 +124,8 @@ class Pair:
         names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("pieces of this model cross spaces")
+        if max(len(names), a.get_vocab_size()) > _LOW:
+            raise ValueError("ids of more than 20 bits")
         self.a = Chunks(lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)])
         # A chunk begins with a space, which the model puts there by itself, but not if nothing follows.
         lone = b.encode("a ")[len(b.encode("a")):]
@@ -354,6 +356,7 @@ def group_texts(e: Encoded, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.
 
 _ROWS = "block long, doc_ids array<long>, docs binary, pairs binary, first binary, pair_no binary, times binary"
 _PAIRS = "block long, pair long, n long"
+_LOW = (1 << 20) - 1
 _COLUMNS = ["n_a", "n_b", "n_groups", "n_links"]
 _OUT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
@@ -386,22 +389,19 @@ class _Block:
         self.hashes += [
             hashlib.sha256(content[s:t - 1]).hexdigest() if t > s else "" for s, t in zip(places[:-1].tolist(), places[1:].tolist())]
         link_a, link_b = links(e, last_a, last_b)
-        row = np.searchsorted(e.a_first, link_a, side="right") - 1
         n_rows = batch.num_rows
-        per_row = np.bincount(row, minlength=n_rows)
+        n_a, n_b = np.diff(e.a_first), np.diff(e.b_first)
+        n_groups = np.bincount(np.searchsorted(e.a_first, last_a, side="right") - 1, minlength=n_rows)
+        # Every end of either side ends a link, common ends one.
+        n_links = n_a + n_b - n_groups
         self.ids.append(batch.column("doc_id"))
-        self.numbers.append(np.stack([
-            np.diff(e.a_first), np.diff(e.b_first),
-            np.bincount(np.searchsorted(e.a_first, last_a, side="right") - 1, minlength=n_rows), per_row]))
-        key = e.a_ids[link_a].astype(np.int64) << 32 | e.b_ids[link_b]
-        order = np.lexsort((key, row))
-        key, row = key[order], row[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        begin = np.flatnonzero(new)
-        self.pairs.append(key[begin])
-        self.n.append(np.bincount(row[begin], minlength=n_rows))
-        self.times.append(np.diff(np.append(begin, len(key))))
+        self.numbers.append(np.stack([n_a, n_b, n_groups, n_links]))
+        # Row, A id, B id in one number: a batch has far fewer than 2^23 rows.
+        row = np.repeat(np.arange(n_rows), n_links)
+        found, times = np.unique(row << 40 | e.a_ids[link_a].astype(np.int64) << 20 | e.b_ids[link_b], return_counts=True)
+        self.pairs.append((found >> 20 & _LOW) << 32 | found & _LOW)
+        self.n.append(np.bincount(found >> 40, minlength=n_rows))
+        self.times.append(times)
         self.n_bytes += len(e.data) + n_rows
 
     def row(self, number: int) -> pa.RecordBatch:
