@@ -149,6 +149,43 @@ def test_jaccard_components(make, rows):
     assert got == brute.link_components(rows)
 
 
+def test_rows_without_id_and_of_one_id_link(make):
+    """A near copy without id is linked; rows of one id are judged by their own texts."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " x", " ".join(f"v{i}" for i in range(60))
+    rows = [(7, text), (None, near), (9, near), (None, other), (None, other), (4, "a b"), (4, other + " y"), (5, None)]
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.link_components(make(rows)).collect()]
+    want = [(7, 7), (None, 7), (9, 7), (None, 4), (None, 4), (4, 4), (4, 4), (5, 5)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def twins(n, a="a", b="b"):
+    """Two words that swap two letters in the Thue-Morse pattern."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_one_polynomial_are_told_apart(spark, make, n):
+    """Modulo a power of two these words have one hash, whatever the base."""
+    import zlib
+
+    import numpy as np
+
+    x, y = twins(n)
+    rows = [(1, x), (2, y), (7, f"{x} two three four five six"), (8, f"{y} two three four five six"), (9, f"seen {x}")]
+    found = {r.doc_id: r for r in jaccard_join.link_components(make(rows)).collect()}
+    assert [found[d].component_id for d in (1, 2, 7, 8, 9)] == [1, 2, 7, 8, 9]
+    sketch = {r.doc_id: r.fingerprint for r in fingerprint.compare_with_next(make(rows)).collect()}
+    assert sketch[1] != sketch[2] and sketch[7] != sketch[8]
+    ids = dict(zip((x, y), library_ids([x, y])))
+    pieces = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(make(rows[:2]), packing.Capacity(tokens=1 << 20)).collect()}
+    assert pieces == {1: zlib.crc32(np.array(ids[x], "<u4").tobytes()), 2: zlib.crc32(np.array(ids[y], "<u4").tobytes())}
+    held, learned = (next(d for d in range(100, 200) if (brute.crc(d) % 7 == 2) == out) for out in (True, False))
+    scored = {r.doc_id: r.n_known for r in ppm.score_documents(make([(learned, x), (held, y)]), ppm.learnable).collect()}
+    assert scored == {learned: 2, held: 1}
+
+
 def test_jaccard_signatures_find_every_linked_pair():
     import random
 
