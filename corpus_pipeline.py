@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, near-copy removal, decontamination, packing.
 
-Rows are told apart by id and text, so rows that share an id are judged each by its own text; a null id
-is an id like any other, except that near-copy removal keeps all documents without id that equal no other.
+Rows are told apart by id and text, so rows that share an id are judged each by its own text; rows alike in
+both are exact copies. Whole rows pass through the stages that judge each document by itself; in the other two they
+move once, to meet a narrow table of decisions.
 """
 
 from __future__ import annotations
@@ -17,45 +18,39 @@ from fraud_engine.llm.common import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose (doc_id, hash of the text) is not among the (_id, _key) of `gone`."""
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(gone.select("_id", "_key").distinct(), same, "left_anti")
-
-
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model does not reject."""
-    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return _without(docs, materialize(rejected, "rejected"))
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
+    return scored.where("predicted = 0").select(f"{toxicity.CARRIED}.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that many documents share."""
-    changed = line_dedup.dedup_lines(docs).where("n_dropped > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
-    changed = materialize(changed, "changed-lines").dropDuplicates(["_id", "_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    text = F.coalesce("kept", "text")
+    cut = line_dedup.dedup_lines(docs, carry=True)
+    # A null text stays null: it has no line to lose.
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("_carried.text"))
     new = {"text": text.alias("text"), "n_chars": F.char_length(text).cast("long").alias("n_chars")}
-    return docs.join(changed, same, "left").select(*[new.get(c, F.col(c)) for c in docs.columns])
+    return cut.select(*[new.get(c, F.col(f"_carried.`{c}`")) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked as near copies, the one with the smallest id; of rows with one id, one."""
-    linked = jaccard_join.link_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    kept = materialize(linked.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    named = staying.where("doc_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return named.unionByName(staying.where("doc_id is null"))
+    """Of documents that are linked as near copies, the one with the smallest id; of exact copies of a row, one."""
+    linked = jaccard_join.link_components(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = linked.where("component is not null").groupBy("component").agg(F.min_by("row_key", order).alias("_key"))
+    alone = linked.where("component is null").select(F.col("row_key").alias("_key"))
+    kept = materialize(first.select("_key").union(alone).distinct(), "kept-rows")
+    keyed = docs.select(jaccard_join.row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    # The kept rows grow with the table, so they are merged at every size.
+    staying = keyed.join(kept.hint("merge"), "_key").withColumn("_number", number).where("_number = 1")
+    return staying.select("_row.*")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that share no window of words with the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
-    return _without(docs, materialize(hit, "contaminated"))
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return found.where("n_hit = 0").select("_carried.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
