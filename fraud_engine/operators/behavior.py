@@ -56,11 +56,15 @@ class CardMetrics:
 
 # What the moments are kept of.
 _MEASURED = ("amt", "txn_time", "distance")
+# The key they are stored by: the card, 0 and a mark for the null one, so that plain equality and buckets serve it.
+_KEY = ("card", "no_card")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
     """One row per card: of each measure the number of values, their mean and the sum of squared distances from it."""
-    return rows.groupBy(S.CARD).agg(*[
+    card = F.col(S.CARD).cast("long")
+    keyed = rows.select(F.coalesce(card, F.lit(0)).alias("card"), card.isNull().alias("no_card"), *_MEASURED)
+    return keyed.groupBy(*_KEY).agg(*[
         F.struct(F.count(c).alias("n"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"),
                  F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)).alias("m2")).alias(c) for c in _MEASURED])
 
@@ -93,30 +97,32 @@ class CardMoments:
     def _stored(self, version: int) -> DataFrame:
         """The table of a version, known to Spark as bucketed and sorted by card."""
         name = f"card_moments_{uuid4().hex}"
-        schema = ", ".join([f"{S.CARD} BIGINT", *(f"{c} STRUCT<n: BIGINT, mean: DOUBLE, m2: DOUBLE>" for c in _MEASURED)])
+        keys = ", ".join(_KEY)
+        schema = ", ".join(["card BIGINT, no_card BOOLEAN", *(f"{c} STRUCT<n: BIGINT, mean: DOUBLE, m2: DOUBLE>" for c in _MEASURED)])
         self.spark.sql(
-            f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({S.CARD}) SORTED BY ({S.CARD}) INTO {self.buckets} BUCKETS "
+            f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS "
             f"LOCATION '{self.path}/v{version}'")
         self._names.append(name)
         return self.spark.table(name)
 
     def table(self) -> DataFrame:
         """cc_num and for each measure n, mean, m2 of all logs so far."""
-        return self.spark.read.parquet(f"{self.path}/v{self._version()}")
+        stored = self.spark.read.parquet(f"{self.path}/v{self._version()}")
+        return stored.select(F.when(~F.col("no_card"), F.col("card")).alias(S.CARD), *_MEASURED)
 
     def fold(self, rows: DataFrame) -> "CardMoments":
         """Take in the rows of a new log: cc_num, amt, txn_time, distance."""
-        version, new = self._version(), _moments(rows.withColumn(S.CARD, F.col(S.CARD).cast("long")))
+        version, new = self._version(), _moments(rows)
         if version:
-            old, fresh = self._stored(version).alias("old"), new.repartition(self.buckets, S.CARD).alias("new")
-            card = F.coalesce(F.col(f"old.{S.CARD}"), F.col(f"new.{S.CARD}")).alias(S.CARD)
-            new = old.join(fresh, F.col(f"old.{S.CARD}").eqNullSafe(F.col(f"new.{S.CARD}")), "full").select(
-                card, *[_joined(F.col(f"old.{c}"), F.col(f"new.{c}")).alias(c) for c in _MEASURED])
+            old = self._stored(version).select(*_KEY, *[F.col(c).alias(f"old_{c}") for c in _MEASURED])
+            new = old.join(new.repartition(self.buckets, *_KEY), list(_KEY), "full").select(
+                *_KEY, *[_joined(F.col(f"old_{c}"), F.col(c)).alias(c) for c in _MEASURED])
         delete_folder(self.spark, f"{self.path}/v{version + 1}")  # of a fold that broke off
         name = f"card_moments_{uuid4().hex}"
         self._names.append(name)
         try:
-            (new.repartition(self.buckets, S.CARD).write.bucketBy(self.buckets, S.CARD).sortBy(S.CARD)
+            # The joined rows are dealt by the key already, so this moves a first log only.
+            (new.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
              .option("path", f"{self.path}/v{version + 1}").saveAsTable(name))
         finally:
             for name in self._names:
