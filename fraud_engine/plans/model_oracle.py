@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from .models import BOOST, CUTS, SAMPLE, SEED, TREES
+from .models import BOOST, CUTS, RUN_CUTS, SAMPLE, SEED, TREES
 from .oracle import _R
 
 _NAMES = list(CUTS)
 _UNIT = "16777216e0"
-_LONG = " UNION ALL ".join(f"SELECT trans_num, {k} AS f, CAST({c} AS DOUBLE) AS x FROM rows_" for k, c in enumerate(_NAMES))
-_CUT_ROWS = ", ".join(f"({k}, {n}, {cut!r})" for k, c in enumerate(_NAMES) for n, cut in enumerate(CUTS[c]))
-
-
 def _gain(g: str, h: str) -> str:
     return f"({g}) * ({g}) / (({h}) + {BOOST.l2!r})"
 
 
-def _boosting() -> str:
+def _boosting(cuts: dict[str, list[float]] = CUTS) -> str:
     """CTEs: nodes (t, node, f, cut, missing_left, gain, g, h) of every tree, and margins (trans_num, m)."""
-    ctes = [f"long AS ({_LONG})", f"cuts(f, c, cut) AS (VALUES {_CUT_ROWS})",
+    long = " UNION ALL ".join(f"SELECT trans_num, {k} AS f, CAST({c} AS DOUBLE) AS x FROM rows_" for k, c in enumerate(cuts))
+    cut_rows = ", ".join(f"({k}, {n}, {cut!r})" for k, own in enumerate(cuts.values()) for n, cut in enumerate(own))
+    ctes = [f"long AS ({long})", f"cuts(f, c, cut) AS (VALUES {cut_rows})",
             "ratio AS (SELECT count_if(is_fraud = 0) / count_if(is_fraud = 1) AS w FROM rows_)",
             "m0 AS (SELECT trans_num, is_fraud, 0e0 AS m FROM rows_)"]
     for t in range(BOOST.rounds):
@@ -117,6 +115,12 @@ def _walk() -> str:
 _NUMBERS = ", ".join(f"({k}, '{c}')" for k, c in enumerate(_NAMES))
 
 MODEL_ORACLE = {
+    "run_flagged": _boosting(RUN_CUTS) + f""", flagged AS (
+          SELECT trans_num, is_fraud, 1 / (1 + exp(-m)) AS p FROM m{BOOST.rounds} WHERE 1 / (1 + exp(-m)) > 0.5e0)
+        SELECT trans_num, round(p, 6) AS fraud_probability, 1 AS is_fraud_predicted, f.is_fraud AS is_fraud_actual,
+            amt AS transaction_amount, txn_time AS transaction_hour, count(*) OVER () AS reported_flagged,
+            (SELECT count(*) FROM rows_) AS reported_total
+        FROM flagged f JOIN rows_ USING (trans_num)""",
     "boosted_nodes": _boosting() + f"""
         SELECT CAST(t AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, {_NAMED} AS feature, CAST(cut AS DOUBLE) AS cut,
             CASE WHEN f IS NOT NULL THEN ml END AS missing_left,

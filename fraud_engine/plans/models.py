@@ -6,6 +6,8 @@ write every level of every tree out.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,13 +15,17 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import anomaly, boosting, train
-from ..session import materialize
+from ..session import materialize, run_folder
+from ..sources import read_flagged, read_report, write_table
 from . import queries as q
+from . import run, txn
 from .queries import query, rounded
 
 # Values after which the boosted trees may split.
 CUTS = {"amt": [20.0, 60.0, 120.0, 160.0, 250.0], "txn_time": [5.0, 11.0, 17.0], "birth_year": [1939.0, 1959.0, 1979.0]}
 BOOST = boosting.Settings(rounds=2, depth=2, row_share=1.0, column_share=1.0)
+# Those of the columns of the feature table, for a full run.
+RUN_CUTS = {c: CUTS[c] for c in ("amt", "txn_time")}
 TREES, SAMPLE, SEED = 4, 32, 42
 
 
@@ -85,3 +91,20 @@ def reconstruction_errors(spark, sf_dir):
     found = anomaly.ReconstructionModel.fit(vectors, k=1).score(vectors)
     v = vector_to_array("features")
     return rounded(found.select(S.ROW_KEY, S.LABEL, v[0].alias("txn_time_scaled"), "error"))
+
+
+@query
+def run_flagged(spark, sf_dir):
+    """A CSV log through the full run with a stored two-round model: the flagged rows, with the numbers of the report."""
+    folder = f"{run_folder(spark)}/small-run-{uuid4().hex}"
+    stored = materialize(txn.features(spark, sf_dir, keep=(S.ROW_KEY,)), "features")
+    found = boosting.fit(stored, None, list(RUN_CUTS), settings=BOOST, cuts=[np.array(c) for c in RUN_CUTS.values()])
+    txn.feature_model(spark, sf_dir).save(f"{folder}/model/features")
+    q.score.FraudModel(found.model, 0.5).save(f"{folder}/model/classifier")
+    log = write_table(txn.raw_log(txn.transactions(spark, sf_dir)), f"{folder}/log.csv", "csv")
+    paths = run.run(spark, log, f"{folder}/model", f"{folder}/out", explain_rows=5)
+    told = read_report(spark, paths.report).select(
+        F.col("model_performance.fraud_detected").alias("reported_flagged"), F.col("model_performance.total_transactions").alias("reported_total"))
+    flagged = read_flagged(spark, paths.flagged).select(
+        F.col(S.ROW_KEY).cast("long").alias(S.ROW_KEY), "fraud_probability", "is_fraud_predicted", "is_fraud_actual", "transaction_amount", "transaction_hour")
+    return rounded(flagged.crossJoin(F.broadcast(told)))

@@ -434,6 +434,11 @@ ORACLE |= {
         FROM context ORDER BY fraud_probability DESC, trans_num LIMIT 50""",
     "explanation_head": _T + """SELECT least(50, count(*)) AS total_transactions, least(50, count(*)) AS n_rows
         FROM txn WHERE score > 0.5e0""",
+    "score_quantiles_merged": _R + """, ranked AS (
+          SELECT is_fraud, txn_time, score, row_number() OVER (PARTITION BY is_fraud, txn_time ORDER BY score) AS place,
+            count(*) OVER (PARTITION BY is_fraud, txn_time) AS n FROM rows_ WHERE score IS NOT NULL)
+        SELECT is_fraud, txn_time, n, p AS probability, round(score, 6) AS value
+        FROM ranked, (VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) AS t(p) WHERE place = greatest(ceil(p * n), 1)""",
     "raw_types": _T + """SELECT "column", n, CASE WHEN kind = 'int' THEN n ELSE 0 END AS n_bigint,
         CASE WHEN kind IN ('int', 'double') THEN n ELSE 0 END AS n_double, CASE WHEN kind = 'timestamp' THEN n ELSE 0 END AS n_timestamp, kind AS type
         FROM (SELECT unnest(['trans_num', 'cc_num', 'category', 'amt', 'job', 'is_fraud', 'trans_date_trans_time', 'city_pop']) AS "column",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import behavior, explain, lookup, metrics, report, train
+from ..operators import behavior, explain, lookup, metrics, ranking, report, train
 from ..operators.features import FeatureModel
 from ..session import materialize, run_folder
 from ..sources import (
@@ -29,17 +29,6 @@ def _folder(spark: SparkSession) -> str:
     return f"{run_folder(spark)}/stored-{uuid4().hex}"
 
 
-def _raw_log(t: DataFrame) -> DataFrame:
-    """Transactions with all columns of a raw log, as text files hold them."""
-    made = {
-        "index": F.col("trans_num"), "trans_date_trans_time": F.date_format("trans_date_trans_time", "yyyy-MM-dd HH:mm:ss"),
-        "merchant": F.concat(F.lit("merchant, no "), F.col("cc_num") % 7), "first": F.lit("A"), "last": F.lit("B"),
-        "gender": F.lit("F"), "street": F.lit("1 Street"), "city": F.lit("City"), "zip": F.lit("01234"),
-        "city_pop": F.lit(1000), "unix_time": F.unix_timestamp(F.col("trans_date_trans_time").cast("timestamp")),
-    }
-    return t.withColumns(made).select(*S.RAW.names)
-
-
 def _published(t: DataFrame) -> DataFrame:
     """The same rows with all published categories and states."""
     pick = lambda values, n: F.element_at(F.lit(values), (n % len(values) + 1).cast("int"))
@@ -51,7 +40,7 @@ def _published(t: DataFrame) -> DataFrame:
 def csv_features(spark, sf_dir):
     """Raw CSV log to the published feature table, with a stored feature model."""
     folder = _folder(spark)
-    log = write_table(_raw_log(_published(txn.transactions(spark, sf_dir))), f"{folder}/log.csv", "csv")
+    log = write_table(txn.raw_log(_published(txn.transactions(spark, sf_dir))), f"{folder}/log.csv", "csv")
     FeatureModel(S.CATEGORIES, S.STATES, S.JOB_CATEGORIES, txn.job_lookup(spark)).save(f"{folder}/model")
     path = run.process_transactions(spark, log, FeatureModel.load(spark, f"{folder}/model"), folder)
     return read_features(spark, path).withColumn(S.ROW_KEY, F.col(S.ROW_KEY).cast("long"))
@@ -64,7 +53,7 @@ def dataset_read(spark, sf_dir):
     catalog, cache = DatasetCatalog(folder), LoadCache(spark)
     if cache.load(read_transactions, catalog.path("TransactionLogs-2")) is not None:
         raise AssertionError("a table was loaded that does not exist")
-    path = write_table(_raw_log(txn.transactions(spark, sf_dir)), catalog.path("TransactionLogs-1"), "csv")
+    path = write_table(txn.raw_log(txn.transactions(spark, sf_dir)), catalog.path("TransactionLogs-1"), "csv")
     cached = cache.load(read_transactions, path).count()
     cache.forget(path)
     read = catalog.read(spark, "TransactionLogs-1")
@@ -137,10 +126,20 @@ def card_metrics_folded(spark, sf_dir):
     return moments.metrics()
 
 
+@query
+def score_quantiles_merged(spark, sf_dir):
+    """Quartiles of the score by label and hour from the sketches of four logs; groups this small have exact ones."""
+    rows = q._rows(spark, sf_dir, "score").select(S.ROW_KEY, S.LABEL, "txn_time", "score")
+    sketches = ranking.QuantileSketches(spark, _folder(spark), [S.LABEL, "txn_time"], k=32768)
+    for k in range(4):
+        sketches.fold(f"log {k}", rows.where(F.col(S.ROW_KEY) % 4 == k), "score")
+    return rounded(sketches.quantiles([0.0, 0.25, 0.5, 0.75, 1.0]))
+
+
 @query
 def raw_types(spark, sf_dir):
     """The types that the values of a raw CSV log have, with the counts they follow from."""
-    log = write_table(_raw_log(txn.transactions(spark, sf_dir)), f"{_folder(spark)}/log.csv", "csv")
+    log = write_table(txn.raw_log(txn.transactions(spark, sf_dir)), f"{_folder(spark)}/log.csv", "csv")
     return found_types(spark, log).select("column", "n", "n_bigint", "n_double", "n_timestamp", "type").where(
         F.col("column").isin("trans_num", "cc_num", "category", "amt", "job", "is_fraud", "trans_date_trans_time", "city_pop"))
 
@@ -149,7 +148,7 @@ def raw_types(spark, sf_dir):
 def raw_rescued(spark, sf_dir):
     """A log with damaged amounts and hours: the values that do not fit are kept beside the row."""
     broken = F.col(S.ROW_KEY) % 7 == 0
-    log = _raw_log(txn.transactions(spark, sf_dir)).withColumns({
+    log = txn.raw_log(txn.transactions(spark, sf_dir)).withColumns({
         "amt": F.when(broken, F.concat(F.lit("EUR "), F.col("cc_num"))).otherwise(F.col("amt").cast("string")),
         "unix_time": F.when(broken, "soon").otherwise(F.col("unix_time").cast("string"))})
     path = write_table(log, f"{_folder(spark)}/log.csv", "csv")
@@ -209,7 +208,7 @@ def real_models_compared(spark, sf_dir):
 def full_run(spark, sf_dir):
     """Stored models, a CSV log, the full run, and for each row whether its results agree."""
     folder = _folder(spark)
-    log = write_table(_raw_log(txn.transactions(spark, sf_dir)), f"{folder}/log.csv", "csv")
+    log = write_table(txn.raw_log(txn.transactions(spark, sf_dir)), f"{folder}/log.csv", "csv")
     txn.feature_model(spark, sf_dir).save(f"{folder}/model/features")
     q._trained(spark, sf_dir).model.save(f"{folder}/model/classifier")
     paths = run.run(spark, log, f"{folder}/model", f"{folder}/out", explain_rows=20)

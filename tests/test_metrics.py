@@ -232,3 +232,35 @@ def test_model_comparison(spark):
     best = {r["metric"]: r["model"] for r in metrics.best_models(table).collect()}
     assert best == {"precision": "a", "recall": "b", "f1": "a"}
     assert metrics.union_models([table, table]).count() == 4
+
+
+def test_sketches_of_parts_merge(spark, tmp_path):
+    from fraud_engine.operators.ranking import QuantileSketches
+
+    rng = np.random.default_rng(7)
+    parts = [spark.createDataFrame([(int(g), float(v)) for g, v in zip(rng.integers(0, 2, n), rng.lognormal(0, 2, n))], "g int, v double")
+             for n in (20_000, 50, 30_000)]
+    sketches = QuantileSketches(spark, str(tmp_path / "s"), ["g"], k=1024)
+    for k, part in enumerate(parts):
+        sketches.fold(f"log/{k}", part, "v")
+    sketches.fold("log/1", parts[1], "v")  # again: it replaces the first
+    values = np.sort(np.concatenate([[r["v"] for r in p.collect()] for p in parts]))
+    for r in sketches.quantiles([0.01, 0.5, 0.99, 0.999], by=[]).collect():
+        rank = np.searchsorted(values, r["value"], side="right") / len(values)
+        assert r["n"] == len(values) and abs(rank - r["probability"]) < 2.3 / 1024**0.9
+    assert sketches.quantiles([0.5]).count() == 2
+    rank = sketches.rank_of(float(values[25_025]), by=[]).first()["rank"]
+    assert abs(rank - 0.5) < 2.3 / 1024**0.9
+
+
+def test_sketches_of_few_values_are_exact(spark, tmp_path):
+    from fraud_engine.operators.ranking import QuantileSketches
+
+    df = spark.createDataFrame([(i % 3, None if i % 10 == 0 else float(i)) for i in range(600)] + [(None, 5.0), (0, float("nan"))], "g int, v double")
+    sketches = QuantileSketches(spark, str(tmp_path / "s"), ["g"])
+    sketches.fold("a", df.where("v < 200 OR v IS NULL"), "v").fold("b", df.where("v >= 200"), "v")
+    got = {(r["g"], r["probability"]): r["value"] for r in sketches.quantiles([0.0, 0.25, 1.0]).collect()}
+    for g in (0, 1, 2):
+        v = sorted(i for i in range(600) if i % 3 == g and i % 10)
+        assert [got[g, p] for p in (0.0, 0.25, 1.0)] == [v[0], v[int(np.ceil(len(v) / 4)) - 1], v[-1]]
+    assert got[None, 0.25] == 5.0
