@@ -26,6 +26,29 @@ def test_languages_of_odd_texts(spark, make, rows):
         assert got[d].lang_pred == ("en" if letters else "und")
 
 
+def test_languages_of_repeats_and_of_nothing(spark, make, doubled):
+    docs = make(doubled)
+    got = language.predict(docs, language.fit(docs)).collect()
+    assert len(got) == len(doubled) and all(0 <= r.score <= 1 for r in got)
+    nothing = make([])
+    assert language.predict(nothing, language.fit(nothing)).collect() == []
+
+
+def test_toxicity_of_an_empty_table(spark, make):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(make([]), labels).collect() == []
+
+
+def test_terms_of_toxic_documents_have_no_cap(spark, make):
+    """Words of toxic documents alone are in the lexicon, however many there are."""
+    toxic = make([(k, " ".join(f"bad{'abcdefghij'[k % 10]}{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(400)) + " shared") for k in range(60)])
+    clean = make([(k, "shared words of all") for k in range(60)])
+    lexicon = toxicity.learn_lexicon(toxic, clean, 60, 60)
+    assert "shared" not in lexicon and "words" not in lexicon
+    whole = [t for t in lexicon if not t.endswith("*")]
+    assert len(whole) == 4000 and min(lexicon.values()) >= __import__("math").log(toxicity.LEAST_RATIO)
+
+
 def test_languages_without_labels(spark, make):
     docs = make([(1, "abc"), (2, None)]).withColumn("lang", __import__("pyspark.sql.functions").sql.functions.lit(None).cast("string"))
     got = language.predict(docs, language.fit(docs)).collect()

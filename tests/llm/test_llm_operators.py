@@ -93,6 +93,23 @@ def test_token_files(spark, make, rows, tmp_path, planes):
     assert got == expected
 
 
+def test_token_files_of_repeats(make, doubled, tmp_path):
+    """Null ids come first, rows of one id in order of their texts; every row has its place."""
+    import zlib
+
+    import numpy as np
+
+    folder = str(tmp_path / "doubled")
+    files = tokens.write_ids(make(doubled), folder, block_ids=64, file_bytes=20_000)
+    got = sorted(tokens.read_ids(files, folder).collect(), key=lambda r: r.start)
+    ordered = sorted(((d, t or "") for d, t in doubled), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.doc_id for r in got] == [d for d, _ in ordered]
+    start = 0
+    for r, ids in zip(got, library_ids([t for _, t in ordered])):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_pieces_of_the_vocabulary():
     import random
 
@@ -105,6 +122,20 @@ def test_pieces_of_the_vocabulary():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library_ids(texts)
 
 
+def test_pieces_have_their_starts_and_digests(make, doubled):
+    import zlib
+
+    import numpy as np
+
+    got = sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(make(doubled), packing.Capacity(tokens=64)).collect()), key=repr)
+    want = []
+    for (d, _), ids in zip(doubled, library_ids([t for _, t in doubled])):
+        first = len(ids) % 64 or 64
+        edges = [0, *range(first, len(ids) + 1, 64)]
+        want += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("kind", ["rows", "doubled"])
 def test_packing(request, make, kind):
     import math
@@ -261,6 +292,37 @@ def test_partial_matching(make, rows):
         assert r.held_out == (brute.crc(r.doc_id) % 7 == 2)
 
 
+def test_partial_matching_of_repeats(make, rows):
+    """Repeated rows count as often as they stand, and score alike."""
+    few = [(d, t[:200] if t else t) for d, t in rows[:30]]
+    again = few + few[5:10] + [(None, "a text without id"), (None, "a text without id")]
+    got = ppm.score_documents(make(again), ppm.learnable, block_bytes=2000).collect()
+    assert len(got) == len(again)
+    by_row = {}
+    for r in got:
+        by_row.setdefault((r.doc_id, r.n_tokens), set()).add((r.n_known, round(r.score, 4), round(r.base_score, 6)))
+    assert all(len(v) == 1 for k, v in by_row.items() if k[0] is not None)
+    words = sum(len(brute.spaced_words(t)) + 1 for d, t in again if d is None or brute.crc(d) % 7 != 2)
+    assert {r.train_tokens for r in got} == {words}
+
+
+def test_fingerprints_estimate_the_true_containment(make):
+    """`near_next` is near the share of five-word shingles that the texts have in common."""
+    import random
+
+    rnd = random.Random(4)
+    rows, shares = [], []
+    for k in range(0, 60, 2):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+        cut = rnd.randrange(0, 2900)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[:3000 - cut] + [f"v{rnd.randrange(10**6)}" for _ in range(cut)]))]
+        a, b = (brute.shingle_set(t) for _, t in rows[-2:])
+        shares.append(len(a & b) / min(len(a), len(b)))
+    got = {r.doc_id: r.near_next for r in fingerprint.compare_with_next(make(rows)).collect()}
+    errors = [abs(got[2 * i] - share) for i, share in enumerate(shares)]
+    assert max(errors) < 0.15 and sum(errors) / len(errors) < 0.04
+
+
 def test_empty_tables(spark, make):
     docs, items = make([]), spark.createDataFrame([], "item_id long, text string")
     some = make([(1, "a b c")])
