@@ -11,8 +11,8 @@ the signatures of a second cut, and if that fails too, each shingle as a signatu
 enough.
 
 Signatures go to buckets as blobs, so the shuffle has few rows; what comes out are the distinct lists of
-classes that share a signature. In a list the smallest class is paired with each other one, for each class
-first with the smallest of all its lists and then with those it is not yet connected with; links are counted
+classes that share a signature. In a list the class that stands in most lists is paired with each other one, for
+each class first with one of these centres and then with those it is not yet connected with; links are counted
 exactly from whole sets, unless a lower bound of the distance (parity bits of the sets) rules them
 out. Members of a list that are then still in different components are sifted by that bound, first
 against a few of them that cover the others, then all that are left. So a group of near copies costs one pair
@@ -183,7 +183,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | None]) -> DataFrame:
-    """`members` (sorted 64-bit class keys): the lists of classes that share a signature, each list once.
+    """`members` (64-bit class keys): the lists of classes that share a signature, the centre first, the others sorted.
 
     Near copies share most of their signatures, so there are far fewer lists than signatures.
 
@@ -246,7 +246,15 @@ def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | Non
         first[1:] = sig[1:] != sig[:-1]
         begin = np.flatnonzero(first)
         end = np.append(begin[1:], len(sig))
-        lists = {name[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist()) if j - i > 1}
+        # The class that stands in most of the bucket's lists comes first: of a family of near copies the one that is
+        # nearest to all, so that pairs with it connect most of them.
+        known, at, often = np.unique(name, return_inverse=True, return_counts=True)
+        often = often[at]
+        lists = set()
+        for i, j in zip(begin.tolist(), end.tolist()):
+            if j - i > 1:
+                k = i + int(np.argmax(often[i:j]))
+                lists.add(name[k:k + 1].tobytes() + name[i:k].tobytes() + name[k + 1:j].tobytes())
         lists = sorted(lists)
         for k in range(0, len(lists), 10_000):
             yield pa.record_batch({"members": pa.array(lists[k:k + 10_000], pa.binary())})
@@ -256,14 +264,14 @@ def _shared_signatures(docs: DataFrame, n_buckets: int, hot: dict[int, int | Non
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): the smallest class of each list with every other."""
+    """(centre, member): the first class of each list with every other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column("members")]
             pairs = np.unique(np.concatenate([np.stack([np.full(len(m) - 1, m[0]), m[1:]], axis=1) for m in own] or [np.zeros((0, 2), np.int64)]), axis=0)
-            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            yield pa.record_batch({"centre": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1])})
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    return lists.mapInArrow(run, "centre long, member long").distinct()
 
 
 def _members(lists: DataFrame) -> DataFrame:
@@ -473,10 +481,11 @@ def link_components(docs: DataFrame) -> DataFrame:
         classes.where((F.col("rows") > 1) & (F.col("rows") > total * HOT_SHARE)).select("c1", "doc_id").collect()}
     lists = materialize(_shared_signatures(docs, parts_for(docs, BUCKET_BYTES, least=2), hot), "shared-signatures")
     stars = materialize(_star_pairs(lists), "star-pairs")
-    # Each class with the smallest of all it shares a list with: one pair a class, which joins most near copies.
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # Each class with one of the centres of its lists: one pair a class, which joins most near copies.
+    pair = [F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b")]
+    first = stars.groupBy("member").agg(F.min("centre").alias("centre")).select(*pair).distinct()
     known = materialize(_linked(docs, classes, first), "compared")
-    left = materialize(_apart_pairs(stars, known), "star-pairs-left")
+    left = materialize(_apart_pairs(stars.select(*pair).distinct(), known), "star-pairs-left")
     known = known.unionByName(materialize(_linked(docs, classes, left), "compared-stars"))
     members = materialize(_members(lists), "members")
     for cover in (True, False):
