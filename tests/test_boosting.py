@@ -186,3 +186,43 @@ def test_no_blocks_are_left_behind(spark, table):
     bo.fit(table, None, INPUTS, settings=bo.Settings(rounds=3, depth=2, keep_every=1))
     left = [b for p in folders_in(spark, run_folder(spark)) if "/boosting-" in p for b in folders_in(spark, p, "_SUCCESS")]
     assert left == []
+
+
+@pytest.mark.parametrize("nodes", [1, 3])
+def test_sums_of_narrow_and_wide_features(nodes):
+    """Flags that are mostly 0, mostly 1, often missing or of one value, beside wide features; some columns are not drawn."""
+    rng = np.random.default_rng(5)
+    n, widths = 700, [9, 3, 3, 4, 2, 3, 200]
+    share = {1: [0, 0.95, 0.05], 2: [0, 0.02, 0.98], 3: [0.5, 0.2, 0.2, 0.1], 4: [0, 1], 5: [1 / 3, 1 / 3, 1 / 3]}
+    bins = np.stack([rng.choice(w, n, p=share.get(f)) for f, w in enumerate(widths)]).astype(np.uint8)
+    grid = bo._Grid(np.concatenate([[0], np.cumsum(widths)]), 1.0, bo.Settings())
+    rows, columns = np.flatnonzero(rng.random(n) < 0.6), np.array([0, 1, 2, 3, 5, 6])
+    at, g, h = rng.integers(0, nodes, len(rows)), rng.integers(-(2**40), 2**40, len(rows)), rng.integers(0, 2**40, len(rows))
+    want = np.zeros((3, nodes, sum(widths)), np.int64)
+    for f in columns:
+        for r, k, a, b in zip(rows, at, g, h):
+            want[:, k, grid.first[f] + bins[f, r]] += [a, b, 1]
+    assert (grid.sums(bins, rows, at, nodes, (g.astype(float), h.astype(float)), columns) == want).all()
+
+
+@pytest.mark.parametrize("gather_rows, jobs, stages", [(0, 6, 6), (10**6, 1, 2)])
+def test_a_tree_takes_few_jobs(spark, table, gather_rows, jobs, stages):
+    """One stage for each level that is counted, two for the rows that are sent; every stage has a fixed cost."""
+    s = bo.Settings(rounds=1, depth=6, gather_rows=gather_rows)
+    sc, real, seen = spark.sparkContext, bo._Grower.grow, []
+
+    def grow(self, *a):
+        group = f"tree-{gather_rows}-{len(seen)}"
+        sc.setJobGroup(group, group)
+        self.held.count()
+        before = len(sc.statusTracker().getJobIdsForGroup(group))
+        out = real(self, *a)
+        own = sc.statusTracker().getJobIdsForGroup(group)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        seen.append((len(own) - before, [len(sc.statusTracker().getJobInfo(j).stageIds) for j in own]))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bo._Grower, "grow", grow)
+        bo.fit(table.coalesce(4), None, INPUTS, settings=s)
+    assert seen[0][0] <= jobs and sum(seen[0][1]) <= stages + 1  # one of the count before
