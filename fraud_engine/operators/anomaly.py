@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ NODE_SCHEMA = (
 )
 # Rows that walk all trees together, so that the working arrays stay in the processor's cache.
 BLOCK_ROWS = 512
+# Rows whose waves a task holds at once.
+_WAVE_ROWS = 4096
 
 
 def _unit_hash(*parts: Column) -> Column:
@@ -264,7 +266,8 @@ class CurvedReconstruction:
 
     The waves cos(w z + b), with normal w and even b, have the Gaussian kernel as their mean product (Rahimi and Recht
     2007); what the leading components of the centred waves leave of a row is its novelty by kernel PCA (Hoffmann 2007).
-    The matrices depend on width, waves, k and seed alone, whatever the rows.
+    The matrices depend on width, waves, k and seed alone, whatever the rows. The waves are never stored: each task adds
+    up the products of its rows' waves, and Spark adds the tasks' sums.
     """
 
     weights: np.ndarray
@@ -288,15 +291,35 @@ class CurvedReconstruction:
         weights = draws.normal(size=(size, waves)) / (width or math.sqrt(size))
         shift = draws.uniform(0, 2 * math.pi, waves)
 
-        @F.arrow_udf("array<double>")
-        def wave(column: pa.Array) -> pa.Array:
-            made = np.cos(_arrow_matrix(column) @ weights + shift) * math.sqrt(2 / waves)
-            return pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * waves, made.ravel())
-
-        mapped = materialize(normal.select(array_to_vector(wave(vector_to_array(features))).alias("_wave")), "waves")
-        code = PCA(k=min(k, waves), inputCol="_wave", outputCol="_code").fit(mapped)
-        mean = mapped.select(Summarizer.mean(F.col("_wave")).alias("m")).first()["m"]
-        return cls(weights, shift, mean.toArray(), code.pc.toArray())
+        row = np.array(first["v"])
+
+        def waves_of(rows: np.ndarray) -> np.ndarray:
+            return np.cos(rows @ weights + shift) * math.sqrt(2 / waves)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Row, sum and products of each wave of the rows of a task, less those of the first normal row, and their number."""
+            n, total, products, base = 0, np.zeros(waves), np.zeros((waves, waves)), waves_of(row[None])[0]
+            for batch in batches:
+                rows = _arrow_matrix(batch.column(0))
+                for at in range(0, batch.num_rows, _WAVE_ROWS):
+                    made = waves_of(rows[at:at + _WAVE_ROWS]) - base
+                    n, total, products = n + len(made), total + made.sum(axis=0), products + made.T @ made
+            if n:
+                values = pa.array(np.concatenate([products, total[:, None]], axis=1).ravel())
+                sums = pa.ListArray.from_arrays(np.arange(waves + 1, dtype=np.int32) * (waves + 1), values)
+                yield pa.record_batch({"wave": pa.array(np.arange(waves, dtype=np.int32)), "n": pa.array(np.full(waves, n)), "sums": sums})
+
+        held = normal.select(vector_to_array(features).alias("v")).mapInArrow(add, "wave int, n long, sums array<double>")
+        sums = [F.sum(F.col("sums")[i]) for i in range(waves + 1)]
+        found = held.groupBy("wave").agg(F.sum("n").alias("n"), F.array(*sums).alias("sums")).toArrow().sort_by("wave")
+        n = found.column("n")[0].as_py()
+        if n < 2:
+            raise ValueError("a reconstruction needs two normal rows or more")
+        added = _arrow_matrix(pa.concat_arrays(found.column("sums").chunks))
+        mean = added[:, -1] / n
+        spread = (added[:, :-1] - n * np.outer(mean, mean)) / (n - 1)
+        components = np.linalg.eigh(spread)[1][:, ::-1][:, :min(k, waves)]
+        return cls(weights, shift, mean + waves_of(row[None])[0], np.ascontiguousarray(components))
 
     def errors(self, rows: np.ndarray) -> np.ndarray:
         """The share of each row's centred waves that the code leaves over."""

@@ -277,3 +277,18 @@ def test_curved_errors_equal_numpy(ring):
     assert np.allclose([r["error"] for r in again.score(ring).orderBy("trans_num").collect()], got, atol=1e-9)
     with pytest.raises(ValueError, match="normal rows"):
         anomaly.CurvedReconstruction.fit(ring.where("is_fraud = 1"))
+
+
+def test_waves_are_not_stored(spark, ring):
+    from fraud_engine.session import folders_in, run_folder
+
+    anomaly.CurvedReconstruction.fit(ring, k=3, waves=16)
+    assert [p for p in folders_in(spark, run_folder(spark)) if "/waves-" in p] == []
+
+
+def test_waves_of_equal_rows_and_of_one_row(ring):
+    same = ring.where("is_fraud = 0").withColumn("features", array_to_vector(F.array(F.lit(3.0), F.lit(-1.0)))).repartition(3)
+    model = anomaly.CurvedReconstruction.fit(same, k=2, waves=8)
+    assert model.score(same).agg(F.max("error")).first()[0] == pytest.approx(0, abs=1e-20)
+    with pytest.raises(ValueError, match="two normal rows"):
+        anomaly.CurvedReconstruction.fit(same.limit(1))
