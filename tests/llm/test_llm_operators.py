@@ -3,6 +3,7 @@
 import hashlib
 
 import llm_brute as brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,26 @@ def test_empty_tables(spark, make):
 def test_empty_token_files(make, tmp_path):
     files = tokens.write_ids(make([]), str(tmp_path / "none"))
     assert tokens.read_ids(files, str(tmp_path / "none")).collect() == []
+
+
+def test_phrases_take_no_hashes_they_do_not_need(monkeypatch):
+    """The sums of a text are made once; without keys phrases are the same and have no content hashes."""
+    from fraud_engine.llm import suffix_dedup, textbatch
+
+    made, real = [], textbatch.prefix_sums
+    for module in (textbatch, suffix_dedup):
+        monkeypatch.setattr(module, "prefix_sums", lambda data: made.append(len(data)) or real(data))
+    data = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    offsets = np.array([0, 1200, 1200, 1230, 5000])
+    whole, bare = (suffix_dedup.Phrases(data, offsets, keys=k) for k in (True, False))
+    assert made == [5000, 5000] and not hasattr(bare, "key") and len(whole.key) == len(whole.first)
+    for c in ("first", "last", "trigger", "row", "at"):
+        assert (getattr(whole, c) == getattr(bare, c)).all()
+
+
+def test_reduced_values_equal_remainders():
+    from fraud_engine.llm import textbatch
+
+    p = 2**31 - 1
+    x = np.array([0, 1, p - 1, p, p + 1, 2 * p, (p - 1) ** 2, (p - 1) * p, p * p - 1, 2**33], np.uint64)
+    assert (textbatch._reduce(x.copy()) == x % np.uint64(p)).all()
