@@ -226,3 +226,33 @@ def test_a_tree_takes_few_jobs(spark, table, gather_rows, jobs, stages):
         m.setattr(bo._Grower, "grow", grow)
         bo.fit(table.coalesce(4), None, INPUTS, settings=s)
     assert seen[0][0] <= jobs and sum(seen[0][1]) <= stages + 1  # one of the count before
+
+
+def test_levels_that_split_as_before_take_no_pass(spark, table, monkeypatch):
+    """Without gathering, a tree takes a pass for each level; the uppermost ones are counted together where they split as before."""
+    s = bo.Settings(rounds=8, depth=4, gather_rows=0, column_share=1.0)
+    passes, real = [], bo._Grower.sums
+    monkeypatch.setattr(bo._Grower, "sums", lambda self, *a: passes.append(a[1]) or real(self, *a))
+    got = bo.fit(table, None, INPUTS, settings=s).model.nodes
+    each = [passes.count(k) for k in range(8)]
+    assert each[0] == 4 and max(each) <= 4 and min(each) < 4
+    monkeypatch.setattr(bo._Grower, "_guess", lambda self, columns: {})
+    passes.clear()
+    assert bo.fit(table, None, INPUTS, settings=s).model.nodes.equals(got) and len(passes) == 32
+
+
+@pytest.mark.parametrize("wrong", [
+    {0: (0, 1, False)}, {0: (1, 3, True), 1: (2, 1, False), 2: (0, 9, False)}, {0: (0, 10**6, False), 2: (3, 2, True)}])
+def test_wrong_guesses_change_nothing(table, monkeypatch, wrong):
+    s = bo.Settings(rounds=3, depth=4, gather_rows=400)
+    want = bo.fit(table, None, INPUTS, settings=s).model.nodes
+    monkeypatch.setattr(bo._Grower, "_guess", lambda self, columns: dict(wrong))
+    assert bo.fit(table, None, INPUTS, settings=s).model.nodes.equals(want)
+
+
+def test_margins_are_rarely_written(table, monkeypatch):
+    s = bo.Settings(rounds=12, depth=3, keep_every=2)
+    want = bo.fit(table, None, INPUTS, settings=bo.Settings(rounds=12, depth=3, keep_every=100)).model.nodes
+    real, written = bo._Grower._write, []
+    monkeypatch.setattr(bo._Grower, "_write", lambda self, number: written.append(number) or real(self, number))
+    assert bo.fit(table, None, INPUTS, settings=s).model.nodes.equals(want) and written == [0, 10]
