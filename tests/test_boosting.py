@@ -256,3 +256,16 @@ def test_margins_are_rarely_written(table, monkeypatch):
     real, written = bo._Grower._write, []
     monkeypatch.setattr(bo._Grower, "_write", lambda self, number: written.append(number) or real(self, number))
     assert bo.fit(table, None, INPUTS, settings=s).model.nodes.equals(want) and written == [0, 10]
+
+
+def test_rows_of_one_task_take_few_jobs(table, monkeypatch):
+    """Where the root goes to one task, a job grows the trees of all rounds up to the next store, another judges them."""
+    from pyspark import RDD
+
+    train, validation = table.where("trans_num % 3 > 0"), table.where("trans_num % 3 = 0")
+    counted = bo.fit(train, validation, INPUTS, settings=bo.Settings(rounds=12, depth=3, keep_every=5, gather_rows=0))
+    jobs, real = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: jobs.append(1) or real(self))
+    got = bo.fit(train, validation, INPUTS, settings=bo.Settings(rounds=12, depth=3, keep_every=5))
+    assert got.model.nodes.equals(counted.model.nodes) and got.losses == counted.losses and len(got.losses) == 12
+    assert len(jobs) <= 7  # two for each five rounds, one for the last loss
