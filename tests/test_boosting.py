@@ -269,3 +269,87 @@ def test_rows_of_one_task_take_few_jobs(table, monkeypatch):
     got = bo.fit(train, validation, INPUTS, settings=bo.Settings(rounds=12, depth=3, keep_every=5))
     assert got.model.nodes.equals(counted.model.nodes) and got.losses == counted.losses and len(got.losses) == 12
     assert len(jobs) <= 7  # two for each five rounds, one for the last loss
+
+
+FLAGS = [f"TXNctg_{k}" for k in range(6)]
+
+
+def flagged_rows(n, clash=()):
+    """Rows with the flags of one column; the rows of `clash` have two."""
+    rng = np.random.default_rng(8)
+    out = []
+    for i in range(n):
+        own = int(rng.integers(0, 8))
+        flags = [float(k == own or (i in clash and k == (own + 1) % 6)) for k in range(6)]
+        amt = None if rng.random() < 0.1 else float(np.round(rng.normal(60, 30)))
+        out.append((i, int(rng.random() < 0.1 + 0.05 * own), amt, *flags))
+    return out
+
+
+def flagged_table(spark, n, clash=()):
+    return spark.createDataFrame(flagged_rows(n, clash), f"trans_num long, is_fraud int, amt double, {', '.join(f'{c} double' for c in FLAGS)}")
+
+
+def test_flags_of_a_column_share_a_byte(spark):
+    df, s = flagged_table(spark, 600), bo.Settings()
+    seen = bo._cut_rows(df, ["amt", *FLAGS], "trans_num", s)
+    cuts = bo._cuts_of(seen, s)
+    bins = bo._bins(seen, cuts)
+    layout = bo._Layout.fit(bins, bo._widths(cuts))
+    held = layout.pack(bins)
+    assert held.shape == (2, 600) and (layout.unpack(held) == bins).all()
+    rows = df.selectExpr("*", "0 as _role")
+    block = bo.binned(rows.coalesce(1), ["amt", *FLAGS], "trans_num", cuts, layout).first()
+    assert block["layout"] == bo._BUNDLED and len(block["bins"]) == 2 * 600
+    # Sums by byte give those by bin.
+    grid, rng = bo._Grid(np.concatenate([[0], np.cumsum(bo._widths(cuts))]), 1.0, s), np.random.default_rng(3)
+    use, columns = np.flatnonzero(rng.random(600) < 0.7), np.array([0, 1, 3, 4, 6])
+    at, g, h = rng.integers(0, 3, len(use)), rng.integers(-(2**30), 2**30, len(use)).astype(float), rng.integers(0, 2**30, len(use)).astype(float)
+    want = grid.sums(bins, use, at, 3, (g, h), columns)
+    assert (grid.spread(layout, grid.coded(layout, held, use, at, 3, (g, h), columns), columns) == want).all()
+
+
+@pytest.mark.parametrize("gather_rows", [0, 200, 10**6])
+def test_rows_with_two_flags_change_nothing(spark, monkeypatch, gather_rows):
+    """Flags that exclude each other in the rows of the cuts, not in all: such blocks keep a byte for each feature."""
+    inputs = ["amt", *FLAGS]
+    df = flagged_table(spark, 3000, clash={7, 1500, 2222})
+    s = bo.Settings(rounds=4, depth=4, gather_rows=gather_rows, cut_rows=500, keep_every=2)
+    train, validation = df.where("trans_num % 4 > 0").repartition(7, "trans_num"), df.where("trans_num % 4 = 0")
+    kinds, real = set(), bo._Grower._write
+
+    def write(self, number):
+        real(self, number)
+        kinds.update(r["layout"] for r in self.blocks.select("layout").collect())
+
+    monkeypatch.setattr(bo._Grower, "_write", write)
+    got = bo.fit(train, validation, inputs, settings=s)
+    assert kinds == {bo._BUNDLED, bo._PLAIN}
+    monkeypatch.setattr(bo._Layout, "pack", lambda self, bins: None)
+    want = bo.fit(train, validation, inputs, settings=s, cuts=bo.choose_cuts(train, inputs, "trans_num", s))
+    assert got.model.nodes.equals(want.model.nodes) and got.losses == want.losses
+
+
+def test_blocks_are_dealt_evenly(spark, table, monkeypatch):
+    """A pass ends with its slowest task: blocks are dealt to as many tasks as cores, whatever the files."""
+    seen, real = [], bo._Grower._write
+
+    def write(self, number):
+        real(self, number)
+        seen.append(self.held.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+
+    monkeypatch.setattr(bo._Grower, "_write", write)
+    bo.fit(table.repartition(10), None, INPUTS, settings=bo.Settings(rounds=1, depth=2))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen[0]) == cores and sum(seen[0]) == 10 and max(seen[0]) - min(seen[0]) <= 2
+
+
+def test_few_trees_are_walked_in_a_pass(table, monkeypatch):
+    """Where trees are counted by passes, the held margins are brought up to date between two stores, and the model stays the same."""
+    train, validation = table.where("trans_num % 3 > 0"), table.where("trans_num % 3 = 0")
+    want = bo.fit(train, validation, INPUTS, settings=bo.Settings(rounds=14, depth=3, row_share=0.7, keep_every=7))
+    walked, real = [], bo._Grower.sums
+    monkeypatch.setattr(bo._Grower, "sums", lambda self, *a: walked.append(len(self.trees)) or real(self, *a))
+    got = bo.fit(train, validation, INPUTS, settings=bo.Settings(rounds=14, depth=3, row_share=0.7, keep_every=12, gather_rows=0))
+    assert got.model.nodes.equals(want.model.nodes) and got.losses == want.losses
+    assert max(walked) < bo._FRESH
